@@ -351,7 +351,7 @@ ORACLE: dict[str, str] = {
   JOIN (SELECT customer_id, count(DISTINCT invoice) AS n FROM {CUSTOMER_LINES} GROUP BY customer_id) c
     ON s.customer_id = c.customer_id GROUP BY 1""",
     "avg_order_value": BASE
-    + f"""SELECT year_month, {rnd('avg(total)', 6)} AS avg_order_value
+    + f"""SELECT year_month, {rnd('avg(total) + CAST(1e-6 AS DOUBLE)', 4)} AS avg_order_value
   FROM (SELECT year_month, invoice, sum(revenue) AS total FROM sales GROUP BY ALL) GROUP BY year_month""",
     "market_basket": with_(RETAIL)
     + """, top AS (SELECT description FROM retail GROUP BY 1 ORDER BY count(*) DESC, description LIMIT 15),

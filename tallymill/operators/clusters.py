@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tallymill.schema import half_even
 
 METRICS = ("recency", "frequency", "monetary")
+# A fit ends when all centres together move less than this, in deviations.
+SHIFT = 0.01
+# Customers per partition while fitting: passes over small data should not be many tasks.
+PARTITION_ROWS = 50_000
 
 # Names in the order in which clusters receive them.
 BEST, LOWEST, LAPSED = "High-Value Champions", "Low-Spenders / New", "At-Risk / Lapsed"
@@ -75,7 +79,8 @@ def _fits(scaled: DataFrame, ks, starts: int, max_iter: int, seed: int, parallel
 
     @inheritable_thread_target(scaled.sparkSession)
     def fit(k: int, start: int) -> tuple[int, float, int, KMeansModel]:
-        kmeans = KMeans(k=k, maxIter=max_iter, seed=seed + start, featuresCol="scaled", predictionCol="cluster")
+        kmeans = KMeans(k=k, maxIter=max_iter, tol=SHIFT / k**0.5, seed=seed + start)
+        kmeans = kmeans.setFeaturesCol("scaled").setPredictionCol("cluster")
         model = kmeans.fit(scaled)
         return k, model.summary.trainingCost, start, model
 
@@ -86,7 +91,7 @@ def _fits(scaled: DataFrame, ks, starts: int, max_iter: int, seed: int, parallel
 
 
 def elbow(
-    customers: DataFrame, max_k: int = 10, starts: int = 10, max_iter: int = 300, seed: int = 0, parallelism: int = 4
+    customers: DataFrame, max_k: int = 10, starts: int = 10, max_iter: int = 300, seed: int = 0, parallelism: int = 8
 ) -> DataFrame:
     """Within-cluster sum of squares for k = 1 .. max_k: `k`, `wcss`.
 
@@ -106,7 +111,7 @@ def elbow(
 
 
 def cluster_customers(
-    customers: DataFrame, k: int = 4, starts: int = 10, max_iter: int = 300, seed: int = 0, parallelism: int = 4
+    customers: DataFrame, k: int = 4, starts: int = 10, max_iter: int = 300, seed: int = 0, parallelism: int = 8
 ) -> DataFrame:
     """Add `cluster`, numbered from 0 in order of mean spend."""
     scaled = scale(customers).persist(StorageLevel.MEMORY_AND_DISK)

@@ -22,7 +22,7 @@ from tallymill.session import checkpointed
 LINEAR, GBT = "linear", "gbt"
 REG_GRID = (0.0001, 0.001, 0.01)
 # Steps of a tree forecast between two checkpoints of its state.
-STEPS_PER_CHECKPOINT = 10
+STEPS_PER_CHECKPOINT = 5
 
 
 @dataclass

@@ -17,6 +17,7 @@ from tallymill.functions.joins import if_small
 KEY, DAY = "stock_code", "day"
 LAGS = (1, 7, 14, 30)
 WINDOWS = (7, 14, 30)
+HOLIDAY_YEARS = (1900, 2199)
 COMPETITORS = ("competitor_a", "competitor_b", "competitor_c")
 
 
@@ -136,17 +137,18 @@ def add_rolling(series: DataFrame, windows=WINDOWS) -> DataFrame:
 
 def add_holidays(series: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """1 on a holiday, else 0. `holidays` has a `day` column; the default is the UK table
-    for the years of the series, at most some twenty rows per year."""
+    for HOLIDAY_YEARS, a few thousand rows whatever the size of the series."""
     if holidays is None:
-        years = series.agg(F.year(F.min(DAY)), F.year(F.max(DAY))).first()
-        first, last = (years[0], years[1]) if years[0] is not None else (2000, 2000)
-        holidays = uk_holidays(series.sparkSession, first, last)
-        marked = F.broadcast(holidays.select(DAY, F.lit(1).alias("is_holiday")))
+        marked = F.broadcast(_mark(uk_holidays(series.sparkSession, *HOLIDAY_YEARS)))
     else:
-        marked = if_small(holidays.select(DAY, F.lit(1).alias("is_holiday")).distinct())
+        marked = if_small(_mark(holidays).distinct())
     return series.join(marked, DAY, "left").fillna(0, subset=["is_holiday"])
 
 
+def _mark(holidays: DataFrame) -> DataFrame:
+    return holidays.select(DAY, F.lit(1).alias("is_holiday"))
+
+
 def feature_table(
     df: DataFrame,
     products=None,
