@@ -4,124 +4,144 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A column with at most this many values goes through one `percentile` aggregate.
 DIRECT_ROWS = 1_000_000
+# Values around one rank that may be sorted in one list.
+FETCH_ROWS = 200_000
 # Rank error of the pivots, as a share of the rows that are still in question.
 ACCURACY = 10_000
 
 
+@dataclass(frozen=True)
+class Gap:
+    """The values strictly between two bounds hold a wanted rank; None is an open end."""
+
+    low: float | None
+    high: float | None
+    below: int
+    inside: int
+
+    def holds(self, value: Column) -> Column:
+        condition = value.isNotNull()
+        if self.low is not None:
+            condition = condition & (value > self.low)
+        if self.high is not None:
+            condition = condition & (value < self.high)
+        return condition
+
+
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
+    at_most: int | None = None,
     direct_rows: int = DIRECT_ROWS,
+    fetch_rows: int = FETCH_ROWS,
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles per column, or None for a column without values.
 
     `percentile` keeps every distinct value in one buffer, so it is only used up to
-    `direct_rows`. Larger columns are narrowed down around each wanted rank: every
-    pass counts the rows below a few pivots and keeps the gap that holds the rank.
-    Only counts and pivots reach the driver.
+    `direct_rows`. Larger columns are narrowed down around each wanted rank: a pass
+    counts the rows below a few pivots, and the gap that holds the rank stays. Only
+    counts, pivots and the last gap reach one task. All columns share the passes.
+    `at_most`, a known limit of the rows, saves counting a small table.
     """
-    sizes = df.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict()
-    small = [c for c in wanted if 0 < sizes[c] <= direct_rows]
-    result: dict[str, list[float] | None] = {c: None for c in wanted}
-    if small:
-        row = df.agg(*[F.percentile(c, list(wanted[c])).alias(c) for c in small]).first()
-        result.update({c: [float(v) for v in row[c]] for c in small})
-    for column in wanted:
-        if sizes[column] > direct_rows:
-            result[column] = _narrowed(df, column, wanted[column], sizes[column], direct_rows, accuracy)
+    if at_most is not None and at_most <= direct_rows:
+        return _direct(df, wanted)
+    # One pass for the sizes and the first pivots.
+    asks = [F.count(c).alias(f"n_{c}") for c in wanted]
+    for c, shares in wanted.items():
+        near = [x for p in shares for x in _around(p, accuracy)]
+        asks.append(F.percentile_approx(F.col(c).cast("double"), near, accuracy).alias(f"p_{c}"))
+    seen = df.agg(*asks).first()
+    large = [c for c in wanted if seen[f"n_{c}"] > direct_rows]
+    result = _direct(df, {c: wanted[c] for c in wanted if c not in large}) if len(large) < len(wanted) else {}
+    if not large:
+        return result
+
+    ranks, gaps, pivots = {}, {}, {}
+    for c in large:
+        n = seen[f"n_{c}"]
+        ranks[c] = [p * (n - 1) for p in wanted[c]]
+        for i, position in enumerate(ranks[c]):
+            for rank in {math.floor(position), math.ceil(position)}:
+                gaps[c, rank] = Gap(None, None, 0, n)
+                pivots.setdefault((c, rank), set()).update(seen[f"p_{c}"][3 * i : 3 * i + 3])
+    values = _values_at(df, gaps, pivots, fetch_rows, accuracy)
+    for c in large:
+        result[c] = [_between(values, c, position) for position in ranks[c]]
     return result
 
 
-def _narrowed(df, column, probabilities, n, direct_rows, accuracy) -> list[float]:
-    positions = [p * (n - 1) for p in probabilities]
-    ranks = sorted({r for x in positions for r in (math.floor(x), math.ceil(x))})
-    values = _order_statistics(df, column, ranks, n, direct_rows, accuracy)
-    edges = []
-    for x in positions:
-        low, high = values[math.floor(x)], values[math.ceil(x)]
-        edges.append(low if low == high else low + (high - low) * (x - math.floor(x)))
-    return edges
-
-
-def _inside(value: Column, low: float | None, high: float | None) -> Column:
-    """Strictly between the bounds; None is an open end."""
-    condition = value.isNotNull()
-    if low is not None:
-        condition = condition & (value > low)
-    if high is not None:
-        condition = condition & (value < high)
-    return condition
-
-
-def _order_statistics(df, column, ranks, n, direct_rows, accuracy) -> dict[int, float]:
-    """The values at the given 0-based ranks of the sorted column."""
-    value = F.col(column).cast("double")
-    data = df.select(value.alias("v"))
-    v = F.col("v")
-    # rank -> (low, high, rows at or below low, rows strictly between)
-    gaps = {r: (None, None, 0, n) for r in ranks}
-    found: dict[int, float] = {}
+def _direct(df: DataFrame, wanted) -> dict[str, list[float] | None]:
+    row = df.agg(*[F.percentile(c, list(shares)).alias(c) for c, shares in wanted.items()]).first()
+    return {c: None if row[c] is None else [float(v) for v in row[c]] for c in wanted}
+
+
+def _around(share: float, accuracy: int) -> list[float]:
+    reach = 2.0 / accuracy
+    return [max(0.0, share - reach), share, min(1.0, share + reach)]
+
+
+def _between(values, column: str, position: float) -> float:
+    low, high = values[column, math.floor(position)], values[column, math.ceil(position)]
+    return low if low == high else low + (high - low) * (position - math.floor(position))
+
+
+def _values_at(df, gaps, pivots, fetch_rows, accuracy) -> dict[tuple[str, int], float]:
+    """The value at each 0-based rank of its sorted column."""
+    found: dict[tuple[str, int], float] = {}
+
+    def value(target) -> Column:
+        return F.col(target[0]).cast("double")
+
     while gaps:
-        for rank in [r for r, gap in gaps.items() if gap[3] <= direct_rows]:
-            low, high, below, inside = gaps.pop(rank)
-            share = (rank - below) / (inside - 1) if inside > 1 else 0.0
-            found[rank] = _nth(data.filter(_inside(v, low, high)), rank - below, share)
-        if not gaps:
-            break
-
-        pivots = {}
-        asks = []
-        for rank, (low, high, below, inside) in gaps.items():
-            at, reach = (rank - below) / inside, 2.0 / accuracy
-            near = [max(0.0, at - reach), at, min(1.0, at + reach)]
-            picked = F.percentile_approx(F.when(_inside(v, low, high), v), near, accuracy)
-            asks.append(picked.alias(str(rank)))
-        row = data.agg(*asks).first()
-        for rank in gaps:
-            pivots[rank] = sorted(set(row[str(rank)]))
-
-        counts = []
-        for rank, (low, high, _, _) in gaps.items():
-            for i, pivot in enumerate(pivots[rank]):
-                counts.append(F.count_if(_inside(v, low, pivot)).alias(f"{rank}_{i}_under"))
-                reached = _inside(v, low, high) & (v <= pivot)
-                counts.append(F.count_if(reached).alias(f"{rank}_{i}_upto"))
-        row = data.agg(*counts).first()
-
-        for rank in list(gaps):
-            low, high, below, inside = gaps[rank]
-            new_low, new_high, new_below, new_end = low, high, below, below + inside
-            for i, pivot in enumerate(pivots[rank]):
-                under, upto = below + row[f"{rank}_{i}_under"], below + row[f"{rank}_{i}_upto"]
-                if under <= rank < upto:
-                    found[rank] = pivot
-                    break
-                if upto <= rank:
-                    new_low, new_below = pivot, upto
-                else:
-                    new_high, new_end = pivot, under
-                    break
-            if rank in found:
-                del gaps[rank]
-            else:
-                gaps[rank] = (new_low, new_high, new_below, new_end - new_below)
+        gaps = _narrowed(df, gaps, pivots, found, value)
+        near = {t: gap for t, gap in gaps.items() if gap.inside <= fetch_rows}
+        if near:
+            lists = [F.sort_array(F.collect_list(F.when(g.holds(value(t)), value(t)))) for t, g in near.items()]
+            picks = [
+                F.element_at(values, t[1] - near[t].below + 1).alias(f"v{i}")
+                for i, (t, values) in enumerate(zip(near, lists))
+            ]
+            found.update(zip(near, df.agg(*picks).first()))
+        gaps = {t: gap for t, gap in gaps.items() if t not in near}
+        if gaps:
+            asks = []
+            for t, gap in gaps.items():
+                shares = _around((t[1] - gap.below) / gap.inside, accuracy)
+                asks.append(F.percentile_approx(F.when(gap.holds(value(t)), value(t)), shares, accuracy))
+            pivots = {t: set(picked) for t, picked in zip(gaps, df.agg(*asks).first())}
     return found
 
 
-def _nth(data: DataFrame, position: int, share: float) -> float:
-    """The value at a 0-based position among at most DIRECT_ROWS values."""
-    # The two ranks beside the position guard against rounding of the share.
-    row = data.agg(F.percentile("v", share).alias("v")).first()
-    below, upto = data.agg(F.count_if(F.col("v") < row.v), F.count_if(F.col("v") <= row.v)).first()
-    if below <= position < upto:
-        return row.v
-    if position >= upto:
-        return data.filter(F.col("v") > row.v).agg(F.min("v")).first()[0]
-    return data.filter(F.col("v") < row.v).agg(F.max("v")).first()[0]
+def _narrowed(df, gaps, pivots, found, value) -> dict[tuple[str, int], Gap]:
+    """Count around the pivots; a rank that falls on a pivot is found, others get a smaller gap.
+
+    Pivots are values of the column, so every pass takes at least one value out.
+    """
+    counts, places = [], []
+    for t, gap in gaps.items():
+        for pivot in sorted(pivots[t]):
+            inside = gap.holds(value(t))
+            counts.append(F.count_if(inside & (value(t) < pivot)))
+            counts.append(F.count_if(inside & (value(t) <= pivot)))
+            places.append((t, pivot))
+    row = df.agg(*counts).first()
+    smaller = dict(gaps)
+    for i, (t, pivot) in enumerate(places):
+        gap, rank = smaller[t], t[1]
+        under, upto = gaps[t].below + row[2 * i], gaps[t].below + row[2 * i + 1]
+        end = gap.below + gap.inside
+        if under <= rank < upto:
+            found[t] = pivot
+        elif upto <= rank:
+            smaller[t] = replace(gap, low=pivot, below=upto, inside=end - upto)
+        elif under < end:
+            smaller[t] = replace(gap, high=pivot, inside=under - gap.below)
+    return {t: gap for t, gap in smaller.items() if t not in found}

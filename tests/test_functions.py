@@ -27,10 +27,21 @@ def test_quantiles_in_one_aggregate_and_by_narrowing(spark, kind):
     want = np.quantile(values, PROBABILITIES)
     assert np.allclose(exact_quantiles(df, {"v": PROBABILITIES})["v"], want, rtol=1e-12)
     # A coarse accuracy and a small limit force several rounds.
-    narrowed = exact_quantiles(df, {"v": PROBABILITIES}, direct_rows=20, accuracy=20)["v"]
+    narrowed = exact_quantiles(df, {"v": PROBABILITIES}, direct_rows=20, fetch_rows=20, accuracy=20)["v"]
     assert np.allclose(narrowed, want, rtol=1e-12)
 
 
+def test_columns_share_their_passes(spark):
+    rng = np.random.default_rng(8)
+    frame = {"a": rng.normal(0, 1, 500), "b": rng.integers(0, 5, 500).astype(float)}
+    df = spark.createDataFrame(list(zip(*(map(float, v) for v in frame.values()))), "a double, b double")
+    wanted = {"a": (0.2, 0.4, 0.6, 0.8), "b": (0.25, 0.75)}
+    for options in ({}, {"direct_rows": 10, "fetch_rows": 5, "accuracy": 50}, {"at_most": 500}):
+        got = exact_quantiles(df, wanted, **options)
+        for c, shares in wanted.items():
+            assert np.allclose(got[c], np.quantile(frame[c], shares), rtol=1e-12)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert exact_quantiles(df, {"v": [0.5]}) == {"v": None}
