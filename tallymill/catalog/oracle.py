@@ -406,7 +406,7 @@ ORACLE: dict[str, str] = {
     "rfm_scaled": with_(RETAIL, SALES, rfm("sales"))
     + "SELECT customer_id, "
     + ", ".join(
-        f"{rnd(f'({m} - avg({m}) OVER ()) / stddev_samp({m}) OVER ()', 6)} AS {m}_scaled"
+        f"{rnd(f'({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER ()', 6)} AS {m}_scaled"
         for m in ("recency", "frequency", "monetary")
     )
     + " FROM rfm",

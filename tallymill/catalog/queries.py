@@ -263,8 +263,8 @@ def _named(spark, sf) -> DataFrame:
 
 @query
 def rfm_scaled(spark, sf):
-    columns = [f"{m}_scaled" for m in clusters.METRICS]
-    return rounded(clusters.scaled_columns(_rfm(spark, sf)), 6, *columns)
+    scaled = clusters.scaled_columns(_rfm(spark, sf)).select("customer_id", *clusters.SCALED)
+    return rounded(scaled, 6, *clusters.SCALED)
 
 
 @query

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.functions.centers import Fit, best_fits
 from tallymill.schema import half_even
 
 METRICS = ("recency", "frequency", "monetary")
-# A fit ends when all centres together move less than this, in deviations.
-SHIFT = 0.01
+SCALED = tuple(f"{m}_scaled" for m in METRICS)
 # Customers per partition while fitting: passes over small data should not be many tasks.
 PARTITION_ROWS = 50_000
 
@@ -58,73 +53,54 @@ PROFILES = (
 )
 
 
-def scale(customers: DataFrame) -> DataFrame:
-    """Add `scaled`, a vector of the three metrics with mean 0 and sample deviation 1."""
-    packed = VectorAssembler(inputCols=list(METRICS), outputCol="_raw").transform(customers)
-    scaler = StandardScaler(inputCol="_raw", outputCol="scaled", withMean=True, withStd=True)
-    return scaler.fit(packed).transform(packed).drop("_raw")
-
-
 def scaled_columns(customers: DataFrame) -> DataFrame:
-    """The scaled metrics as plain columns."""
-    values = vector_to_array("scaled")
-    return scale(customers).select(
-        "customer_id", *[values[i].alias(f"{m}_scaled") for i, m in enumerate(METRICS)]
-    )
-
-
-def _fits(scaled: DataFrame, ks, starts: int, max_iter: int, seed: int, parallelism: int):
-    """The cheapest model for each k over several starts. Each fit is a set of Spark jobs;
-    threads only keep the cluster busy between them."""
-
-    @inheritable_thread_target(scaled.sparkSession)
-    def fit(k: int, start: int) -> tuple[int, float, int, KMeansModel]:
-        kmeans = KMeans(k=k, maxIter=max_iter, tol=SHIFT / k**0.5, seed=seed + start)
-        kmeans = kmeans.setFeaturesCol("scaled").setPredictionCol("cluster")
-        model = kmeans.fit(scaled)
-        return k, model.summary.trainingCost, start, model
-
-    jobs = [(k, start) for k in ks for start in range(starts)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(lambda job: fit(*job), jobs))
-    return {k: min((r for r in results if r[0] == k), key=lambda r: r[1:3]) for k in ks}
+    """Add each metric with mean 0 and population deviation 1, as `<metric>_scaled`.
 
-
-def elbow(
-    customers: DataFrame, max_k: int = 10, starts: int = 10, max_iter: int = 300, seed: int = 0, parallelism: int = 8
-) -> DataFrame:
-    """Within-cluster sum of squares for k = 1 .. max_k: `k`, `wcss`.
-
-    Costs are in units of the population deviation, the scaling of a whole table.
+    A constant metric becomes 0. Mean and deviation are six numbers, read when this is called.
     """
-    scaled = scale(customers).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    asks = [f(m).alias(f"{name}_{m}") for m in METRICS for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    seen = customers.agg(*asks).first()
+    scaled = {}
+    for m in METRICS:
+        mean, deviation = seen[f"mean_{m}"] or 0.0, seen[f"std_{m}"] or 1.0
+        scaled[f"{m}_scaled"] = (F.col(m) - F.lit(mean)) / F.lit(deviation)
+    return customers.withColumns(scaled)
+
+
+def _fit(scaled: DataFrame, ks, starts: int, max_iter: int, seed: int) -> dict[int, Fit]:
+    """Fits over persisted points, in few enough partitions for many short passes."""
+    scaled = scaled.select("customer_id", *SCALED).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = scaled.count()
-        values = vector_to_array("scaled")
-        squares = scaled.agg(sum(F.sum(values[i] * values[i]) for i in range(len(METRICS)))).first()[0]
-        best = _fits(scaled, range(2, min(max_k, n) + 1), starts, max_iter, seed, parallelism)
+        points = scaled.coalesce(max(1, -(-scaled.count() // PARTITION_ROWS)))
+        return best_fits(points, SCALED, "customer_id", ks, starts, max_iter, seed)
     finally:
         scaled.unpersist()
-    to_population = n / (n - 1) if n > 1 else 1.0
-    rows = [(1, squares * to_population)] + [(k, float(best[k][1]) * to_population) for k in sorted(best)]
+
+
+def elbow(customers: DataFrame, max_k: int = 10, starts: int = 10, max_iter: int = 300, seed: int = 0) -> DataFrame:
+    """Within-cluster sum of squares for k = 1 .. max_k: `k`, `wcss`."""
+    best = _fit(scaled_columns(customers), range(1, max_k + 1), starts, max_iter, seed)
+    rows = [(k, fit.cost) for k, fit in best.items()]
     return customers.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 
 def cluster_customers(
-    customers: DataFrame, k: int = 4, starts: int = 10, max_iter: int = 300, seed: int = 0, parallelism: int = 8
+    customers: DataFrame, k: int = 4, starts: int = 10, max_iter: int = 300, seed: int = 0
 ) -> DataFrame:
     """Add `cluster`, numbered from 0 in order of mean spend."""
-    scaled = scale(customers).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _fits(scaled, [k], starts, max_iter, seed, parallelism)[k][3]
-    finally:
-        scaled.unpersist()
-    # Spend is the last axis, so the order of the centres is the order of mean spend.
-    centers = model.clusterCenters()
-    order = sorted(range(len(centers)), key=lambda c: (centers[c][-1], c))
-    numbers = F.array(*[F.lit(order.index(c)) for c in range(len(centers))])
-    clustered = model.transform(scaled)
-    return clustered.withColumn("cluster", F.element_at(numbers, F.col("cluster") + 1)).drop("scaled")
+    scaled = scaled_columns(customers)
+    fit = _fit(scaled, [k], starts, max_iter, seed)[k]
+    # Spend is the last axis, so this order of the centres is the order of mean spend.
+    centers = sorted(fit.centers.tolist(), key=lambda center: center[::-1])
+    away = [
+        F.struct(
+            sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip(SCALED, center)).alias("away"),
+            F.lit(i).alias("cluster"),
+        )
+        for i, center in enumerate(centers)
+    ]
+    nearest = F.least(*away) if k > 1 else away[0]
+    return scaled.withColumn("cluster", nearest["cluster"]).drop(*SCALED)
 
 
 def cluster_names(clustered: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from tallymill.operators import clusters as cl
 from tallymill.operators import rfm as seg
+from tallymill.session import checkpointed
 
 
 def segment_report(cleaned: DataFrame) -> dict[str, DataFrame]:
@@ -28,8 +29,11 @@ def segment_report(cleaned: DataFrame) -> dict[str, DataFrame]:
 
 
 def cluster_report(cleaned: DataFrame, k: int = 4, starts: int = 10) -> dict[str, DataFrame]:
-    """K-Means groups of customers, and every table drawn from them."""
-    customers = cl.add_cluster_names(cl.cluster_customers(seg.rfm(cleaned), k, starts))
+    """K-Means groups of customers, and every table drawn from them.
+
+    The named customers are checkpointed, for the same reason as above.
+    """
+    customers = checkpointed(cl.add_cluster_names(cl.cluster_customers(seg.rfm(cleaned), k, starts)))
     group = "cluster_name"
     return {
         "customers": customers,

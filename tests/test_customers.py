@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallymill.functions import centers
 from tallymill.operators import clusters, rfm
 from tallymill.plans import customers as plan
 
@@ -179,3 +180,42 @@ def test_reports(spark):
     profile = {r.cluster_name: r.interpretation for r in smart["profile"].collect()}
     assert profile[clusters.BEST].startswith("These are your best customers")
     assert smart["summary"].agg(F.sum("customer_count")).first()[0] == 40
+
+
+def test_fits_equal_a_plain_lloyd_loop(spark):
+    """From the same first centres, the shared passes move them as a loop in memory does."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (300, 2))
+    points = spark.createDataFrame([(str(i), *map(float, p)) for i, p in enumerate(x)], "id string, a double, b double")
+    points = points.repartition(4).persist()
+    seeds = centers._first_centers(points, ("a", "b"), "id", 5, 3, 1)
+    # Every first centre is a point, and no start draws one twice.
+    for start in seeds:
+        assert len({tuple(c) for c in start}) == 5 and all((x == c).all(axis=1).any() for c in start)
+    got = centers.best_fits(points, ("a", "b"), "id", [2, 5], 3, 300, 1)
+    for k in (2, 5):
+        costs = []
+        for start in seeds:
+            c = start[:k]
+            while True:
+                near = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+                moved = np.array([x[near == j].mean(0) for j in range(k)])
+                shift, c = ((moved - c) ** 2).sum(), moved
+                if shift <= centers.TOLERANCE:
+                    break
+            costs.append(((x[:, None] - c) ** 2).sum(2).min(1).sum())
+        assert got[k].cost == pytest.approx(min(costs), rel=1e-9) and got[k].start == int(np.argmin(costs))
+
+
+def test_far_points_are_drawn_first(spark):
+    """Two tight groups: the second centre comes from the other group, whatever the start."""
+    rows = [(str(i), float(i % 2) * 100 + i * 1e-6) for i in range(200)]
+    points = spark.createDataFrame(rows, "id string, a double")
+    for start in centers._first_centers(points, ("a",), "id", 2, 6, 0):
+        assert sorted(round(float(c[0])) for c in start) == [0, 100]
+
+
+def test_fewer_points_than_clusters(spark):
+    df, _ = planted(spark, 3)
+    assert clusters.cluster_customers(df, 4, starts=2).select("cluster").distinct().count() == 3
+    assert clusters.elbow(df.limit(0)).count() == 0
