@@ -192,7 +192,9 @@ CLUSTERS = with_(RETAIL, SALES, rfm("sales"), CLUSTERED)
 
 
 def profile_text(place: int) -> str:
-    cases = " ".join(f"WHEN contains(cluster_name, {text(p[0])}) THEN {text(p[place])}" for p in PROFILES[:-1])
+    cases = " ".join(
+        f"WHEN contains(cluster_name, {text(part)}) THEN {text(p[place])}" for p in PROFILES[:-1] for part in p[0]
+    )
     return f"CASE {cases} ELSE {text(PROFILES[-1][place])} END"
 
 

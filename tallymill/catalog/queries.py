@@ -45,7 +45,7 @@ def with_time_text(df: DataFrame) -> DataFrame:
 @query
 def check_columns(spark, sf):
     rows = fx.retail(spark, sf)
-    return column_check(rows).crossJoin(rows.agg(F.count("*").alias("rows")))
+    return column_check(rows).withColumn("rows", rows.agg(F.count("*")).scalar())
 
 
 @query

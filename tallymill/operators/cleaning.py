@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.joins import lookup
 from tallymill.functions.quantiles import exact_quantiles
 from tallymill.schema import UNKNOWN, is_text, parse_timestamp
+from tallymill.session import checkpointed
 
 IQR_COLUMNS = ("quantity", "price")
 
@@ -64,7 +65,9 @@ def fill_descriptions(df: DataFrame) -> DataFrame:
         df = df.withColumn("invoice_ts", parse_timestamp("invoice_ts", lenient=False))
     known = df.filter(F.col("description").isNotNull())
     missing = df.filter(F.col("description").isNull())
-    filled = lookup(missing, descriptions_by_stock_code(df), "stock_code").withColumn(
+    # Checkpointed, so that its size can be checked without reading the sales twice.
+    names = checkpointed(descriptions_by_stock_code(df))
+    filled = lookup(missing, names, "stock_code").withColumn(
         "description", F.coalesce("known_description", F.lit(UNKNOWN))
     )
     return known.unionByName(filled.select(*df.columns))

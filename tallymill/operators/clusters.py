@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,35 +21,35 @@ PARTITION_ROWS = 50_000
 BEST, LOWEST, LAPSED = "High-Value Champions", "Low-Spenders / New", "At-Risk / Lapsed"
 POTENTIAL, STANDARD = "Potential Loyalists", "Standard Group"
 
-# A part of the cluster name -> who they are, how to engage them.
+# Parts of a cluster name -> who they are, how to engage them.
 # The first match counts; the last row is for all other names.
 PROFILES = (
     (
-        "Champions",
+        ("Champions",),
         "These are your best customers: they buy often, spend the most, and have bought recently.",
         "Engage with VIP treatment, early access to new products, and loyalty rewards. "
         "Turn them into brand ambassadors.",
     ),
     (
-        "Low-Spenders",
+        ("Low-Spenders",),
         "This group consists of new or infrequent customers with low spending.",
         "Help them grow! Send welcome offers, product recommendations, and deals to encourage "
         "a second purchase.",
     ),
     (
-        "At-Risk",
+        ("At-Risk", "Lapsed"),
         "These customers used to be valuable but haven't purchased in a long time. "
         "They might not come back.",
         "Launch a special campaign to win them back. Offer a great discount or show them what's "
         "new to get their attention.",
     ),
     (
-        "Potential",
+        ("Potential",),
         "This is a group of mid-tier customers who are starting to buy more often.",
         "Encourage higher spending and frequency through bundling, cross-selling, and multi-buy offers.",
     ),
     (
-        "",
+        (),
         "This is a group of your typical, everyday customers.",
         "Keep them engaged with regular newsletters and promotions on popular products.",
     ),
@@ -151,7 +154,8 @@ def cluster_profile(named: DataFrame) -> DataFrame:
     def text(place: int):
         column = F.lit(PROFILES[-1][place])
         for row in reversed(PROFILES[:-1]):
-            column = F.when(F.col("cluster_name").contains(row[0]), row[place]).otherwise(column)
+            matches = [F.col("cluster_name").contains(part) for part in row[0]]
+            column = F.when(reduce(or_, matches), row[place]).otherwise(column)
         return column
 
     return profile.withColumns({"interpretation": text(1), "strategy": text(2)})

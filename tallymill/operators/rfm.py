@@ -43,7 +43,7 @@ def rfm(df: DataFrame, include_unknown: bool = True) -> DataFrame:
     customer form one customer unless `include_unknown` is off.
     """
     sales = df.dropna(subset=["customer_id"])
-    now = df.agg(F.max("invoice_ts").alias("last_sale"))
+    last_sale = df.agg(F.max("invoice_ts")).scalar()
     if not include_unknown:
         sales = sales.filter(F.col("customer_id") != UNKNOWN)
     customers = sales.groupBy("customer_id").agg(
@@ -51,10 +51,9 @@ def rfm(df: DataFrame, include_unknown: bool = True) -> DataFrame:
         F.countDistinct("invoice").alias("frequency"),
         F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("monetary"),
     )
-    since = F.expr("extract(DAY FROM (last_sale + INTERVAL 1 DAY - last_purchase))")
-    return customers.crossJoin(F.broadcast(now)).select(
-        "customer_id", since.cast("bigint").alias("recency"), "frequency", "monetary"
-    )
+    # A difference of two times is an interval, whose day part counts whole days.
+    since = F.extract(F.lit("DAY"), last_sale + F.expr("INTERVAL 1 DAY") - F.col("last_purchase"))
+    return customers.select("customer_id", since.cast("bigint").alias("recency"), "frequency", "monetary")
 
 
 def _above(column: str, edges: list[float]) -> Column:

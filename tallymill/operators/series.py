@@ -18,6 +18,7 @@ KEY, DAY = "stock_code", "day"
 LAGS = (1, 7, 14, 30)
 WINDOWS = (7, 14, 30)
 HOLIDAY_YEARS = (1900, 2199)
+MAX_SEGMENTS = 500
 COMPETITORS = ("competitor_a", "competitor_b", "competitor_c")
 
 
@@ -98,7 +99,10 @@ def daily_segment_sales(sales: DataFrame, segments=None) -> DataFrame:
     Pass `segments` to save the job that looks for the group names.
     """
     if segments is None:
-        segments = sorted(r[0] for r in sales.select("segment").dropna().distinct().collect())
+        names = sales.select("segment").dropna().distinct().limit(MAX_SEGMENTS + 1).collect()
+        if len(names) > MAX_SEGMENTS:
+            raise ValueError(f"more than {MAX_SEGMENTS} segments; each one becomes a column")
+        segments = sorted(r[0] for r in names)
     units = sales.dropna(subset=[DAY, "segment"]).groupBy(DAY)
     wide = units.pivot("segment", list(segments)).agg(F.sum("quantity"))
     # Backquotes, since a group name may hold dots or quotes.

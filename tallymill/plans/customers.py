@@ -31,9 +31,10 @@ def segment_report(cleaned: DataFrame) -> dict[str, DataFrame]:
 def cluster_report(cleaned: DataFrame, k: int = 4, starts: int = 10) -> dict[str, DataFrame]:
     """K-Means groups of customers, and every table drawn from them.
 
-    The named customers are checkpointed, for the same reason as above.
+    The metrics and the named customers are checkpointed, for the same reason as above.
     """
-    customers = checkpointed(cl.add_cluster_names(cl.cluster_customers(seg.rfm(cleaned), k, starts)))
+    metrics = checkpointed(seg.rfm(cleaned))
+    customers = checkpointed(cl.add_cluster_names(cl.cluster_customers(metrics, k, starts)))
     group = "cluster_name"
     return {
         "customers": customers,
