@@ -317,12 +317,24 @@ REQUIRED = (
     "invoice", "stock_code", "description", "quantity", "invoice_ts", "price", "customer_id", "country",
 )
 
+ATTACHED = with_(
+    DIRTY,
+    f"sales AS (SELECT * REPLACE (coalesce(customer_id, 'Unknown') AS customer_id), {FEATURES} "
+    "FROM dirty WHERE quantity > 0 AND price > 0)",
+    "known AS (SELECT * FROM sales WHERE customer_id <> 'Unknown')",
+    rfm("known").replace("(SELECT max(invoice_ts) FROM known)", "(SELECT max(invoice_ts) FROM sales)"),
+    SCORES,
+    SEGMENTED,
+    "attached AS (SELECT s.*, coalesce(segment, 'Unknown Customer') AS segment "
+    "FROM sales s LEFT JOIN segmented g ON s.customer_id = g.customer_id)",
+)
+
 CUSTOMER_LINES = "(SELECT * FROM dirty WHERE quantity > 0 AND price > 0)"
 
 ORACLE: dict[str, str] = {
-    "check_columns": f"""SELECT c AS "column", true AS present, (SELECT count(*) FROM lineitem) AS rows
+    "column_check": f"""SELECT c AS "column", true AS present, (SELECT count(*) FROM lineitem) AS rows
   FROM unnest([{', '.join(map(text, REQUIRED))}]) t(c)""",
-    "preview_rows": with_(RETAIL)
+    "preview": with_(RETAIL)
     + """SELECT invoice, stock_code, quantity, price FROM retail
   ORDER BY invoice, stock_code, quantity, price LIMIT 5""",
     "clean_positive": with_(DIRTY, POSITIVE) + time_text("positive"),
@@ -374,7 +386,7 @@ ORACLE: dict[str, str] = {
         for name, column in (("month", "year_month"), ("weekday", "weekday"), ("country", "country"))
     ),
     "product_sales_kpis": BASE + kpis("description"),
-    "rfm_metrics": with_(RETAIL, SALES, rfm("sales"))
+    "rfm": with_(RETAIL, SALES, rfm("sales"))
     + f"SELECT customer_id, recency, frequency, {rnd('monetary', 2)} AS monetary FROM rfm",
     "rfm_subday": with_(EVENTS, EVENT_SALES, rfm("sales"))
     + f"SELECT customer_id, recency, frequency, {rnd('monetary', 2)} AS monetary FROM rfm",
@@ -394,17 +406,29 @@ ORACLE: dict[str, str] = {
         WHEN row_number() OVER (ORDER BY revenue, segment DESC) = 1 THEN 'least_revenue' END AS kpi
     FROM (SELECT segment, count(*) AS customers, sum(monetary) AS revenue FROM acted GROUP BY segment))
   WHERE kpi IS NOT NULL""",
-    "sales_with_segments": with_(
-        DIRTY,
-        f"sales AS (SELECT * REPLACE (coalesce(customer_id, 'Unknown') AS customer_id), {FEATURES} "
-        "FROM dirty WHERE quantity > 0 AND price > 0)",
-        "known AS (SELECT * FROM sales WHERE customer_id <> 'Unknown')",
-        rfm("known").replace("(SELECT max(invoice_ts) FROM known)", "(SELECT max(invoice_ts) FROM sales)"),
-        SCORES,
-        SEGMENTED,
-    )
-    + """SELECT invoice, stock_code, quantity, price, s.customer_id, coalesce(segment, 'Unknown Customer') AS segment
-  FROM sales s LEFT JOIN segmented g ON s.customer_id = g.customer_id""",
+    "sales_with_segments": ATTACHED
+    + "SELECT invoice, stock_code, quantity, price, customer_id, segment FROM attached",
+    "segment_sales_csv": ATTACHED
+    + f"SELECT {DAY}, segment, sum(quantity) AS quantity FROM "
+    + "(SELECT CAST(invoice_ts AS DATE) AS d, segment, quantity FROM attached) GROUP BY d, segment",
+    "sales_csv": with_(DIRTY) + time_text("dirty"),
+    "competitor_csv": with_(RETAIL, DAILY, COMPETITOR)
+    + f"""SELECT strftime(cd, '%Y-%m-%d') AS day,
+    {rnd('CASE WHEN dayofyear(cd) % 3 <> 0 THEN level * CAST(0.001 AS DOUBLE) END', 4)} AS our_price,
+    {rnd('level * CAST(0.00095 AS DOUBLE)', 4)} AS competitor_a, {rnd('level * CAST(0.001 AS DOUBLE)', 4)}
+    AS competitor_b, {rnd('level * CAST(0.00105 AS DOUBLE)', 4)} AS competitor_c FROM competitor""",
+    "segment_summary_csv": CUSTOMERS + group_summary("segment", "acted"),
+    "cluster_summary_csv": CLUSTERS + group_summary("cluster_name", "named"),
+    "sales_with_clusters": CLUSTERS
+    + """SELECT invoice, stock_code, quantity, r.customer_id, coalesce(cluster_name, 'Unknown Customer') AS cluster_name
+  FROM retail r LEFT JOIN named n ON r.customer_id = n.customer_id""",
+    "product_sales": with_(RETAIL)
+    + "SELECT invoice, description, quantity, price, country FROM retail WHERE description = 'red widget'",
+    "one_series": SERIES
+    + f"SELECT stock_code, {DAY}, quantity, {rnd('our_price', 4)} AS our_price FROM gaps WHERE stock_code = 'Brand#12'",
+    "forecast_overall_metrics": FORECAST
+    + f"""SELECT {rnd('avg(abs(actual - predicted))', 4)} AS mae,
+    {rnd('sqrt(avg((actual - predicted) * (actual - predicted)))', 4)} AS rmse FROM predictions""",
     "rfm_scaled": with_(RETAIL, SALES, rfm("sales"))
     + "SELECT customer_id, "
     + ", ".join(

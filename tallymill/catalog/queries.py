@@ -6,6 +6,7 @@ dates are text, so that the same values come out of any engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,17 @@ from tallymill.operators import basket, cleaning, clusters, forecast, kpis, pric
 from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.plans import demand
-from tallymill.schema import half_even
+from tallymill.schema import COMPETITOR_COLUMNS, SALES_COLUMNS, half_even
+from tallymill.session import shared_folder
+from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table
 from tallymill.sources.readers import column_check, preview
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[run.__name__] = run
+    # A trailing underscore keeps the name of an import free.
+    QUERIES[run.__name__.rstrip("_")] = run
     return run
 
 
@@ -43,17 +47,75 @@ def with_time_text(df: DataFrame) -> DataFrame:
 
 
 @query
-def check_columns(spark, sf):
+def column_check_(spark, sf):
     rows = fx.retail(spark, sf)
     return column_check(rows).withColumn("rows", rows.agg(F.count("*")).scalar())
 
 
 @query
-def preview_rows(spark, sf):
+def preview_(spark, sf):
     rows = fx.retail(spark, sf, "invoice", "stock_code", "quantity", "price")
     return preview(rows, ["invoice", "stock_code", "quantity", "price"])
 
 
+def _written(df: DataFrame, name: str, fmt: str = "csv", partition_by=(), **options) -> str:
+    """Write to a new place in the shared folder and return its path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4()}"
+    write_table(df, path, fmt, partition_by, **options)
+    return path
+
+
+@query
+def sales_csv(spark, sf):
+    """All dirty sales through a Latin-1 CSV file and back."""
+    rows = fx.retail_dirty(spark, sf)
+    rows = rows.withColumn("invoice_ts", F.date_format("invoice_ts", "M/d/yyyy H:mm"))
+    source = rows.withColumnsRenamed({v: k for k, v in SALES_COLUMNS.items()})
+    back = read_sales(spark, _written(source, "sales", encoding="ISO-8859-1"))
+    return with_time_text(cleaning.add_calendar(back)).select(*fx.COLUMNS)
+
+
+@query
+def competitor_csv(spark, sf):
+    """Competitor prices through a file whose date column is called Date."""
+    source = fx.competitor(spark, sf).withColumnsRenamed({v: k for k, v in COMPETITOR_COLUMNS.items()})
+    path = _written(source.withColumnRenamed("day", "Date"), "competitor")
+    rows = ts.daily_competitor_prices(read_competitor_prices(spark, path))
+    return as_text(rounded(rows, 4, "our_price", *ts.COMPETITORS), "day")
+
+
+@query
+def segment_sales_csv(spark, sf):
+    """Sales with their segment exported, read back as units per group, and added up by day."""
+    columns = ("invoice_ts", "quantity", "segment")
+    path = _written(_sales_with_segments(spark, sf).select(*columns), "segment-sales")
+    units = read_segment_sales(spark, path).groupBy("day", "segment").agg(F.sum("quantity").alias("quantity"))
+    return as_text(units, "day")
+
+
+@query
+def segment_summary_csv(spark, sf):
+    summary = rfm.group_summary(_segmented(spark, sf))
+    path = _written(summary, "segment-summary")
+    return spark.read.option("header", True).option("escape", '"').schema(summary.schema).csv(path)
+
+
+@query
+def cluster_summary_csv(spark, sf):
+    summary = rfm.group_summary(_named(spark, sf), "cluster_name")
+    path = _written(summary, "cluster-summary")
+    return spark.read.option("header", True).option("escape", '"').schema(summary.schema).csv(path)
+
+
+@query
+def sales_with_clusters(spark, sf):
+    """Sales with their cluster name, through parquet partitioned by it."""
+    rows = fx.retail(spark, sf, "invoice", "stock_code", "quantity", "customer_id")
+    joined = rfm.attach_group(rows, _named(spark, sf), "cluster_name")
+    path = _written(joined, "sales-with-clusters", "parquet", ("cluster_name",))
+    return spark.read.schema(joined.schema).parquet(path).select(*joined.columns)
+
+
 @query
 def clean_positive(spark, sf):
     return with_time_text(cleaning.keep_positive(fx.retail_dirty(spark, sf)))
@@ -165,6 +227,13 @@ def product_kpis(spark, sf):
     return rounded(rollups.product_kpis(rows), 2, "revenue", "units", "avg_price")
 
 
+@query
+def product_sales(spark, sf):
+    """The drill-down to one product."""
+    columns = ("invoice", "description", "quantity", "price", "country")
+    return rollups.product(fx.retail(spark, sf, *columns), "red widget")
+
+
 @query
 def product_trends(spark, sf):
     rows = fx.sales(spark, sf, "invoice_ts", "description", "country")
@@ -189,7 +258,7 @@ def _segmented(spark, sf) -> DataFrame:
 
 
 @query
-def rfm_metrics(spark, sf):
+def rfm_(spark, sf):
     return rounded(_rfm(spark, sf), 2, "monetary")
 
 
@@ -240,14 +309,18 @@ def segment_kpis(spark, sf):
     return rounded(kpi, 4, "revenue", "customer_share", "revenue_share")
 
 
-@query
-def sales_with_segments(spark, sf):
+def _sales_with_segments(spark, sf) -> DataFrame:
     """Sales without a customer are kept out of the groups, to show the default name."""
     rows = fx.retail_dirty(spark, sf, "invoice", "stock_code", "quantity", "price", "invoice_ts", "customer_id")
     rows = cleaning.add_features(cleaning.fill_customers(cleaning.keep_positive(rows)))
     known = rfm.segment_customers(rfm.rfm(rows, include_unknown=False))
-    joined = rfm.attach_group(rows, known)
-    return joined.select("invoice", "stock_code", "quantity", "price", "customer_id", "segment")
+    return rfm.attach_group(rows, known)
+
+
+@query
+def sales_with_segments(spark, sf):
+    columns = ("invoice", "stock_code", "quantity", "price", "customer_id", "segment")
+    return _sales_with_segments(spark, sf).select(*columns)
 
 
 # Customer clusters
@@ -334,6 +407,13 @@ def daily_series(spark, sf):
     return as_text(rounded(series, 4, "our_price"), "day")
 
 
+@query
+def one_series(spark, sf):
+    """The series of a single stock code."""
+    series = ts.daily_series(fx.retail_brand(spark, sf), ["Brand#12"])
+    return as_text(rounded(series, 4, "our_price"), "day")
+
+
 @query
 def price_fill(spark, sf):
     return as_text(rounded(_series(spark, sf), 4, "our_price"), "day")
@@ -446,6 +526,11 @@ def forecast_metrics(spark, sf):
     return rounded(forecast.metrics(_fixed_predictions(spark, sf)), 4, "mae", "rmse")
 
 
+@query
+def forecast_overall_metrics(spark, sf):
+    return rounded(forecast.overall_metrics(_fixed_predictions(spark, sf)), 4, "mae", "rmse")
+
+
 @query
 def forecast_series(spark, sf):
     rows = forecast.combined_series(_fixed_predictions(spark, sf), _fixed_future(spark, sf))

@@ -70,19 +70,24 @@ def scaled_columns(customers: DataFrame) -> DataFrame:
     return customers.withColumns(scaled)
 
 
-def _fit(scaled: DataFrame, ks, starts: int, max_iter: int, seed: int) -> dict[int, Fit]:
-    """Fits over persisted points, in few enough partitions for many short passes."""
-    scaled = scaled.select("customer_id", *SCALED).persist(StorageLevel.MEMORY_AND_DISK)
+def _fits(customers: DataFrame, ks, starts: int, max_iter: int, seed: int) -> tuple[DataFrame, dict[int, Fit]]:
+    """The scaled customers and the fits over them. The metrics stay in memory for the many
+    short passes, in few enough partitions; a table the caller persisted is left as it is."""
+    own = customers.storageLevel == StorageLevel.NONE
+    if own:
+        customers.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        points = scaled.coalesce(max(1, -(-scaled.count() // PARTITION_ROWS)))
-        return best_fits(points, SCALED, "customer_id", ks, starts, max_iter, seed)
+        scaled = scaled_columns(customers)
+        points = scaled.coalesce(max(1, -(-customers.count() // PARTITION_ROWS)))
+        return scaled, best_fits(points, SCALED, "customer_id", ks, starts, max_iter, seed)
     finally:
-        scaled.unpersist()
+        if own:
+            customers.unpersist()
 
 
 def elbow(customers: DataFrame, max_k: int = 10, starts: int = 10, max_iter: int = 300, seed: int = 0) -> DataFrame:
     """Within-cluster sum of squares for k = 1 .. max_k: `k`, `wcss`."""
-    best = _fit(scaled_columns(customers), range(1, max_k + 1), starts, max_iter, seed)
+    _, best = _fits(customers, range(1, max_k + 1), starts, max_iter, seed)
     rows = [(k, fit.cost) for k, fit in best.items()]
     return customers.sparkSession.createDataFrame(rows, "k int, wcss double")
 
@@ -91,10 +96,9 @@ def cluster_customers(
     customers: DataFrame, k: int = 4, starts: int = 10, max_iter: int = 300, seed: int = 0
 ) -> DataFrame:
     """Add `cluster`, numbered from 0 in order of mean spend."""
-    scaled = scaled_columns(customers)
-    fit = _fit(scaled, [k], starts, max_iter, seed)[k]
+    scaled, fits = _fits(customers, [k], starts, max_iter, seed)
     # Spend is the last axis, so this order of the centres is the order of mean spend.
-    centers = sorted(fit.centers.tolist(), key=lambda center: center[::-1])
+    centers = sorted(fits[k].centers.tolist(), key=lambda center: center[::-1])
     away = [
         F.struct(
             sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip(SCALED, center)).alias("away"),

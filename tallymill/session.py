@@ -20,12 +20,9 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder the cluster names.
-
-    Only a local session without one gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names. Only a local session without one gets a
+    temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,4 +31,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="tallymill-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

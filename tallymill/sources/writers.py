@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "csv", partition_by=(), mode: str = "errorifexists"
+    df: DataFrame, path: str, fmt: str = "csv", partition_by=(), mode: str = "errorifexists", **options
 ) -> None:
     """Write `df` as CSV with a header, or in another Spark format.
 
     The executors write one file per partition; nothing passes through the driver.
     """
-    writer = df.write.mode(mode).format(fmt)
+    writer = df.write.mode(mode).format(fmt).options(**options)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     if partition_by:
