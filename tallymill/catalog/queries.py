@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill import fixtures as fx
@@ -511,7 +511,7 @@ def _fixed_predictions(spark, sf) -> DataFrame:
 def _fixed_future(spark, sf) -> DataFrame:
     """The last 30 days of each series once more, 10 percent up and 3 items down."""
     series = _series(spark, sf)
-    place = F.row_number().over(ts.Window.partitionBy(ts.KEY).orderBy(F.desc(ts.DAY)))
+    place = F.row_number().over(Window.partitionBy(ts.KEY).orderBy(F.desc(ts.DAY)))
     recent = series.withColumn("_back", place).filter(F.col("_back") <= 30)
     return recent.select(
         ts.KEY,

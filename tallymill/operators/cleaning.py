@@ -25,11 +25,12 @@ def remove_outliers(df: DataFrame, columns=IQR_COLUMNS, accuracy: int | None = N
     bounds are computed when this is called, so that the filters are plain
     comparisons that reach the scan. With `accuracy` the quartiles are approximate.
     """
-    # The rows only get fewer, so one count serves all columns of a small table.
-    at_most = df.count() if accuracy is None else None
+    # The rows only get fewer, so the first column's count serves all columns of a small table.
+    at_most = None
     for column in columns:
         if accuracy is None:
-            quartiles = exact_quantiles(df, {column: (0.25, 0.75)}, at_most)[column]
+            edges, sizes = exact_quantiles(df, {column: (0.25, 0.75)}, at_most)
+            quartiles, at_most = edges[column], sizes[column]
         else:
             quartiles = df.agg(F.percentile_approx(column, [0.25, 0.75], accuracy)).first()[0]
         if quartiles is None:

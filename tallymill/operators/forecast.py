@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.models import DemandModel, last_windows, roll_forward, units
-from tallymill.operators.series import DAY, KEY
+from tallymill.operators.series import DAY, KEY, latest_days
 
 HORIZON = 30
 GROWTH_LIMIT = 5.0
@@ -60,9 +60,7 @@ def growth(features: DataFrame, ahead: DataFrame, days: int = 30) -> DataFrame:
 
     Growth is 0 percent when the past mean is not above zero.
     """
-    newest = Window.partitionBy(KEY).orderBy(F.desc(DAY))
-    recent = features.select(KEY, "quantity", F.row_number().over(newest).alias("_back"))
-    past = recent.filter(F.col("_back") <= days).groupBy(KEY).agg(F.avg("quantity").alias("past_avg"))
+    past = latest_days(features, days).groupBy(KEY).agg(F.avg("quantity").alias("past_avg"))
     coming = ahead.groupBy(KEY).agg(F.avg("future_forecast").alias("future_avg"))
     change = (F.col("future_avg") - F.col("past_avg")) / F.col("past_avg") * 100
     pct = F.when(F.col("past_avg") > 0, change).otherwise(F.lit(0.0))

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.samples import BOUNDED, SEQ_LENGTH, scaled_features
-from tallymill.operators.series import DAY, KEY
+from tallymill.operators.series import DAY, KEY, latest_days
 from tallymill.session import checkpointed
 
 LINEAR, GBT = "linear", "gbt"
@@ -114,8 +114,7 @@ def last_windows(scaled: DataFrame, seq_length: int = SEQ_LENGTH) -> DataFrame:
     """One row per product: its last `seq_length` quantities as `window`, the other
     features of its last day as `last`, that `day`, and the bounds of the scaling."""
     others = [c for c in scaled_features(scaled) if c != "quantity"]
-    newest = Window.partitionBy(KEY).orderBy(F.desc(DAY))
-    recent = scaled.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= seq_length)
+    recent = latest_days(scaled, seq_length)
     in_order = F.array_sort(F.collect_list(F.struct(DAY, "quantity")))
     bounds = [f"{c}_{end}" for c in BOUNDED for end in ("low", "span")]
     return (

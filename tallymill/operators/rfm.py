@@ -68,7 +68,7 @@ def score(customers: DataFrame) -> DataFrame:
     customers ordered by frequency, then by id, so equal frequencies may be split.
     """
     ranked = with_position(customers, "frequency", "customer_id", name="rank")
-    edges = exact_quantiles(ranked, {"recency": FIFTHS, "monetary": FIFTHS})
+    edges = exact_quantiles(ranked, {"recency": FIFTHS, "monetary": FIFTHS}).edges
     if edges["recency"] is None:
         edges = {c: [0.0] * len(FIFTHS) for c in edges}
     before, last = F.col("rank") - 1, F.col("rank_count") - 1

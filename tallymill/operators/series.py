@@ -30,6 +30,12 @@ def by_day():
     return Window.partitionBy(KEY).orderBy(DAY)
 
 
+def latest_days(series: DataFrame, n: int) -> DataFrame:
+    """The last n days of each product, in the sort order that the other windows use."""
+    left = F.count("*").over(whole_series()) - F.row_number().over(by_day())
+    return series.withColumn("_left", left).filter(F.col("_left") < n).drop("_left")
+
+
 def _filled(column: str) -> Column:
     """The last value so far, or the first value of the series before there is one."""
     so_far = by_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -25,10 +25,13 @@ def test_quantiles_in_one_aggregate_and_by_narrowing(spark, kind):
     rows = [(float(v),) for v in values] + [(None,)] * 10
     df = spark.createDataFrame(rows, "v double").repartition(4)
     want = np.quantile(values, PROBABILITIES)
-    assert np.allclose(exact_quantiles(df, {"v": PROBABILITIES})["v"], want, rtol=1e-12)
+    assert np.allclose(exact_quantiles(df, {"v": PROBABILITIES}).edges["v"], want, rtol=1e-12)
     # A coarse accuracy and a small limit force several rounds.
-    narrowed = exact_quantiles(df, {"v": PROBABILITIES}, direct_rows=20, fetch_rows=20, accuracy=20)["v"]
+    narrowed = exact_quantiles(df, {"v": PROBABILITIES}, direct_rows=20, fetch_rows=20, accuracy=20).edges["v"]
     assert np.allclose(narrowed, want, rtol=1e-12)
+    # Here the pass that counts around the pivots also picks the values.
+    picked = exact_quantiles(df, {"v": PROBABILITIES}, direct_rows=20, fetch_rows=200, accuracy=100).edges["v"]
+    assert np.allclose(picked, want, rtol=1e-12)
 
 
 def test_columns_share_their_passes(spark):
@@ -37,14 +40,15 @@ def test_columns_share_their_passes(spark):
     df = spark.createDataFrame(list(zip(*(map(float, v) for v in frame.values()))), "a double, b double")
     wanted = {"a": (0.2, 0.4, 0.6, 0.8), "b": (0.25, 0.75)}
     for options in ({}, {"direct_rows": 10, "fetch_rows": 5, "accuracy": 50}, {"at_most": 500}):
-        got = exact_quantiles(df, wanted, **options)
+        got, sizes = exact_quantiles(df, wanted, **options)
+        assert sizes == {"a": 500, "b": 500}
         for c, shares in wanted.items():
             assert np.allclose(got[c], np.quantile(frame[c], shares), rtol=1e-12)
 
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
-    assert exact_quantiles(df, {"v": [0.5]}) == {"v": None}
+    assert exact_quantiles(df, {"v": [0.5]}).edges == {"v": None}
 
 
 def test_position_over_hot_value(spark):
