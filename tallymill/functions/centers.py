@@ -60,40 +60,80 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return total
 
 
+def _uniform(hashes: np.ndarray, draw: int) -> np.ndarray:
+    """Numbers in (0, 1] from row hashes, a different set for each draw."""
+    z = hashes.astype(np.uint64) + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)) + 1.0) / 2.0**53
+
+
 def _first_centers(points, columns, key, size, starts, seed) -> list[np.ndarray]:
-    """Centres drawn one by one, each with a chance in proportion to its squared distance
-    from those before it. The smallest of `-log(u) / weight` is such a draw, and a minimum
-    combines over tasks. u comes from a hash of the row, so a repeated task draws the same."""
-    names = [f"x{i}" for i in range(len(columns))]
-    numbers = [F.col(c).alias(n) for c, n in zip(columns, names)]
-    schema = "start int, race double, " + ", ".join(f"{n} double" for n in names)
+    """Centres chosen one by one. Some points are drawn, each with a chance in proportion to
+    its squared distance from the centres so far, and the one that lowers the sum of squared
+    distances most becomes the next centre."""
+    trials = 2 + int(np.log(size))
     chosen = [np.empty((0, len(columns))) for _ in range(starts)]
     for step in range(size):
-        draws = [F.xxhash64(F.col(key), F.lit(seed), F.lit(step), F.lit(s)).alias(f"h{s}") for s in range(starts)]
-        before = list(chosen)
-
-        def race(batches: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if batch.empty:
-                    continue
-                x = batch[names].to_numpy()
-                rows = []
-                for s, centers in enumerate(before):
-                    weight = _distances(x, centers).min(axis=1) if len(centers) else np.ones(len(x))
-                    u = ((batch[f"h{s}"].to_numpy().astype(np.uint64) >> np.uint64(11)) + 1.0) / 2.0**53
+        drawn = _draw(points, columns, key, chosen, trials if step else 1, (seed, step))
+        if step:
+            costs = _costs_with(points, columns, chosen, drawn)
+            drawn = [options[[int(np.argmin(cost))]] for options, cost in zip(drawn, costs)]
+        chosen = [np.vstack([centers, option]) for centers, option in zip(chosen, drawn)]
+    return chosen
+
+
+def _draw(points, columns, key, chosen, trials, salt) -> list[np.ndarray]:
+    """`trials` points per start. The smallest of `-log(u) / weight` is a draw by weight, and a
+    minimum combines over tasks. u comes from a hash of the row, so a repeated task draws the same."""
+    names = [f"x{i}" for i in range(len(columns))]
+    numbers = [F.col(c).alias(n) for c, n in zip(columns, names)]
+    hashed = F.xxhash64(F.col(key), *[F.lit(part) for part in salt]).alias("hash")
+
+    def race(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            x, hashes = batch[names].to_numpy(), batch["hash"].to_numpy()
+            rows = []
+            for s, centers in enumerate(chosen):
+                weight = _distances(x, centers).min(axis=1) if len(centers) else np.ones(len(x))
+                for t in range(trials):
                     arrival = np.full(len(x), np.inf)
-                    np.divide(-np.log(u), weight, out=arrival, where=weight > 0)
+                    luck = -np.log(_uniform(hashes, s * trials + t))
+                    np.divide(luck, weight, out=arrival, where=weight > 0)
                     # Rows at the same place in the race are ordered by value.
                     first = np.lexsort([*x.T[::-1], arrival])[0]
-                    rows.append((s, arrival[first], *x[first]))
-                yield pd.DataFrame(rows, columns=["start", "race", *names])
-
-        raced = points.select(*numbers, *draws).mapInPandas(race, schema)
-        winners = raced.groupBy("start").agg(F.min(F.struct("race", *names)).alias("best")).collect()
-        for row in winners:
-            point = np.array([[row.best[n] for n in names]])
-            chosen[row.start] = np.vstack([chosen[row.start], point])
-    return chosen
+                    rows.append((s, t, arrival[first], *x[first]))
+            yield pd.DataFrame(rows, columns=["start", "trial", "race", *names])
+
+    schema = "start int, trial int, race double, " + ", ".join(f"{n} double" for n in names)
+    raced = points.select(*numbers, hashed).mapInPandas(race, schema)
+    best = raced.groupBy("start", "trial").agg(F.min(F.struct("race", *names)).alias("best")).collect()
+    drawn = [np.empty((trials, len(columns))) for _ in chosen]
+    for row in best:
+        drawn[row.start][row.trial] = [row.best[n] for n in names]
+    return drawn
+
+
+def _costs_with(points, columns, chosen, drawn) -> list[np.ndarray]:
+    """Per start and drawn point: the sum of squared distances if it became a centre."""
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = np.zeros((len(chosen), len(drawn[0])))
+        for batch in batches:
+            x = batch.to_numpy()
+            for s, centers in enumerate(chosen):
+                now = _distances(x, centers).min(axis=1)
+                totals[s] += np.minimum(_distances(x, drawn[s]), now[:, None]).sum(axis=0)
+        starts, trials = np.indices(totals.shape)
+        yield pd.DataFrame({"start": starts.ravel(), "trial": trials.ravel(), "cost": totals.ravel()})
+
+    partial = points.select(*columns).mapInPandas(add_up, "start int, trial int, cost double")
+    costs = [np.zeros(len(options)) for options in drawn]
+    for row in partial.groupBy("start", "trial").agg(F.sum("cost").alias("cost")).collect():
+        costs[row.start][row.trial] = row.cost
+    return costs
 
 
 def _pass(points, columns, fits: list[Fit]) -> list[tuple[np.ndarray, np.ndarray, float]]:
