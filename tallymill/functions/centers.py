@@ -147,11 +147,13 @@ def _pass(points, columns, fits: list[Fit]) -> list[tuple[np.ndarray, np.ndarray
         totals = np.zeros((len(stacked), len(columns) + 2))
         for batch in batches:
             x = batch.to_numpy()
-            d = _distances(x, stacked)
+            own = (x**2).sum(axis=1)
+            # Squared distance without the part that is the same for every centre.
+            d = x @ (-2.0 * stacked.T) + (stacked**2).sum(axis=1)
             values = np.column_stack([np.ones(len(x)), x])
             for low, high in ranges:
                 near = d[:, low:high].argmin(axis=1)
-                cost = d[np.arange(len(x)), near + low]
+                cost = np.maximum(own + d[np.arange(len(x)), near + low], 0.0)
                 for i, column in enumerate([*values.T, cost]):
                     totals[low:high, i] += np.bincount(near, weights=column, minlength=high - low)
         held = np.flatnonzero(totals[:, 0])

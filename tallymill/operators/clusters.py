@@ -14,8 +14,8 @@ from tallymill.schema import half_even
 
 METRICS = ("recency", "frequency", "monetary")
 SCALED = tuple(f"{m}_scaled" for m in METRICS)
-# Customers per partition while fitting: passes over small data should not be many tasks.
-PARTITION_ROWS = 50_000
+# Customers per partition while fitting, at least: short passes should not be many tasks.
+PARTITION_ROWS = 4_000
 
 # Names in the order in which clusters receive them.
 BEST, LOWEST, LAPSED = "High-Value Champions", "Low-Spenders / New", "At-Risk / Lapsed"

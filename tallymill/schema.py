@@ -29,7 +29,7 @@ NUMERIC_COLUMNS = ("quantity", "price")
 
 # The accepted spellings of a date, tried in this order.
 TIMESTAMP_FORMATS = (
-    "M/d/yyyy H:mm[:ss]",
+    "M/d/yyyy[ H:mm[:ss]]",
     "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS]]]",
     "yyyy-MM-dd'T'HH:mm[:ss[.SSSSSS]]",
 )
