@@ -264,8 +264,8 @@ def scaled(column: str) -> str:
     return f"({column} - {low}) / CASE WHEN {high} = {low} THEN CAST(1 AS DOUBLE) ELSE CAST({high} - {low} AS DOUBLE) END"
 
 
-COMPETITOR = """competitor AS (SELECT CAST(o_orderdate AS DATE) AS cd, avg(o_totalprice) AS level FROM orders
-    GROUP BY ALL HAVING dayofyear(CAST(o_orderdate AS DATE)) % 2 = 0),
+COMPETITOR = """competitor AS (SELECT cd, CASE WHEN dayofyear(cd) % 2 = 0 THEN avg(o_totalprice) END AS level
+    FROM (SELECT CAST(o_orderdate AS DATE) AS cd, o_totalprice FROM orders) GROUP BY cd),
   priced AS (SELECT stock_code, d, quantity,
     coalesce(CASE WHEN dayofyear(cd) % 3 <> 0 THEN level * CAST(0.001 AS DOUBLE) END, our_price) AS our_price,
     level * CAST(0.00095 AS DOUBLE) AS a, level * CAST(0.001 AS DOUBLE) AS b, level * CAST(0.00105 AS DOUBLE) AS c

@@ -115,7 +115,7 @@ def test_the_linear_recursion_has_no_python_and_no_shuffle(linear):
 
 def test_unknown_model(spark):
     with pytest.raises(ValueError, match="unknown model"):
-        demand.forecast(weekly_sales(spark), "lstm", seq_length=SEQ)
+        demand.forecast(weekly_sales(spark), "other", seq_length=SEQ)
 
 
 def test_growth_limits(spark):
