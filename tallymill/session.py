@@ -1,11 +1,16 @@
-"""Checkpoint folder and a local session for tests and the benchmark."""
+"""Shared folder for checkpoints and written tables, and a local session for tests and the benchmark."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders this process has made, by Spark application; `release` deletes them.
+_MADE: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return (
@@ -16,25 +21,49 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallymill-checkpoint-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names. Only a local session without one gets a
-    temporary folder."""
+    """The folder that `spark.checkpoint.dir` names, on any master. Where it is unset, a
+    folder in the warehouse, which all executors share too."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tallymill-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared one, which `release` deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext, []).append(path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: a narrow plan that
+    survives lost executors, smaller than a checkpoint and with pushdown."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all checkpoints and tables this application has written to the shared
+    folder. Results that still read them can't be used afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [*_MADE.pop(spark.sparkContext, []), shared_folder(spark)]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(conf)
+        files.delete(folder, True)
+    files.mkdirs(folder)
