@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import line_dedup, odd_sketch
+from tallymill.llm import line_dedup, odd_sketch, packing, tiling, toxicity
+from tallymill.llm.common import crc_mod
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,9 +28,30 @@ def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), shingle=4)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf, "documents").select("doc_id", "text"), TOKENIZER)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf, "labels")))
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = tiling.overlaps(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_tiles", "n_covered", "coverage")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_toxicity": op9_toxicity,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
