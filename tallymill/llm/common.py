@@ -49,13 +49,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, A-Z lower-cased, and the number of words
-    before each text (with the total at the end). The same word has the same hash in any
-    task."""
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased if `lower`, and the number
+    of words before each text (with the total at the end). The same word has the same hash
+    in any task."""
     kinds = np.zeros(256, dtype=np.uint64)
     kinds[:] = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    kinds[ord("A") : ord("Z") + 1] = kinds[ord("a") : ord("z") + 1]
+    if lower:
+        kinds[ord("A") : ord("Z") + 1] = kinds[ord("a") : ord("z") + 1]
     blank = np.zeros(256, dtype=bool)
     blank[list(BLANKS)] = True
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)

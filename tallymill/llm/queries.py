@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import line_dedup, odd_sketch, packing, tiling, toxicity
+from tallymill.llm import hypervectors, line_dedup, odd_sketch, packing, quality, secrets, tiling, toxicity
 from tallymill.llm.common import crc_mod
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,11 +19,40 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality.MEASURES
+    )
+
+
+def _equals(kind: str) -> Callable:
+    return lambda other: other == kind
+
+
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE]
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    counts = [F.array_size(F.filter(kinds, _equals(k))).cast("long").alias(f"n_{k}") for k in base]
+    kept = F.filter("secrets", lambda s: s["kind"].isin(base))
+    digest = F.sha2(secrets.as_text(kept).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.as_text(F.col("secrets")).alias("spans"))
+
+
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = line_dedup.drop_shared_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    profiles = hypervectors.prototypes(docs.filter(~held_out))
+    found = hypervectors.identify(docs.drop("lang"), profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), shingle=4)
 
@@ -46,7 +75,10 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op7_language": op7_language,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
