@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import hypervectors, line_dedup, odd_sketch, packing, quality, secrets, tiling, toxicity
+from tallymill.llm import chat, hypervectors, line_dedup, odd_sketch, packing, quality, secrets, tiling, token_files, toxicity
 from tallymill.llm.common import crc_mod
+from tallymill.session import new_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,6 +27,16 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.repair(table(spark, sf, "conversations"))
+
+
+def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    token_files.write_files(table(spark, sf, "documents").select("doc_id", "text"), path, TOKENIZER)
+    return token_files.read_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def _equals(kind: str) -> Callable:
     return lambda other: other == kind
 
@@ -76,6 +87,8 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_format": op2_chat_format,
+    "op3_token_files": op3_token_files,
     "op4_secret_scan": op4_secret_scan,
     "op5_line_dedup": op5_line_dedup,
     "op7_language": op7_language,
