@@ -110,7 +110,7 @@ def thresholds(counted: DataFrame) -> DataFrame:
     everything = languages.agg(F.sum("good").alias("good"), *merged)
 
     def bounds(m: str, sketch: Column) -> list[Column]:
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
+        low, high = (F.when(F.col("good") > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(q))) for q in (0.25, 0.75))
         spread = F.greatest(high - low, F.lit(MEASURES[m][3])) * FENCE
         least = low - spread if MEASURES[m][2] else F.lit(float("-inf"))
         return [least.alias(f"{m}_low"), (high + spread).alias(f"{m}_high")]

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallymill.llm.common import crc_mod, text_batches
 from tallymill.session import stored
@@ -221,7 +222,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFra
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` that score below `threshold`."""
-    names = [c for c in docs.columns]
-    packed = docs.select("text", F.struct("*").alias("_row"))
-    kept = packed.mapInArrow(_scores(model), f"_row {docs.schema.simpleString()}, score double").filter(F.col("score") < threshold)
-    return kept.select(*[F.col(f"_row.`{c}`") for c in names])
+    packed = docs.select(F.col("text").alias("text"), F.struct("*").alias("_row"))
+    schema = StructType([StructField("_row", docs.schema), StructField("score", DoubleType())])
+    kept = packed.mapInArrow(_scores(model), schema).filter(F.col("score") < threshold)
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
