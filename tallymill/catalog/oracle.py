@@ -6,9 +6,49 @@ are written independently of the Spark code.
 
 from __future__ import annotations
 
-from tallymill.operators.clusters import PROFILES
-from tallymill.operators.rfm import ACTIONS
 
+# Fixed values, written down here again: the action of each segment.
+ACTIONS = {
+    'Sleeping': 'Try to win them back with special offers or reminders.',
+    'Loyal Customers': 'Reward them with exclusive deals and loyalty points.',
+    'Champions': 'Treat them like VIPs! Offer early access and special gifts.',
+    'At Risk': 'Send personalized emails and discounts to bring them back.',
+    'Potential Loyalists': 'Encourage them to join a membership or loyalty program.',
+    'Fading': "Send 'we miss you' emails with a special offer.",
+    'Need Attention': 'Ask for their feedback and suggest popular products.',
+    "Can't Lose Them": 'Offer a great deal to keep them from leaving.',
+    'Promising': 'Suggest other products they might like.',
+    'New Customers': 'Give them a great first experience and a welcome discount.',
+}
+
+# Fixed values, written down here again: parts of a cluster name, who they are, what to do.
+PROFILES = (
+    (
+        ('Champions',),
+        'These are your best customers: they buy often, spend the most, and have bought recently.',
+        'Engage with VIP treatment, early access to new products, and loyalty rewards. Turn them into brand ambassadors.',
+    ),
+    (
+        ('Low-Spenders',),
+        'This group consists of new or infrequent customers with low spending.',
+        'Help them grow! Send welcome offers, product recommendations, and deals to encourage a second purchase.',
+    ),
+    (
+        ('At-Risk', 'Lapsed'),
+        "These customers used to be valuable but haven't purchased in a long time. They might not come back.",
+        "Launch a special campaign to win them back. Offer a great discount or show them what's new to get their attention.",
+    ),
+    (
+        ('Potential',),
+        'This is a group of mid-tier customers who are starting to buy more often.',
+        'Encourage higher spending and frequency through bundling, cross-selling, and multi-buy offers.',
+    ),
+    (
+        (),
+        'This is a group of your typical, everyday customers.',
+        'Keep them engaged with regular newsletters and promotions on popular products.',
+    ),
+)
 
 def rnd(value: str, digits: int) -> str:
     """Round halves to even in floating point, as the queries do."""
@@ -287,6 +327,39 @@ SEGMENT_DAYS = (
     + " FROM retail GROUP BY ALL)"
 )
 
+# Columns of groups whose names collide, in sorted order of the names A-B, A b, a-b.
+COLLIDING = {
+    "segment_a_b": "A b", "segment_a_b_2": "A-B", "segment_a_b_3": "a-b",
+    "segment_automobile": "AUTOMOBILE", "segment_machinery": "MACHINERY",
+}
+COLLIDING_DAYS = (
+    "segment_days AS (SELECT CAST(invoice_ts AS DATE) AS sd, "
+    + ", ".join(f"sum(CASE WHEN g = '{g}' THEN quantity ELSE 0 END) AS {c}" for c, g in COLLIDING.items())
+    + """ FROM (SELECT *, CASE market_segment WHEN 'BUILDING' THEN 'a-b' WHEN 'FURNITURE' THEN 'A b'
+    WHEN 'HOUSEHOLD' THEN 'A-B' ELSE market_segment END AS g FROM retail) GROUP BY ALL)"""
+)
+
+# The days of the year that are holidays in each era, by another way to Easter: the Gauss
+# formula for the Sunday, and days found by weekday instead of counting back.
+ERA_HOLIDAYS = """
+  WITH ordered AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS o FROM orders),
+  days AS (SELECT DISTINCT CAST(o + to_months(12 * y) AS DATE) AS d FROM ordered, (VALUES (-104), (-28), (-16), (100), (300)) v(y)),
+  parts AS (SELECT d, year(d) AS y, month(d) AS m, day(d) AS n, isodow(d) AS w, y % 19 AS a, y % 4 AS b, y % 7 AS c,
+    y // 100 AS k, (13 + 8 * k) // 25 AS p, k // 4 AS q, (15 - p + k - q) % 30 AS mm, (4 + k - q) % 7 AS nn,
+    (19 * a + mm) % 30 AS dd, (2 * b + 4 * c + 6 * dd + nn) % 7 AS ee FROM days),
+  easter AS (SELECT *, make_date(CAST(y AS BIGINT), 3, 22) + CAST(dd + ee - CASE WHEN (dd = 29 AND ee = 6)
+    OR (dd = 28 AND ee = 6 AND (11 * mm + 11) % 30 < 19) THEN 7 ELSE 0 END AS INTEGER) AS sunday FROM parts)
+  SELECT strftime(d, '%Y-%m-%d') AS day, CAST(coalesce(
+    d = sunday - 2 OR (y >= 1871 AND d = sunday + 1) OR (m = 12 AND n = 25) OR (y >= 1871 AND m = 12 AND n = 26)
+    OR (y BETWEEN 1871 AND 1970 AND (d = sunday + 50 OR (m = 8 AND w = 1 AND n <= 7) OR (m = 12 AND n = 27 AND w = 1)))
+    OR (y >= 1971 AND w = 1 AND ((m = 5 AND n >= 25 AND NOT (y IN (2002, 2012, 2022))) OR (m = 8 AND n >= 25)))
+    OR (y >= 1971 AND m = 12 AND n IN (27, 28) AND w IN (1, 2))
+    OR (y >= 1974 AND m = 1 AND (n = 1 OR (w = 1 AND n IN (2, 3))))
+    OR (y >= 1978 AND m = 5 AND w = 1 AND n <= 7 AND NOT (y IN (1995, 2020)))
+    OR strftime(d, '%Y-%m-%d') IN ('1977-06-07', '1981-07-29', '1995-05-08', '1999-12-31', '2002-06-03', '2002-06-04',
+      '2011-04-29', '2012-06-04', '2012-06-05', '2020-05-08', '2022-06-02', '2022-06-03', '2022-09-19', '2023-05-08'),
+    false) AS INTEGER) AS is_holiday FROM easter"""
+
 PREDICTIONS = f"""predictions AS (SELECT * FROM (SELECT stock_code, d, quantity AS actual,
     lag(quantity, 7) {W} AS predicted FROM series) WHERE predicted IS NOT NULL)"""
 FUTURE = """recent AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY d DESC) AS back FROM series),
@@ -313,6 +386,53 @@ PRICES = with_(RETAIL, DAILY, CURVE)
 CURVE_ROW = f"""stock_code, current_price, point, {rnd('price', 4)} AS price,
     {rnd('units', 4)} AS total_predicted_quantity, {rnd('revenue', 4)} AS total_predicted_revenue"""
 
+# A day's scaled quantity from yesterday's scaled quantity and price, by least squares over
+# the training days of all products.
+YESTERDAY = f"""unit AS (SELECT *, (quantity - ql) / ql_span AS q, (our_price - pl) / pl_span AS p FROM (SELECT *,
+    min(quantity) OVER s AS ql, CASE WHEN max(quantity) OVER s = min(quantity) OVER s THEN CAST(1 AS DOUBLE)
+      ELSE max(quantity) OVER s - min(quantity) OVER s END AS ql_span,
+    min(our_price) OVER s AS pl, CASE WHEN max(our_price) OVER s = min(our_price) OVER s THEN CAST(1 AS DOUBLE)
+      ELSE max(our_price) OVER s - min(our_price) OVER s END AS pl_span FROM series WINDOW s AS (PARTITION BY stock_code))),
+  lagged AS (SELECT *, lag(q) {W} AS x1, lag(p) {W} AS x2, row_number() {W} - 1 AS sample,
+    count(*) OVER (PARTITION BY stock_code) - 1 AS n FROM unit),
+  known AS (SELECT *, floor(n * CAST(0.7 AS DOUBLE)) AS train, floor(n * CAST(0.15 AS DOUBLE)) AS checked FROM lagged
+    WHERE sample > 0),
+  usable AS (SELECT * FROM known WHERE checked >= 1 AND train >= 1),
+  tested AS (SELECT * FROM usable WHERE sample > train + checked),
+  moments AS (SELECT var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, q) AS s1, covar_pop(x2, q) AS s2,
+    avg(x1) AS m1, avg(x2) AS m2, avg(q) AS m FROM usable WHERE sample <= train),
+  slopes AS (SELECT *, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2
+    FROM moments),
+  weights AS (SELECT b1, b2, m - b1 * m1 - b2 * m2 AS b0 FROM slopes),
+  ends AS (SELECT stock_code, max(d) AS d, arg_max(q, d) AS q, arg_max(p, d) AS p, arg_max(our_price, d) AS current_price,
+    any_value(ql) AS ql, any_value(ql_span) AS ql_span, any_value(pl) AS pl, any_value(pl_span) AS pl_span
+    FROM usable GROUP BY stock_code),
+  path AS (SELECT stock_code, 0 AS step, d, q, p, ql, ql_span FROM ends
+    UNION ALL SELECT stock_code, step + 1, CAST(d + 1 AS DATE), b0 + b1 * q + b2 * p, p, ql, ql_span FROM path, weights WHERE step < 10)"""
+RECOMMENDED = """asked AS (SELECT *, current_price * CAST(0.8 AS DOUBLE) AS low, current_price * CAST(1.2 AS DOUBLE) AS high FROM ends
+    WHERE current_price <> 0),
+  offers AS (SELECT *, CASE WHEN point = 19 THEN high ELSE point * ((high - low) / 19) + low END AS price FROM asked, range(20) r(point)),
+  sold_at AS (SELECT stock_code, current_price, point, price, (price - pl) / pl_span AS sp, ql, ql_span, 0 AS step, q,
+      CAST(0 AS DOUBLE) AS units FROM offers
+    UNION ALL SELECT stock_code, current_price, point, price, sp, ql, ql_span, step + 1, b0 + b1 * q + b2 * sp,
+      units + greatest(CAST(0 AS DOUBLE), (b0 + b1 * q + b2 * sp) * ql_span + ql) FROM sold_at, weights WHERE step < 7),
+  priced AS (SELECT *, price * units AS revenue, row_number() OVER (PARTITION BY stock_code ORDER BY price * units DESC, price) AS place,
+    row_number() OVER (PARTITION BY stock_code ORDER BY abs(price - current_price), price) AS near FROM sold_at WHERE step = 7)"""
+# Yesterday's price, one of two, decides most of a day's quantity: the means of the training
+# days by that price are what one cut can learn.
+TWO_PRICES = f"""numbered AS (SELECT stock_code, d, date_diff('day', DATE '1992-01-01', d) AS t FROM series),
+  made AS (SELECT stock_code, d, CASE WHEN ((t * t * 7 + t * 3) // 4) % 2 = 0 THEN 1 ELSE 2 END AS price,
+    CAST(20 + 30 * (CASE WHEN (((t - 1) * (t - 1) * 7 + (t - 1) * 3) // 4) % 2 = 0 THEN 0 ELSE 1 END) + t % 5 AS DOUBLE) AS quantity
+    FROM numbered),
+  lagged AS (SELECT *, lag(price) {W} AS before, row_number() {W} - 1 AS sample, count(*) OVER (PARTITION BY stock_code) - 1 AS n,
+    min(quantity) OVER (PARTITION BY stock_code) AS low,
+    max(quantity) OVER (PARTITION BY stock_code) - min(quantity) OVER (PARTITION BY stock_code) AS span FROM made),
+  known AS (SELECT *, floor(n * CAST(0.7 AS DOUBLE)) AS train, floor(n * CAST(0.15 AS DOUBLE)) AS checked FROM lagged WHERE sample > 0),
+  tested AS (SELECT * FROM known WHERE sample > train + checked),
+  leaves AS (SELECT before, avg((quantity - low) / span) AS level FROM known WHERE sample <= train GROUP BY before),
+  ends AS (SELECT stock_code, max(d) AS d, arg_max(price, d) AS price, any_value(low) AS low, any_value(span) AS span
+    FROM known GROUP BY stock_code)"""
+
 REQUIRED = (
     "invoice", "stock_code", "description", "quantity", "invoice_ts", "price", "customer_id", "country",
 )
@@ -329,6 +449,11 @@ ATTACHED = with_(
     "FROM sales s LEFT JOIN segmented g ON s.customer_id = g.customer_id)",
 )
 
+ATTACHED_CLUSTERS = time_text(
+    """(SELECT r.* EXCLUDE (brand, market_segment), coalesce(cluster_name, 'Unknown Customer') AS cluster_name
+  FROM (SELECT *, COLS FROM retail) r LEFT JOIN named n ON r.customer_id = n.customer_id)""".replace("COLS", FEATURES)
+)
+
 CUSTOMER_LINES = "(SELECT * FROM dirty WHERE quantity > 0 AND price > 0)"
 
 ORACLE: dict[str, str] = {
@@ -365,7 +490,7 @@ ORACLE: dict[str, str] = {
   JOIN (SELECT customer_id, count(DISTINCT invoice) AS n FROM {CUSTOMER_LINES} GROUP BY customer_id) c
     ON s.customer_id = c.customer_id GROUP BY 1""",
     "avg_order_value": BASE
-    + f"""SELECT year_month, {rnd('avg(total) + CAST(1e-6 AS DOUBLE)', 4)} AS avg_order_value
+    + f"""SELECT year_month, {rnd('avg(total)', 3)} AS avg_order_value
   FROM (SELECT year_month, invoice, sum(revenue) AS total FROM sales GROUP BY ALL) GROUP BY year_month""",
     "market_basket": with_(RETAIL)
     + """, top AS (SELECT description FROM retail GROUP BY 1 ORDER BY count(*) DESC, description LIMIT 15),
@@ -381,7 +506,8 @@ ORACLE: dict[str, str] = {
     {rnd('avg(price)', 2)} AS avg_price, count(DISTINCT country) AS countries FROM sales GROUP BY description""",
     "product_trends": BASE
     + "\nUNION ALL\n".join(
-        f"""SELECT description, '{name}' AS trend, {column} AS key, {rnd('sum(revenue)', 2)} AS revenue
+        f"""SELECT description, '{name}' AS trend, {"CAST(any_value(weekday_no) + 1 AS INTEGER)" if name == "weekday" else "CAST(NULL AS INTEGER)"}
+    AS weekday_place, {column} AS key, {rnd('sum(revenue)', 2)} AS revenue
   FROM sales GROUP BY description, {column}"""
         for name, column in (("month", "year_month"), ("weekday", "weekday"), ("country", "country"))
     ),
@@ -406,8 +532,8 @@ ORACLE: dict[str, str] = {
         WHEN row_number() OVER (ORDER BY revenue, segment DESC) = 1 THEN 'least_revenue' END AS kpi
     FROM (SELECT segment, count(*) AS customers, sum(monetary) AS revenue FROM acted GROUP BY segment))
   WHERE kpi IS NOT NULL""",
-    "sales_with_segments": ATTACHED
-    + "SELECT invoice, stock_code, quantity, price, customer_id, segment FROM attached",
+    "sales_with_segments": ATTACHED + time_text("attached"),
+    "sales_with_segments_csv": ATTACHED + time_text("attached"),
     "segment_sales_csv": ATTACHED
     + f"SELECT {DAY}, segment, sum(quantity) AS quantity FROM "
     + "(SELECT CAST(invoice_ts AS DATE) AS d, segment, quantity FROM attached) GROUP BY d, segment",
@@ -419,11 +545,10 @@ ORACLE: dict[str, str] = {
     AS competitor_b, {rnd('level * CAST(0.00105 AS DOUBLE)', 4)} AS competitor_c FROM competitor""",
     "segment_summary_csv": CUSTOMERS + group_summary("segment", "acted"),
     "cluster_summary_csv": CLUSTERS + group_summary("cluster_name", "named"),
-    "sales_with_clusters": CLUSTERS
-    + """SELECT invoice, stock_code, quantity, r.customer_id, coalesce(cluster_name, 'Unknown Customer') AS cluster_name
-  FROM retail r LEFT JOIN named n ON r.customer_id = n.customer_id""",
+    "sales_with_clusters": CLUSTERS + ATTACHED_CLUSTERS,
+    "sales_with_clusters_csv": CLUSTERS + ATTACHED_CLUSTERS,
     "product_sales": with_(RETAIL)
-    + "SELECT invoice, description, quantity, price, country FROM retail WHERE description = 'red widget'",
+    + time_text("(SELECT * EXCLUDE (brand, market_segment) FROM retail WHERE description = 'red widget')"),
     "one_series": SERIES
     + f"SELECT stock_code, {DAY}, quantity, {rnd('our_price', 4)} AS our_price FROM gaps WHERE stock_code = 'Brand#12'",
     "forecast_overall_metrics": FORECAST
@@ -462,6 +587,11 @@ ORACLE: dict[str, str] = {
     + ", ".join(f"coalesce({g.lower()}, CAST(0 AS DOUBLE)) AS segment_{g.lower()}" for g in GROUPS)
     + " FROM series LEFT JOIN segment_days ON d = sd",
     "calendar_features": SERIES + f"SELECT stock_code, {DAY}, quantity, {CALENDAR} FROM series",
+    "segment_join_colliding": with_(RETAIL, DAILY, COLLIDING_DAYS)
+    + f"SELECT stock_code, {DAY}, quantity, "
+    + ", ".join(f"coalesce({c}, CAST(0 AS DOUBLE)) AS {c}" for c in COLLIDING)
+    + " FROM series LEFT JOIN segment_days ON d = sd",
+    "holidays_of_other_eras": ERA_HOLIDAYS,
     "lags": SERIES + f"SELECT stock_code, {DAY}, quantity, {LAGS} FROM series",
     "rolling": SERIES
     + f"SELECT stock_code, {DAY}, quantity, {rolling_columns(lambda x: rnd(x, 6))} FROM series",
@@ -477,15 +607,21 @@ ORACLE: dict[str, str] = {
     "sequences": with_(
         RETAIL,
         DAILY,
-        f"unit AS (SELECT stock_code, d, {scaled('quantity')} AS q, {scaled('our_price')} AS p FROM series)",
+        FEATURE_TABLE,
+        "unit AS (SELECT stock_code, d, "
+        + ", ".join(f"{scaled(c)} AS {c}" for c in FEATURE_NAMES)
+        + " FROM features)",
     )
-    + f"""SELECT stock_code, {DAY}, sample, CAST(days AS INTEGER) AS days, {rnd('first_q', 6)} AS first_quantity,
-    {rnd('last_p', 6)} AS last_price, {rnd('total', 6)} AS quantity_sum, {rnd('q', 6)} AS target
-  FROM (SELECT stock_code, d, q, CAST(row_number() {W} - 90 AS INTEGER) AS sample,
-      count(*) OVER past AS days, first_value(q) OVER past AS first_q, last_value(p) OVER past AS last_p,
-      sum(q) OVER past AS total
+    + f"""SELECT stock_code, {DAY}, sample, CAST(90 AS INTEGER) AS days, {', '.join(
+        f'{rnd(f"{kind}_{c}", 6)} AS {kind}_{c}' for kind in ("first", "last", "low", "high") for c in FEATURE_NAMES
+    )}, {rnd('quantity', 6)} AS target_0, {rnd('t1', 6)} AS target_1, {rnd('t2', 6)} AS target_2
+  FROM (SELECT stock_code, d, quantity, CAST(row_number() {W} - 90 AS INTEGER) AS sample, {', '.join(
+        f'first_value({c}) OVER past AS first_{c}, last_value({c}) OVER past AS last_{c}, '
+        f'min({c}) OVER past AS low_{c}, max({c}) OVER past AS high_{c}'
+        for c in FEATURE_NAMES
+    )}, lead(quantity, 1) {W} AS t1, lead(quantity, 2) {W} AS t2
     FROM unit WINDOW past AS (PARTITION BY stock_code ORDER BY d ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING))
-  WHERE sample > 0""",
+  WHERE sample > 0 AND t2 IS NOT NULL""",
     "split": SERIES
     + f"""SELECT stock_code, {DAY}, sample, CASE WHEN sample <= floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
     WHEN sample <= floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'validation'
@@ -549,4 +685,27 @@ ORACLE: dict[str, str] = {
     {rnd('units', 4)} AS expected_units, {rnd('revenue', 4)} AS expected_revenue
   FROM (SELECT c.*, b.revenue AS base FROM curve c JOIN curve b ON c.stock_code = b.stock_code AND b.near = 1)
   WHERE place = 1""",
+    "kmeans_planted": "SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(c_custkey % 4 AS INTEGER) AS cluster FROM customer",
+    # With k clusters the closest 11 - k of the ten groups share one.
+    "elbow_planted": f"""WITH points AS (SELECT c_custkey % 10 AS g, power(CAST(3 AS DOUBLE), c_custkey % 10) AS x FROM customer),
+  shared AS (SELECT k, coalesce(var_pop(x) * count(x), 0) AS apart FROM range(1, 11) r(k) LEFT JOIN points ON g <= 10 - k GROUP BY k)
+  SELECT CAST(k AS INTEGER) AS k, {rnd('3 * apart / (SELECT var_pop(x) FROM points)', 2)} AS wcss FROM shared""",
+    "forecast_linear_exact": with_(RETAIL, DAILY, YESTERDAY).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""SELECT stock_code, {DAY}, 'actual' AS kind, {rnd('quantity', 3)} AS value FROM tested
+  UNION ALL SELECT stock_code, {DAY}, 'predicted', {rnd('(b0 + b1 * x1 + b2 * x2) * ql_span + ql', 3)} FROM tested, weights
+  UNION ALL SELECT stock_code, strftime(d, '%Y-%m-%d'), 'future', {rnd('q * ql_span + ql', 3)} FROM path WHERE step > 0""",
+    "price_recommendation_exact": with_(RETAIL, DAILY, YESTERDAY, RECOMMENDED).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""SELECT stock_code, {rnd('current_price', 3)} AS current_price, {rnd('price', 3)} AS best_price,
+    {rnd('base', 3)} AS baseline_revenue, {rnd('revenue - base', 3)} AS uplift,
+    {rnd('CASE WHEN base > 0 THEN (revenue - base) / base * 100 ELSE 0 END', 3)} AS uplift_pct,
+    {rnd('(price - current_price) / current_price * 100', 3)} AS price_change_pct,
+    CASE WHEN price > current_price THEN 'increase' ELSE 'decrease' END AS direction,
+    CASE WHEN price > current_price THEN 'not very sensitive' ELSE 'very sensitive' END AS sensitivity,
+    {rnd('units', 3)} AS expected_units, {rnd('revenue', 3)} AS expected_revenue
+  FROM (SELECT c.*, b.revenue AS base FROM priced c JOIN priced b ON c.stock_code = b.stock_code AND b.near = 1) WHERE place = 1""",
+    "forecast_gbt_exact": with_(RETAIL, DAILY, TWO_PRICES)
+    + f"""SELECT stock_code, {DAY}, 'actual' AS kind, {rnd('quantity', 3)} AS value FROM tested
+  UNION ALL SELECT t.stock_code, {DAY}, 'predicted', {rnd('level * span + low', 3)} FROM tested t JOIN leaves l ON t.before = l.before
+  UNION ALL SELECT e.stock_code, strftime(e.d + CAST(step AS INTEGER), '%Y-%m-%d'), 'future', {rnd('level * span + low', 3)}
+  FROM ends e JOIN leaves l ON e.price = l.before, range(1, 11) r(step)""",
 }

@@ -6,10 +6,9 @@ dates are text, so that the same values come out of any engine.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill import fixtures as fx
@@ -18,7 +17,7 @@ from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.plans import demand
 from tallymill.schema import COMPETITOR_COLUMNS, SALES_COLUMNS, half_even
-from tallymill.session import shared_folder
+from tallymill.session import new_folder
 from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table
 from tallymill.sources.readers import column_check, preview
 
@@ -60,7 +59,7 @@ def preview_(spark, sf):
 
 def _written(df: DataFrame, name: str, fmt: str = "csv", partition_by=(), **options) -> str:
     """Write to a new place in the shared folder and return its path."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4()}"
+    path = new_folder(df.sparkSession, name)
     write_table(df, path, fmt, partition_by, **options)
     return path
 
@@ -84,15 +83,27 @@ def competitor_csv(spark, sf):
     return as_text(rounded(rows, 4, "our_price", *ts.COMPETITORS), "day")
 
 
+def _through_csv(df: DataFrame, name: str) -> DataFrame:
+    """All columns written as CSV and read back under their types."""
+    path = _written(df, name)
+    spark = df.sparkSession
+    return spark.read.option("header", True).option("escape", '"').schema(df.schema).csv(path)
+
+
 @query
 def segment_sales_csv(spark, sf):
-    """Sales with their segment exported, read back as units per group, and added up by day."""
-    columns = ("invoice_ts", "quantity", "segment")
-    path = _written(_sales_with_segments(spark, sf).select(*columns), "segment-sales")
+    """The full sales with their segment exported; the file as a source of units per group and day."""
+    path = _written(_sales_with_segments(spark, sf), "segment-sales")
     units = read_segment_sales(spark, path).groupBy("day", "segment").agg(F.sum("quantity").alias("quantity"))
     return as_text(units, "day")
 
 
+@query
+def sales_with_segments_csv(spark, sf):
+    """The full sales with their segment, through a CSV file."""
+    return _through_csv(with_time_text(_sales_with_segments(spark, sf)), "sales-with-segments")
+
+
 @query
 def segment_summary_csv(spark, sf):
     summary = rfm.group_summary(_segmented(spark, sf))
@@ -107,15 +118,25 @@ def cluster_summary_csv(spark, sf):
     return spark.read.option("header", True).option("escape", '"').schema(summary.schema).csv(path)
 
 
+def _sales_with_clusters(spark, sf) -> DataFrame:
+    rows = fx.sales(spark, sf, *fx.COLUMNS)
+    return with_time_text(rfm.attach_group(rows, _named(spark, sf), "cluster_name"))
+
+
 @query
 def sales_with_clusters(spark, sf):
-    """Sales with their cluster name, through parquet partitioned by it."""
-    rows = fx.retail(spark, sf, "invoice", "stock_code", "quantity", "customer_id")
-    joined = rfm.attach_group(rows, _named(spark, sf), "cluster_name")
+    """The full sales with their cluster name, through parquet partitioned by it."""
+    joined = _sales_with_clusters(spark, sf)
     path = _written(joined, "sales-with-clusters", "parquet", ("cluster_name",))
     return spark.read.schema(joined.schema).parquet(path).select(*joined.columns)
 
 
+@query
+def sales_with_clusters_csv(spark, sf):
+    """The full sales with their cluster name, through a CSV file."""
+    return _through_csv(_sales_with_clusters(spark, sf), "sales-with-clusters")
+
+
 @query
 def clean_positive(spark, sf):
     return with_time_text(cleaning.keep_positive(fx.retail_dirty(spark, sf)))
@@ -198,9 +219,7 @@ def new_vs_returning(spark, sf):
 
 @query
 def avg_order_value(spark, sf):
-    rows = rollups.average_order_value(fx.sales(spark, sf, "invoice", "invoice_ts"))
-    # Means of cents fall on exact halves; the shift keeps noise from deciding them.
-    return rounded(rows.withColumn("avg_order_value", F.col("avg_order_value") + 1e-6), 4, "avg_order_value")
+    return rounded(rollups.average_order_value(fx.sales(spark, sf, "invoice", "invoice_ts")), 3, "avg_order_value")
 
 
 @query
@@ -230,14 +249,13 @@ def product_kpis(spark, sf):
 @query
 def product_sales(spark, sf):
     """The drill-down to one product."""
-    columns = ("invoice", "description", "quantity", "price", "country")
-    return rollups.product(fx.retail(spark, sf, *columns), "red widget")
+    return with_time_text(rollups.product(fx.retail(spark, sf), "red widget"))
 
 
 @query
 def product_trends(spark, sf):
     rows = fx.sales(spark, sf, "invoice_ts", "description", "country")
-    return rounded(kpis.product_trends(rows), 2, "revenue").drop("weekday_place")
+    return rounded(kpis.product_trends(rows), 2, "revenue")
 
 
 @query
@@ -311,7 +329,7 @@ def segment_kpis(spark, sf):
 
 def _sales_with_segments(spark, sf) -> DataFrame:
     """Sales without a customer are kept out of the groups, to show the default name."""
-    rows = fx.retail_dirty(spark, sf, "invoice", "stock_code", "quantity", "price", "invoice_ts", "customer_id")
+    rows = fx.retail_dirty(spark, sf)
     rows = cleaning.add_features(cleaning.fill_customers(cleaning.keep_positive(rows)))
     known = rfm.segment_customers(rfm.rfm(rows, include_unknown=False))
     return rfm.attach_group(rows, known)
@@ -319,8 +337,7 @@ def _sales_with_segments(spark, sf) -> DataFrame:
 
 @query
 def sales_with_segments(spark, sf):
-    columns = ("invoice", "stock_code", "quantity", "price", "customer_id", "segment")
-    return _sales_with_segments(spark, sf).select(*columns)
+    return with_time_text(_sales_with_segments(spark, sf))
 
 
 # Customer clusters
@@ -452,6 +469,22 @@ def holiday_flag(spark, sf):
     return as_text(ts.add_holidays(_series(spark, sf).drop("our_price")), "day")
 
 
+@query
+def holidays_of_other_eras(spark, sf):
+    """The order days moved by whole leap cycles, to years from 1890 on and from 2090 on."""
+    days = fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("at")).distinct()
+    moved = days.select(F.explode(F.array(*[F.add_months("at", 12 * y) for y in (-104, -28, -16, 100, 300)])).alias("day"))
+    return as_text(ts.add_holidays(moved.distinct()), "day")
+
+
+@query
+def segment_join_colliding(spark, sf):
+    """Groups whose names differ by case or marks only get a column each."""
+    name = F.when(F.col("segment") == "BUILDING", "a-b").when(F.col("segment") == "FURNITURE", "A b")
+    sales = fx.segment_sales(spark, sf).withColumn("segment", name.when(F.col("segment") == "HOUSEHOLD", "A-B").otherwise(F.col("segment")))
+    return as_text(ts.join_segment_sales(_series(spark, sf).drop("our_price"), sales), "day")
+
+
 @query
 def feature_table(spark, sf):
     rows = rounded(_features(spark, sf), 4, "our_price")
@@ -465,25 +498,30 @@ def minmax(spark, sf):
     return as_text(rounded(scaled.select(ts.KEY, ts.DAY, *columns), 6, *columns), "day")
 
 
+def _place(place: int) -> Callable[[Column], Column]:
+    return lambda step: step[place]
+
+
 @query
 def sequences(spark, sf):
-    """Each window reduced to its length, its ends and its sum, to compare plain values."""
-    scaled = sm.min_max_scale(_series(spark, sf))
-    rows = sm.sequences(scaled, columns=["quantity", "our_price"])
-    total = F.aggregate("window", F.lit(0.0), lambda s, x: s + x[0])
+    """Windows of all features, three targets ahead. Each window is reduced to its length, its
+    ends and the bounds of each feature, each target to a column, to compare plain values."""
+    scaled = sm.min_max_scale(_features(spark, sf))
+    names = sm.scaled_features(scaled)
+    rows = sm.sequences(scaled, horizon=3)
     result = rows.select(
         ts.KEY,
         ts.DAY,
         "sample",
         F.size("window").alias("days"),
-        F.col("window")[0][0].alias("first_quantity"),
-        F.element_at("window", -1)[1].alias("last_price"),
-        total.alias("quantity_sum"),
-        F.col("target")[0].alias("target"),
-    )
-    return as_text(
-        rounded(result, 6, "first_quantity", "last_price", "quantity_sum", "target"), "day"
+        *[F.col("window")[0][i].alias(f"first_{c}") for i, c in enumerate(names)],
+        *[F.element_at("window", -1)[i].alias(f"last_{c}") for i, c in enumerate(names)],
+        *[F.array_min(F.transform("window", _place(i))).alias(f"low_{c}") for i, c in enumerate(names)],
+        *[F.array_max(F.transform("window", _place(i))).alias(f"high_{c}") for i, c in enumerate(names)],
+        *[F.col("target")[i].alias(f"target_{i}") for i in range(3)],
     )
+    ends = ("first_", "last_", "low_", "high_", "target_")
+    return as_text(rounded(result, 6, *[c for c in result.columns if c.startswith(ends)]), "day")
 
 
 @query
@@ -561,14 +599,20 @@ def forecast_kpis(spark, sf):
     return rounded(rows, 4, "safety_stock", "next_7_days", "growth_pct")
 
 
+def _released(run: demand.Forecast) -> demand.Forecast:
+    """What is checkpointed can still be read."""
+    run.release()
+    return run
+
+
 @query
 def forecast_linear(spark, sf):
-    return as_text(demand.forecast(fx.retail_brand(spark, sf), "linear").combined, "day")
+    return as_text(_released(demand.forecast(fx.retail_brand(spark, sf), "linear")).combined, "day")
 
 
 @query
 def forecast_gbt(spark, sf):
-    return as_text(demand.forecast(fx.retail_brand(spark, sf), "gbt").combined, "day")
+    return as_text(_released(demand.forecast(fx.retail_brand(spark, sf), "gbt")).combined, "day")
 
 
 # Prices
@@ -611,5 +655,69 @@ def price_uplift(spark, sf):
 
 @query
 def price_recommendation(spark, sf):
-    run = demand.forecast(fx.retail_brand(spark, sf), "linear")
-    return demand.recommend_prices(run)["uplift"]
+    return _uplift(demand.forecast(fx.retail_brand(spark, sf), "linear"))
+
+
+def _uplift(run: demand.Forecast) -> DataFrame:
+    uplift = demand.recommend_prices(run)["uplift"]
+    run.release()
+    return uplift
+
+
+# Models on data whose answer SQL can work out.
+
+
+@query
+def kmeans_planted(spark, sf):
+    """Four groups of customers that lie far apart."""
+    key = F.col("c_custkey")
+    place = key % 4
+    customers = fx.table(spark, sf, "customer").select(
+        key.cast("string").alias("customer_id"),
+        (place * 100 + key % 5).alias("recency"),
+        ((3 - place) * 20 + key % 3).alias("frequency"),
+        (place * place * 10000 + key % 7).cast("double").alias("monetary"),
+    )
+    return clusters.cluster_customers(customers).select("customer_id", "cluster")
+
+
+@query
+def elbow_planted(spark, sf):
+    """Ten groups at growing distances: the closest ones share a cluster if there are fewer."""
+    value = F.pow(F.lit(3.0), F.col("c_custkey") % 10)
+    metrics = [value.alias(m) for m in clusters.METRICS]
+    customers = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"), *metrics)
+    return rounded(clusters.elbow(customers), 2, "wcss")
+
+
+def _yesterday(spark, sf, **options) -> demand.Forecast:
+    """A linear model of yesterday's quantity and price, without a penalty."""
+    return demand.forecast_table(_series(spark, sf), "linear", seq_length=1, reg_grid=(0.0,), **options)
+
+
+@query
+def forecast_linear_exact(spark, sf):
+    run = _released(_yesterday(spark, sf, horizon=10))
+    return as_text(rounded(run.combined, 3, "value"), "day")
+
+
+@query
+def price_recommendation_exact(spark, sf):
+    rows = _uplift(_yesterday(spark, sf))
+    return rounded(rows, 3, *[f.name for f in rows.schema if f.dataType.typeName() == "double"])
+
+
+@query
+def forecast_gbt_exact(spark, sf):
+    """One tree with one cut: a day's quantity follows yesterday's price, which has two values."""
+    number = F.datediff(F.col("day"), F.lit("1992-01-01").cast("date"))
+
+    def price(day: Column) -> Column:
+        return F.when(F.shiftright(day * day * 7 + day * 3, 2) % 2 == 0, 1.0).otherwise(2.0)
+
+    quantity = 20 + 30 * (price(number - 1) - 1) + number % 5
+    table = _series(spark, sf).select(
+        ts.KEY, ts.DAY, quantity.cast("double").alias("quantity"), price(number).alias("our_price")
+    )
+    run = _released(demand.forecast_table(table, "gbt", seq_length=1, horizon=10, max_iter=1, max_depth=1))
+    return as_text(rounded(run.combined, 3, "value"), "day")

@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup table up to this many rows is sent to every executor.
-BROADCAST_ROWS = 200_000
+from tallymill.session import checkpointed
+
+# A lookup table up to this size is sent to every executor.
+BROADCAST_BYTES = 16_000_000
 # A key above this share of the rows is split; at most 1 / share keys can be.
 HOT_SHARE = 0.001
 SALTS = 64
 
 
-def if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows fit into `max_bytes`: 16 for each value, and the bytes of texts.
+    Materialise `df` first, since this reads it."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    row = sum(texts, F.lit(16 * len(df.columns)))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= max_bytes
+
+
+def if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark `df` for broadcast if it is small; materialise it first."""
+    return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
 def lookup(
     rows: DataFrame,
     table: DataFrame,
     key: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     hot_share: float = HOT_SHARE,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -29,16 +39,17 @@ def lookup(
 
     A small table is broadcast. Otherwise rows of hot keys (and of a null key, which
     matches nothing) are spread over `salts` copies of their table row, so no task
-    gets a whole hot key.
+    gets a whole hot key. Materialise `table` first, since its size is read.
     """
-    if table.count() <= broadcast_rows:
+    if is_small(table, broadcast_bytes):
         return rows.join(F.broadcast(table), key, "left")
-    total = rows.count()
-    per_key = rows.groupBy(key).count().filter(F.col("count") > hot_share * total)
-    hot = [r[0] for r in per_key.select(key).collect()]
+    # The total and the keys that may be hot, from one pass over the rows.
+    per_key = checkpointed(rows.groupBy(key).count())
+    total = per_key.agg(F.sum("count")).first()[0] or 0
+    hot = [r[0] for r in per_key.filter(F.col("count") > hot_share * total).select(key).collect()]
     if not hot:
         return rows.join(table, key, "left")
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     known = [k for k in hot if k is not None]
     is_hot = F.col(key).isin(*known) if known else F.lit(False)
     left = rows.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, spread).otherwise(F.lit(0)))

@@ -5,26 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A column with at most this many values goes through one `percentile` aggregate.
-DIRECT_ROWS = 200_000
 # Values around one rank that may be sorted in one list.
 FETCH_ROWS = 200_000
 # Rank error of the pivots, as a share of the rows that are still in question.
 ACCURACY = 10_000
 
 
-class Quantiles(NamedTuple):
-    """Edges per column (None for a column without values) and an upper bound of its values."""
-
-    edges: dict[str, list[float] | None]
-    sizes: dict[str, int]
-
-
 @dataclass(frozen=True)
 class Gap:
     """The values strictly between two bounds hold a wanted rank; None is an open end."""
@@ -46,50 +36,32 @@ class Gap:
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    at_most: int | None = None,
-    direct_rows: int = DIRECT_ROWS,
     fetch_rows: int = FETCH_ROWS,
     accuracy: int = ACCURACY,
-) -> Quantiles:
-    """Linearly interpolated quantiles per column.
-
-    `percentile` keeps every distinct value in one buffer, so it is only used up to
-    `direct_rows`. Larger columns are narrowed down around each wanted rank: a pass
-    counts the rows below a few pivots, and the gap that holds the rank stays. Only
-    counts, pivots and the last gap reach one task. All columns share the passes.
-    `at_most`, a known limit of the rows, saves counting a small table.
+) -> dict[str, list[float] | None]:
+    """Linearly interpolated quantiles per column; None for a column without values.
+
+    The values at the ranks around each quantile are found exactly, by narrowing down: a
+    pass counts the rows below a few pivots, and the gap that holds the rank stays. Only
+    counts, pivots and the last gap reach one task. All columns share the passes, and
+    every size of table goes the same way.
     """
-    if at_most is not None and at_most <= direct_rows:
-        return Quantiles(_direct(df, wanted), {c: at_most for c in wanted})
     # One pass for the sizes and the first pivots.
     asks = [F.count(c).alias(f"n_{c}") for c in wanted]
     for c, shares in wanted.items():
         near = [x for p in shares for x in _around(p, accuracy)]
         asks.append(F.percentile_approx(F.col(c).cast("double"), near, accuracy).alias(f"p_{c}"))
     seen = df.agg(*asks).first()
-    large = [c for c in wanted if seen[f"n_{c}"] > direct_rows]
-    result = _direct(df, {c: wanted[c] for c in wanted if c not in large}) if len(large) < len(wanted) else {}
-    sizes = {c: seen[f"n_{c}"] for c in wanted}
-    if not large:
-        return Quantiles(result, sizes)
-
     ranks, gaps, pivots = {}, {}, {}
-    for c in large:
+    for c in wanted:
         n = seen[f"n_{c}"]
-        ranks[c] = [p * (n - 1) for p in wanted[c]]
+        ranks[c] = [p * (n - 1) for p in wanted[c]] if n else []
         for i, position in enumerate(ranks[c]):
             for rank in {math.floor(position), math.ceil(position)}:
                 gaps[c, rank] = Gap(None, None, 0, n)
                 pivots.setdefault((c, rank), set()).update(seen[f"p_{c}"][3 * i : 3 * i + 3])
     values = _values_at(df, gaps, pivots, fetch_rows, accuracy)
-    for c in large:
-        result[c] = [_between(values, c, position) for position in ranks[c]]
-    return Quantiles(result, sizes)
-
-
-def _direct(df: DataFrame, wanted) -> dict[str, list[float] | None]:
-    row = df.agg(*[F.percentile(c, list(shares)).alias(c) for c, shares in wanted.items()]).first()
-    return {c: None if row[c] is None else [float(v) for v in row[c]] for c in wanted}
+    return {c: [_between(values, c, position) for position in ranks[c]] or None for c in wanted}
 
 
 def _around(share: float, accuracy: int) -> list[float]:
@@ -98,8 +70,10 @@ def _around(share: float, accuracy: int) -> list[float]:
 
 
 def _between(values, column: str, position: float) -> float:
+    """Measured from the nearer rank, so that equal steps from both sides agree."""
     low, high = values[column, math.floor(position)], values[column, math.ceil(position)]
-    return low if low == high else low + (high - low) * (position - math.floor(position))
+    part = position - math.floor(position)
+    return low + (high - low) * part if part < 0.5 else high - (high - low) * (1 - part)
 
 
 def _values_at(df, gaps, pivots, fetch_rows, accuracy) -> dict[tuple[str, int], float]:

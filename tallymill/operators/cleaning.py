@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.functions.joins import lookup
+from tallymill.functions.joins import is_small, lookup
 from tallymill.functions.quantiles import exact_quantiles
 from tallymill.schema import UNKNOWN, is_text, parse_timestamp
 from tallymill.session import checkpointed
@@ -25,12 +25,9 @@ def remove_outliers(df: DataFrame, columns=IQR_COLUMNS, accuracy: int | None = N
     bounds are computed when this is called, so that the filters are plain
     comparisons that reach the scan. With `accuracy` the quartiles are approximate.
     """
-    # The rows only get fewer, so the first column's count serves all columns of a small table.
-    at_most = None
     for column in columns:
         if accuracy is None:
-            edges, sizes = exact_quantiles(df, {column: (0.25, 0.75)}, at_most)
-            quartiles, at_most = edges[column], sizes[column]
+            quartiles = exact_quantiles(df, {column: (0.25, 0.75)})[column]
         else:
             quartiles = df.agg(F.percentile_approx(column, [0.25, 0.75], accuracy)).first()[0]
         if quartiles is None:
@@ -60,18 +57,22 @@ def descriptions_by_stock_code(df: DataFrame) -> DataFrame:
 def fill_descriptions(df: DataFrame) -> DataFrame:
     """Fill a missing description from the stock code's other rows, else 'Unknown'.
 
-    Only the rows without a description are joined.
+    If the known descriptions are few enough to broadcast, the sales are read once and
+    rows with a description match nothing. Otherwise only the rows without one are joined.
     """
     if is_text(df, "invoice_ts"):
         df = df.withColumn("invoice_ts", parse_timestamp("invoice_ts", lenient=False))
-    known = df.filter(F.col("description").isNotNull())
-    missing = df.filter(F.col("description").isNull())
     # Checkpointed, so that its size can be checked without reading the sales twice.
     names = checkpointed(descriptions_by_stock_code(df))
-    filled = lookup(missing, names, "stock_code").withColumn(
-        "description", F.coalesce("known_description", F.lit(UNKNOWN))
-    )
-    return known.unionByName(filled.select(*df.columns))
+    text = F.coalesce("description", "known_description", F.lit(UNKNOWN)).alias("description")
+    columns = [text if c == "description" else F.col(c) for c in df.columns]
+    if is_small(names):
+        of_missing = F.when(F.col("description").isNull(), F.col("stock_code"))
+        names = F.broadcast(names.withColumnRenamed("stock_code", "_known_code"))
+        return df.join(names, of_missing == F.col("_known_code"), "left").select(*columns)
+    known = df.filter(F.col("description").isNotNull())
+    missing = df.filter(F.col("description").isNull())
+    return known.unionByName(lookup(missing, names, "stock_code").select(*columns))
 
 
 def impute(df: DataFrame) -> DataFrame:

@@ -34,7 +34,10 @@ class DemandModel:
     validation_mse: float | None = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """Add `prediction`, the scaled quantity of the day after the window."""
+        """Add `prediction`, the scaled quantity of the day after the window. A model that had
+        nothing to learn from predicts no row."""
+        if self.model is None:
+            return rows.limit(0).withColumn("prediction", F.lit(0.0))
         return self.model.transform(_with_vector(rows)).drop("vector")
 
 
@@ -59,13 +62,15 @@ def fit(
     """
     rows = _with_vector(parts.filter(F.col("part") != "test")).select("vector", "quantity", "part")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    model = mse = None
     try:
-        if kind == LINEAR:
-            model, mse = _fit_linear(rows, reg_grid)
-        elif kind == GBT:
-            model, mse = _fit_gbt(rows, seed, max_iter, max_depth), None
-        else:
+        if kind not in (LINEAR, GBT):
             raise ValueError(f"unknown model {kind!r}; use {LINEAR!r} or {GBT!r}")
+        if not rows.filter("part = 'train'").isEmpty():
+            if kind == LINEAR:
+                model, mse = _fit_linear(rows, reg_grid)
+            else:
+                model = _fit_gbt(rows, seed, max_iter, max_depth)
     finally:
         rows.unpersist()
     return DemandModel(kind, model, seq_length, list(features), mse)
@@ -81,7 +86,7 @@ def _fit_linear(rows: DataFrame, reg_grid: Sequence[float]):
         model = ridge.fit(train)
         error = F.col("prediction") - F.col("quantity")
         mse = model.transform(validation).agg(F.avg(error * error)).first()[0]
-        if best is None or (mse is not None and mse < best[1]):
+        if best is None or (mse is not None and (best[1] is None or mse < best[1])):
             best = (model, mse)
     return best
 
@@ -135,6 +140,8 @@ def roll_forward(model: DemandModel, states: DataFrame, horizon: int) -> DataFra
     Each prediction joins the window and the oldest day leaves it; the features of the
     last day stay as they are.
     """
+    if model.model is None:
+        return states.limit(0).withColumn("path", F.array().cast("array<double>")).drop("window", "last")
     if model.kind == LINEAR:
         weights = model.model.coefficients.toArray().tolist()
         own, other = weights[: model.seq_length], weights[model.seq_length :]

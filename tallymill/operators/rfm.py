@@ -9,6 +9,7 @@ from tallymill.functions.joins import lookup
 from tallymill.functions.quantiles import exact_quantiles
 from tallymill.functions.ranking import with_position
 from tallymill.schema import UNKNOWN, UNKNOWN_CUSTOMER, half_even
+from tallymill.session import checkpointed
 
 FIFTHS = (0.2, 0.4, 0.6, 0.8)
 
@@ -68,7 +69,7 @@ def score(customers: DataFrame) -> DataFrame:
     customers ordered by frequency, then by id, so equal frequencies may be split.
     """
     ranked = with_position(customers, "frequency", "customer_id", name="rank")
-    edges = exact_quantiles(ranked, {"recency": FIFTHS, "monetary": FIFTHS}).edges
+    edges = exact_quantiles(ranked, {"recency": FIFTHS, "monetary": FIFTHS})
     if edges["recency"] is None:
         edges = {c: [0.0] * len(FIFTHS) for c in edges}
     before, last = F.col("rank") - 1, F.col("rank_count") - 1
@@ -103,7 +104,8 @@ def segment_actions(segmented: DataFrame) -> DataFrame:
 
 def attach_group(sales: DataFrame, customers: DataFrame, column: str = "segment") -> DataFrame:
     """Every sale with its customer's group; a customer without one is 'Unknown Customer'."""
-    groups = customers.select("customer_id", column)
+    # Checkpointed, so that its size can be checked without computing the groups twice.
+    groups = checkpointed(customers.select("customer_id", column))
     return lookup(sales, groups, "customer_id").fillna({column: UNKNOWN_CUSTOMER})
 
 
@@ -121,8 +123,8 @@ def group_sales(customers: DataFrame, group: str = "segment") -> DataFrame:
 
 
 def _share(column: str) -> Column:
-    """Percent of the whole. The window runs over one row per group, not per customer."""
-    return F.col(column) / F.sum(column).over(Window.partitionBy()) * 100
+    """Percent of the whole, null of a whole of 0. The window runs over one row per group, not per customer."""
+    return F.try_divide(F.col(column), F.sum(column).over(Window.partitionBy())) * 100
 
 
 def group_shares(customers: DataFrame, group: str = "segment") -> DataFrame:
@@ -153,11 +155,12 @@ def group_summary(customers: DataFrame, group: str = "segment") -> DataFrame:
 
 def group_kpis(customers: DataFrame, group: str = "segment") -> DataFrame:
     """The most valuable group with its shares, and the group with the least revenue."""
+    # One row: the best and the worst of a few groups; of equal ones the first and the last name.
     shares = group_shares(customers, group)
-    best = Window.orderBy(F.desc("revenue"), group)
-    worst = Window.orderBy("revenue", F.desc(group))
-    marked = shares.withColumns({"_best": F.row_number().over(best), "_worst": F.row_number().over(worst)})
-    columns = [F.col(group).alias("group"), "customer_share", "revenue", "revenue_share"]
-    top = marked.filter("_best = 1").select(F.lit("most_valuable").alias("kpi"), *columns)
-    low = marked.filter("_worst = 1").select(F.lit("least_revenue").alias("kpi"), *columns)
-    return top.unionByName(low)
+    row = F.struct(F.col(group).alias("group"), "customer_share", "revenue", "revenue_share")
+    ends = shares.agg(
+        F.min_by(row, F.struct(-F.col("revenue"), group)).alias("most_valuable"),
+        F.max_by(row, F.struct(-F.col("revenue"), group)).alias("least_revenue"),
+    )
+    kpis = F.array(*[F.struct(F.lit(k).alias("kpi"), F.col(k).alias("row")) for k in ("most_valuable", "least_revenue")])
+    return ends.select(F.inline(kpis)).filter(F.col("row").isNotNull()).select("kpi", "row.*")

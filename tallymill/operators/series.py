@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymill.functions.holidays import uk_holidays
+from tallymill.functions.holidays import is_uk_holiday
 from tallymill.functions.joins import if_small
+from tallymill.session import checkpointed
 
 KEY, DAY = "stock_code", "day"
 LAGS = (1, 7, 14, 30)
 WINDOWS = (7, 14, 30)
-HOLIDAY_YEARS = (1900, 2199)
-MAX_SEGMENTS = 500
 COMPETITORS = ("competitor_a", "competitor_b", "competitor_c")
 
 
@@ -87,7 +86,8 @@ def daily_competitor_prices(prices: DataFrame) -> DataFrame:
 def join_competitor_prices(series: DataFrame, prices: DataFrame) -> DataFrame:
     """Add competitor prices by day. An `our_price` in the file replaces ours where present;
     competitor columns are filled forward, then backward, within a series."""
-    daily = daily_competitor_prices(prices).withColumnsRenamed({"our_price": "_our_price"})
+    # One row per day, checkpointed before its size is read.
+    daily = checkpointed(daily_competitor_prices(prices).withColumnsRenamed({"our_price": "_our_price"}))
     joined = series.join(if_small(daily), DAY, "left")
     if "_our_price" in daily.columns:
         joined = joined.withColumn("our_price", F.coalesce("_our_price", "our_price")).drop("_our_price")
@@ -99,26 +99,43 @@ def segment_column(name: str) -> str:
     return "segment_" + "".join(ch if ch.isalnum() else "_" for ch in name.lower())
 
 
+def segment_columns(names) -> list[str]:
+    """A column name for each group; of groups with the same one, the later are numbered."""
+    taken: set[str] = set()
+    columns = []
+    for name in names:
+        column, n = segment_column(name), 1
+        while column in taken:
+            n += 1
+            column = f"{segment_column(name)}_{n}"
+        taken.add(column)
+        columns.append(column)
+    return columns
+
+
 def daily_segment_sales(sales: DataFrame, segments=None) -> DataFrame:
     """Units per day with one column per customer group, over all products.
 
-    Pass `segments` to save the job that looks for the group names.
+    The sales are read once: their sums per day and group are checkpointed, and the group
+    names, in sorted order, come from these. `segments` chooses groups and their order.
     """
+    units = sales.dropna(subset=[DAY, "segment"]).groupBy(DAY, "segment").agg(F.sum("quantity").alias("units"))
+    units = checkpointed(units)
     if segments is None:
-        names = sales.select("segment").dropna().distinct().limit(MAX_SEGMENTS + 1).collect()
-        if len(names) > MAX_SEGMENTS:
-            raise ValueError(f"more than {MAX_SEGMENTS} segments; each one becomes a column")
-        segments = sorted(r[0] for r in names)
-    units = sales.dropna(subset=[DAY, "segment"]).groupBy(DAY)
-    wide = units.pivot("segment", list(segments)).agg(F.sum("quantity"))
-    # Backquotes, since a group name may hold dots or quotes.
-    return wide.select(
-        DAY, *[F.coalesce(F.col(f"`{s}`"), F.lit(0.0)).cast("double").alias(segment_column(s)) for s in segments]
+        segments = sorted(r[0] for r in units.select("segment").distinct().collect())
+    columns = segment_columns(segments)
+    # Each group becomes a column, so there are no more rows here than columns.
+    places = units.sparkSession.createDataFrame(
+        [(name, f"s{i}") for i, name in enumerate(segments)], "segment string, place string"
     )
+    wide = units.join(F.broadcast(places), "segment", "left").groupBy(DAY)
+    wide = wide.pivot("place", [f"s{i}" for i in range(len(columns))]).agg(F.sum("units"))
+    sums = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)).cast("double").alias(c) for i, c in enumerate(columns)]
+    return wide.select(DAY, *sums)
 
 
 def join_segment_sales(series: DataFrame, sales: DataFrame, segments=None) -> DataFrame:
-    daily = daily_segment_sales(sales, segments)
+    daily = checkpointed(daily_segment_sales(sales, segments))
     columns = [c for c in daily.columns if c != DAY]
     return series.join(if_small(daily), DAY, "left").fillna(0.0, subset=columns)
 
@@ -146,17 +163,12 @@ def add_rolling(series: DataFrame, windows=WINDOWS) -> DataFrame:
 
 
 def add_holidays(series: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """1 on a holiday, else 0. `holidays` has a `day` column; the default is the UK table
-    for HOLIDAY_YEARS, a few thousand rows whatever the size of the series."""
+    """1 on a holiday, else 0. `holidays` has a `day` column; the default are the UK's, worked
+    out from each row's own year, so there is nothing to join and no limit to the years."""
     if holidays is None:
-        marked = F.broadcast(_mark(uk_holidays(series.sparkSession, *HOLIDAY_YEARS)))
-    else:
-        marked = if_small(_mark(holidays).distinct())
-    return series.join(marked, DAY, "left").fillna(0, subset=["is_holiday"])
-
-
-def _mark(holidays: DataFrame) -> DataFrame:
-    return holidays.select(DAY, F.lit(1).alias("is_holiday"))
+        return series.withColumn("is_holiday", is_uk_holiday(F.col(DAY)).cast("int"))
+    marked = checkpointed(holidays.select(DAY, F.lit(1).alias("is_holiday")).distinct())
+    return series.join(if_small(marked), DAY, "left").fillna(0, subset=["is_holiday"])
 
 
 def feature_table(

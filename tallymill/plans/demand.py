@@ -11,6 +11,7 @@ from tallymill.operators import forecast as fc
 from tallymill.operators import models, pricing
 from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
+from tallymill.session import checkpointed
 
 
 @dataclass
@@ -55,6 +56,25 @@ def forecast(
     Products with too little history are in `rejects` with the reason.
     """
     table = ts.feature_table(sales, products, competitor_prices, segment_sales, segments, holidays)
+    return forecast_table(table, model, horizon, seq_length, train_ratio, val_ratio, fit_on, seed, **model_options)
+
+
+def forecast_table(
+    table: DataFrame,
+    model: str = models.LINEAR,
+    horizon: int = fc.HORIZON,
+    seq_length: int = sm.SEQ_LENGTH,
+    train_ratio: float = sm.TRAIN_RATIO,
+    val_ratio: float = sm.VAL_RATIO,
+    fit_on: str = "all",
+    seed: int = 42,
+    **model_options,
+) -> Forecast:
+    """As `forecast`, from daily rows with any features: stock_code, day, quantity, ...
+
+    Predictions and the days ahead are checkpointed, so what is drawn from them stays valid
+    after `release`. If no product has enough history, all tables but `rejects` are empty.
+    """
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     checked = sm.usable(table, seq_length, train_ratio, val_ratio)
     accepted = table.join(checked.filter("reason IS NULL").select(ts.KEY), ts.KEY, "left_semi")
@@ -63,8 +83,8 @@ def forecast(
     scaled = sm.min_max_scale(accepted, fit_on, seq_length, train_ratio)
     parts = sm.split(sm.samples(scaled, seq_length), train_ratio, val_ratio)
     fitted = models.fit(parts, sm.scaled_features(scaled), model, seq_length, seed, **model_options)
-    predictions = models.test_predictions(fitted, parts)
-    ahead = fc.future(fitted, scaled, horizon)
+    predictions = checkpointed(models.test_predictions(fitted, parts))
+    ahead = checkpointed(fc.future(fitted, scaled, horizon))
     return Forecast(
         model=fitted,
         features=table,
@@ -85,7 +105,8 @@ def recommend_prices(run: Forecast, days: int = pricing.DAYS) -> dict[str, DataF
     """Price curve, best price and uplift per product of a forecast, and the products
     that cannot have one."""
     prices = pricing.current_prices(run.features)
-    curve = pricing.simulate_demand(run.model, run.scaled, pricing.price_grid(prices), days)
+    # Checkpointed, since the tables below all read it.
+    curve = checkpointed(pricing.simulate_demand(run.model, run.scaled, pricing.price_grid(prices), days))
     return {
         "curve": pricing.flag_best(curve),
         "best": pricing.best_price(curve),

@@ -47,8 +47,10 @@ def _load(spark: SparkSession, path, fmt: str, multi_line: bool) -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-def _as_double(df: DataFrame, columns) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in columns if c in df.columns})
+def _as_double(df: DataFrame, columns, lenient: bool = False) -> DataFrame:
+    """Numbers as doubles; a text that is none becomes null if `lenient`, else an error."""
+    cast = {c: F.col(c).try_cast("double") if lenient else F.col(c).cast("double") for c in columns if c in df.columns}
+    return df.withColumns(cast)
 
 
 def read_sales(spark: SparkSession, path, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
@@ -81,7 +83,7 @@ def read_competitor_prices(
         _load(spark, path, fmt, multi_line), ("InvoiceDate", "Date", "invoice_ts", "day"), True
     )
     df = df.withColumnsRenamed({k: v for k, v in COMPETITOR_COLUMNS.items() if k in df.columns})
-    return _as_double(df, [c for c in df.columns if c != "day"])
+    return _as_double(df, [c for c in df.columns if c != "day"], lenient=True)
 
 
 def read_segment_sales(
@@ -101,7 +103,7 @@ def read_segment_sales(
     return df.select(
         "day",
         F.col(group).cast("string").alias("segment"),
-        F.col(quantity).cast("double").alias("quantity"),
+        F.col(quantity).try_cast("double").alias("quantity"),
     )
 
 

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import datetime as dt
 
 import numpy as np
@@ -219,3 +223,34 @@ def test_fewer_points_than_clusters(spark):
     df, _ = planted(spark, 3)
     assert clusters.cluster_customers(df, 4, starts=2).select("cluster").distinct().count() == 3
     assert clusters.elbow(df.limit(0)).count() == 0
+
+
+def test_groups_without_revenue(spark):
+    rows = [("a", 1, 1, 0.0, "x"), ("b", 2, 1, 0.0, "y")]
+    customers = spark.createDataFrame(rows, "customer_id string, recency long, frequency long, monetary double, segment string")
+    assert {r.revenue_share for r in rfm.group_shares(customers).collect()} == {None}
+    assert {r.pct_of_revenue for r in rfm.group_summary(customers).collect()} == {None}
+    kpis = {r.kpi: (r.group, r.customer_share) for r in rfm.group_kpis(customers).collect()}
+    assert kpis == {"most_valuable": ("x", 50.0), "least_revenue": ("y", 50.0)}
+    assert rfm.group_kpis(customers.limit(0)).count() == 0
+
+
+def test_clusters_of_no_customers(spark):
+    none = spark.createDataFrame([], "customer_id string, recency long, frequency long, monetary double")
+    found = clusters.cluster_customers(none)
+    assert found.columns[-1] == "cluster" and found.count() == 0
+    assert clusters.elbow(none).count() == 0
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """The passes over the customers run in a session that was started elsewhere."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["elbow_planted"](spark, "/root/testdata/sf0.001").count() == 10
+assert e.queries()["kmeans"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300, capture_output=True)

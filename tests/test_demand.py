@@ -193,3 +193,16 @@ def test_fit_chooses_the_ridge_by_validation(spark, linear):
     both = models.fit(parts, features, seq_length=SEQ, reg_grid=[100.0, 0.001])
     assert both.validation_mse < strong.validation_mse
     assert both.model.getOrDefault("regParam") == 0.001
+
+
+@pytest.mark.parametrize("kind", ["linear", "gbt"])
+def test_no_product_with_enough_history(spark, kind):
+    rows = [("A", dt.datetime(2020, 1, 1) + dt.timedelta(days=k), 1.0, 2.0) for k in range(30)]
+    short = spark.createDataFrame(rows, "stock_code string, invoice_ts timestamp, quantity double, price double")
+    for sales in (short, short.limit(0)):
+        run = demand.forecast(sales, kind)
+        for table in (run.predictions, run.future, run.metrics, run.combined, run.kpis, run.rounded):
+            assert table.count() == 0
+        assert demand.recommend_prices(run)["uplift"].count() == 0
+        assert run.rejects.count() == sales.select("stock_code").distinct().count()
+        run.release()

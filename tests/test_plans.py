@@ -66,3 +66,16 @@ def test_results_do_not_depend_on_partitions(spark):
             return sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in found), key=str)
 
         assert values(first) == values(second)
+
+
+def test_sales_are_read_once_for_missing_descriptions(spark):
+    df = QUERIES["clean_full"](spark, SF)
+    text = plan(df)
+    final = text.split("== Initial Plan ==")[-1] if "== Initial Plan ==" in text else text
+    assert len(re.findall("FileScan parquet", final)) == 5
+
+
+@pytest.mark.parametrize("name", ["segment_join", "sales_with_segments", "sales_with_clusters"])
+def test_lookups_are_materialised(spark, name):
+    """What remains to run reads the sales once; the table they are joined with is ready."""
+    assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan(QUERIES[name](spark, SF)))) <= 1

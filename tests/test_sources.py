@@ -113,3 +113,12 @@ def test_sink_round_trip(spark, tmp_path, fmt, parts):
 def test_preview(spark):
     df = spark.range(100).repartition(5)
     assert [r.id for r in preview(df, ["id"]).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_text_in_side_files_costs_the_value_only(spark, tmp_path):
+    prices, units = tmp_path / "prices.csv", tmp_path / "units.csv"
+    prices.write_text("Date,our_price,competitor_A,remark\n2020-01-01,1.5,cheap,none\n2020-01-02,x,2.5,n/a\n")
+    got = sorted((str(r.day), r.our_price, r.competitor_a, r.remark) for r in read_competitor_prices(spark, str(prices)).collect())
+    assert got == [("2020-01-01", 1.5, None, None), ("2020-01-02", None, 2.5, None)]
+    units.write_text("InvoiceDate,Segment,Quantity\n2020-01-01,a,3\n2020-01-01,b,many\n")
+    assert sorted((r.segment, r.quantity) for r in read_segment_sales(spark, str(units)).collect()) == [("a", 3.0), ("b", None)]
