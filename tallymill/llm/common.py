@@ -4,18 +4,42 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill import session
+
 # Keys of a join that are sent to every task, so that their rows stay where they are.
 HOT_KEYS = 1000
 # Characters that separate words: space, and tab to carriage return.
 BLANKS = (0x20, *range(0x09, 0x0E))
 # Text that one step of a Python task works on at a time, unless one text is longer.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
+# Rows of an Arrow batch between Spark and its Python workers. Texts are long, and both
+# sides hold whole batches.
+BATCH_ROWS = 500
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs started inside send at most `rows` rows per Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored(df: DataFrame, name: str = "table", rows: int = BATCH_ROWS) -> DataFrame:
+    """`df` written to the shared folder and read back, made in small batches."""
+    with small_batches(df.sparkSession, rows):
+        return session.stored(df, name)
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
@@ -49,35 +73,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _hashes_of(data: np.ndarray, kinds: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words in `data`, which ends with a blank."""
+    inside = ~blank[data]
+    before = np.concatenate(([False], inside[:-1]))
+    starts = np.flatnonzero(inside & ~before)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts
+    # Polynomial over the bytes of each word: sum of kind * odd ** (place in the word).
+    lengths = np.flatnonzero(~inside & before) - starts
+    powers = np.full(int(lengths.max()), 0x2545F4914F6CDD1D, dtype=np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    hashes = np.add.reduceat(kinds[data[inside]] * powers[place], first)
+    return mixed(hashes + lengths.astype(np.uint64)), starts
+
+
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, A-Z lower-cased if `lower`, and the number
     of words before each text (with the total at the end). The same word has the same hash
-    in any task."""
-    kinds = np.zeros(256, dtype=np.uint64)
-    kinds[:] = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    in any task. Long texts are worked on in parts, cut at blanks."""
+    kinds = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     if lower:
         kinds[ord("A") : ord("Z") + 1] = kinds[ord("a") : ord("z") + 1]
     blank = np.zeros(256, dtype=bool)
     blank[list(BLANKS)] = True
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
-    inside = ~blank[data]
-    before = np.concatenate(([False], inside[:-1]))
-    starts = np.flatnonzero(inside & ~before)
-    counts = np.concatenate(([0], np.searchsorted(starts, ends)))
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts
-    # Polynomial over the bytes of each word: sum of kind * odd ** (place in the word).
-    lengths = np.flatnonzero(~inside & before) - starts
-    longest = int(lengths.max())
-    powers = np.full(longest, 0x2545F4914F6CDD1D | 1, dtype=np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    chars = np.flatnonzero(inside)
-    place = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    values = kinds[data[chars]] * powers[place]
-    hashes = np.add.reduceat(values, np.cumsum(lengths) - lengths)
-    return mixed(hashes + lengths.astype(np.uint64)), counts
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(at + SLICE_BYTES, len(data))
+        while not blank[data[end - 1]]:
+            end += 1
+        found, places = _hashes_of(data[at:end], kinds, blank)
+        hashes.append(found)
+        starts.append(places + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(([0], np.searchsorted(np.concatenate(starts), ends)))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import hot_join
-from tallymill.session import stored
+from tallymill.llm.common import hot_join, stored
 
 
 def components(links: DataFrame) -> DataFrame:

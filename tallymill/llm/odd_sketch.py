@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,25 +11,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import hot_join, mixed, shingle_hashes, text_batches, utf8, word_hashes
+from tallymill.llm.common import hot_join, mixed, shingle_hashes, stored, text_batches, utf8, word_hashes
 from tallymill.llm.components import components
-from tallymill.session import stored
 
 SHINGLE = 5
 PERCENT = 80
 # A pair of similarity 0.8 agrees in none of 32 bands of 4 samples with probability 5e-8.
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-# Bits of a sketch. At similarity 0.8 the samples of two texts differ in 26 of 128 on average.
-BITS = 1024
+# Samples of a text: the first BANDS * ROWS give the band keys, all are folded into the sketch.
+SAMPLES = 256
+# Samples of the finer sketches of classes that are still apart after the first rounds.
+FINE_SAMPLES = 1024
+# Bits of a sketch for each sample. At similarity 0.8 a fifth of the samples differ on average.
+BITS_PER_SAMPLE = 8
 # Estimated similarity below which a candidate is not confirmed on the full sets: 0.8 less
-# more than five standard deviations (0.035) of the estimate.
-SIFT = 0.6
+# nearly five standard deviations of the estimate, 0.025 and 0.0125.
+SIFT = {SAMPLES: 0.68, FINE_SAMPLES: 0.74}
 # Rows of a bucket that are compared with each other in one step, and copies of a hub's text.
 BLOCK = 1000
+# Nearest classes that one outside a bucket's largest component meets first.
+BEST = 3
 PAIRS_PER_COPY = 200
 
-SIGNATURE = "id long, class binary, n_shingles long, bands array<long>, sketch array<long>"
+SIGNATURE = "id long, text_hash long, class binary, n_shingles long, bands array<long>, sketch array<long>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -40,11 +45,11 @@ def class_of(words: list[bytes]) -> bytes | None:
     return hashlib.md5(b" ".join(words)).digest() if words else None
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of one text's distinct shingle hashes, each under its own order."""
-    seeds = mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    flips, factors = seeds[:SAMPLES, None], seeds[SAMPLES:, None] | np.uint64(1)
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minhashes(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """Minima of one text's distinct shingle hashes, each under its own order."""
+    seeds = mixed(np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    flips, factors = seeds[:samples, None], seeds[samples:, None] | np.uint64(1)
+    least = np.full(samples, np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(hashes), 512):
         values = (hashes[None, start : start + 512] ^ flips) * factors
         np.minimum(least, values.min(axis=1), out=least)
@@ -53,15 +58,16 @@ def minhashes(hashes: np.ndarray) -> np.ndarray:
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps of rows of samples: each sample, with its place, flips one bit."""
-    n = len(samples)
-    places = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    bits = (mixed(samples + places) % np.uint64(BITS)).astype(np.int64) + np.arange(n)[:, None] * BITS
-    odd = (np.bincount(bits.ravel(), minlength=n * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, BITS), axis=1).view(np.int64)
+    n, size = samples.shape
+    width = size * BITS_PER_SAMPLE
+    places = np.arange(size, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    bits = (mixed(samples + places) % np.uint64(width)).astype(np.int64) + np.arange(n)[:, None] * width
+    odd = (np.bincount(bits.ravel(), minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, width), axis=1).view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    groups = samples.reshape(len(samples), BANDS, ROWS)
+    groups = samples[:, : BANDS * ROWS].reshape(len(samples), BANDS, ROWS)
     keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(samples), 1))
     for k in range(ROWS):
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + groups[:, :, k])
@@ -77,47 +83,53 @@ def _signatures(size: int):
             samples = np.stack([minhashes(x) for x in found])
             full = [len(x) > 0 for x in found]
             lists = [[x if ok else None for x, ok in zip(rows, full, strict=True)] for rows in (band_keys(samples).tolist(), odd_sketches(samples).tolist())]
-            columns = [batch.column("id"), pa.array([class_of(words_of(t)) for t in texts], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["id", "class", "n_shingles", "bands", "sketch"])
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array([class_of(words_of(t)) for t in texts], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["id", "text_hash", "class", "n_shingles", "bands", "sketch"])
 
     return run
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, class, n_shingles, bands, sketch) of each document; null class, bands and sketch for one without words."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_signatures(size), SIGNATURE)
+    """(id, text_hash, class, n_shingles, bands, sketch) of each document; null class, bands and sketch for one without words."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signatures(size), SIGNATURE)
 
 
 def estimate(one: Column, two: Column) -> Column:
-    """Similarity from the population count of the XOR of two odd sketches: with d differing
-    samples on either side the count is near BITS / 2 * (1 - exp(-4 d / BITS)) for 2 d flips."""
+    """Similarity from the population count of the XOR of two odd sketches of SAMPLES samples:
+    with d samples that differ there are 2 d flips of m bits, and the count is near
+    m / 2 * (1 - exp(-4 d / m))."""
     apart = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    left = F.greatest(F.lit(1.0) - 2.0 * apart / BITS, F.lit(1e-9))
-    return F.lit(1.0) + F.log(left) * (BITS / (4.0 * SAMPLES))
+    left = F.greatest(F.lit(1.0) - 2.0 * apart / (SAMPLES * BITS_PER_SAMPLE), F.lit(1e-9))
+    return F.lit(1.0) + F.log(left) * (BITS_PER_SAMPLE / 4.0)
 
 
 def _estimates(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    apart = np.bitwise_count(one[:, None, :] ^ two[None, :, :]).sum(axis=2)
-    return 1 + np.log(np.maximum(1 - 2 * apart / BITS, 1e-9)) * (BITS / (4 * SAMPLES))
+    """The same for all pairs of rows of two arrays of sketches."""
+    apart = np.zeros((len(one), len(two)), dtype=np.int64)
+    for k in range(one.shape[1]):
+        apart += np.bitwise_count((one[:, k, None] ^ two[:, k]).view(np.uint64))
+    return 1 + np.log(np.maximum(1 - 2 * apart / (64 * one.shape[1]), 1e-9)) * (BITS_PER_SAMPLE / 4)
+
+
+def _shingles(text: bytes, size: int) -> set:
+    words = words_of(text)
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
 
 
 def _confirm(size: int, percent: int):
-    def shingles(text: bytes) -> set:
-        words = words_of(text)
-        return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
+    """Of rows sorted by (b, copy, a): each class `a` beside the text of `b`, which comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, set()
+        hub: set = set()
         for batch in batches:
             same = []
-            for text, other in zip(utf8(batch.column("text_a")), utf8(batch.column("text_b")), strict=True):
-                if other != last:
-                    last, hub = other, shingles(other)
-                own = shingles(text)
-                both = len(own & hub)
-                same.append(100 * both >= percent * (len(own) + len(hub) - both))
-            kept = batch.filter(pa.array(same, pa.bool_()))
-            yield kept.select(["a", "b"])
+            for a, text in zip(batch.column("a").to_pylist(), utf8(batch.column("text")), strict=True):
+                own = _shingles(text, size)
+                if a is None:
+                    hub = own
+                both = len(own & hub) if a is not None else 0
+                same.append(a is not None and 100 * both >= percent * (len(own) + len(hub) - both))
+            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
 
     return run
 
@@ -133,82 +145,161 @@ def _texts_of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = classes.select(F.col("id").alias("_id"), "class")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"])).select("class", "text")
-    return rows.mapInArrow(run, "class binary, text string").dropDuplicates(["class"])
+    return stored(rows.mapInArrow(run, "class binary, text string").dropDuplicates(["class"]), "texts")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those `pairs` (a, b) of classes whose full shingle sets are similar enough. b may be
     in many pairs: its text is copied, and each copy takes part of them."""
     per_hub = stored(pairs.groupBy("b").agg(F.count("*").alias("n")), "hubs")
-    spread = hot_join(pairs, per_hub, "b", "n")
     copies = F.ceil(F.col("n") / PAIRS_PER_COPY)
-    spread = spread.select("a", "b", F.pmod(F.xxhash64("a"), copies).alias("copy"))
-    named = spread.select(F.col("a").alias("class")).union(per_hub.select(F.col("b").alias("class"))).distinct()
-    texts = stored(_texts_of_classes(docs, classes.select("class", "id").join(named, "class")), "texts")
-    hubs = texts.join(per_hub.select(F.col("b").alias("class"), copies.alias("copies")), "class")
-    hubs = hubs.select(F.col("class").alias("b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    both = spread.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(hubs, ["b", "copy"])
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a binary, b binary"), "confirmed")
+    spread = hot_join(pairs, per_hub, "b", "n").select("a", "b", F.pmod(F.xxhash64("a"), copies).alias("copy"))
+    members = spread.join(texts.withColumnRenamed("class", "a"), "a").select("b", "copy", "a", "text")
+    hubs = per_hub.join(texts.withColumnRenamed("class", "b"), "b")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy")
+    rows = members.unionByName(hubs.select("b", copy, F.lit(None).cast("binary").alias("a"), "text"))
+    rows = rows.repartition("b", "copy").sortWithinPartitions("b", "copy", F.col("a").asc_nulls_first())
+    return stored(rows.mapInArrow(_confirm(size, percent), "a binary, b binary"), "confirmed")
+
+
+def _fine_sketches(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(class, sketch): odd sketches of FINE_SAMPLES samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in text_batches(b)):
+            words, starts = word_hashes(utf8(batch.column("text")))
+            found = [minhashes(np.unique(shingle_hashes(words[a:b], size)), FINE_SAMPLES) for a, b in zip(starts, starts[1:], strict=False)]
+            sketches = pa.array(odd_sketches(np.stack(found)).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), sketches], ["class", "sketch"])
+
+    return stored(texts.join(classes, "class", "left_semi").mapInArrow(run, "class binary, sketch array<long>"), "fine-sketches")
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross_pairs(best: int | None):
     """Of rows sorted by (bucket, one, two): pairs of different components, one from block
-    `one` and one from block `two`, whose sketches are near."""
-
-    def compare(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        one = [r for r in rows if r[3] == r[1]]
-        two = one if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == r[2]]
-        if not one or not two:
-            return []
-        sketches = [np.array([r[6] for r in side], dtype=np.int64) for side in (one, two)]
+    `one` and one from block `two`, whose sketches are near. With `best`, only that many of
+    the nearest for each row, and none for rows of the bucket's largest component. Without,
+    each pair comes from the first bucket that its classes share only."""
+
+    def nearest(one: list, two: list, main: int) -> list[tuple[int, int]]:
+        (_, roots_1, sketches_1, bands_1), (_, roots_2, sketches_2, bands_2) = one, two
         found = []
-        for start in range(0, len(one), 64):
-            near = _estimates(sketches[0][start : start + 64], sketches[1]) >= SIFT
-            for i, j in zip(*np.nonzero(near), strict=True):
-                p, q = one[start + i], two[j]
-                if p[5] != q[5]:
-                    found.append((max(p[4], q[4]), min(p[4], q[4])))
+        sift = SIFT[sketches_1.shape[1] * 64 // BITS_PER_SAMPLE]
+        for start in range(0, len(roots_1), 64):
+            here = slice(start, start + 64)
+            likeness = _estimates(sketches_1[here], sketches_2)
+            likeness[roots_1[here, None] == roots_2] = -1.0
+            if best is None:
+                i, j = np.nonzero(likeness >= sift)
+            else:
+                likeness[roots_1[here] == main] = -1.0
+                j = np.argsort(-likeness, axis=1, kind="stable")[:, :best]
+                i, k = np.nonzero(np.take_along_axis(likeness, j, axis=1) >= sift)
+                j = j[i, k]
+            found += zip((i + start).tolist(), j.tolist(), strict=True)
         return found
 
+    def compare(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
+        numbers = {root: k for k, root in enumerate(sorted({r[5] for r in rows}))}
+        main = Counter(numbers[r[5]] for r in rows).most_common(1)[0][0]
+        sides = []
+        for block in dict.fromkeys(rows[0][1:3]):
+            held = [r for r in rows if r[3] == block]
+            if held:
+                sketches, bands = (np.array([r[k] for r in held], dtype=np.int64) for k in (6, 7))
+                sides.append((held, np.array([numbers[r[5]] for r in held]), sketches, bands))
+        if len(sides) < len(set(rows[0][1:3])):
+            return set()
+        pairs = set()
+        for one, two in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: 2 if best and len(sides) > 1 else 1]:
+            for i, j in nearest(one, two, main):
+                if best is None and one[3][i][(one[3][i] == two[3][j]).argmax()] != rows[0][0]:
+                    continue
+                p, q = one[0][i][4], two[0][j][4]
+                pairs.add((max(p, q), min(p, q)))
+        return pairs
+
     def out(pairs: list) -> pa.RecordBatch:
-        pairs = sorted(set(pairs))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    group: list[tuple] = []
-    found: list[tuple[bytes, bytes]] = []
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "block", "class", "root", "sketch")]
-        for row in zip(*columns, strict=True):
-            if group and row[:3] != group[0][:3]:
-                found += compare(group)
-                group = []
-                if len(found) > 50_000:
-                    yield out(found)
-                    found = []
-            group.append(row)
-    if group:
-        found += compare(group)
-    yield out(found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        found: set[tuple[bytes, bytes]] = set()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "block", "class", "root", "sketch", "bands")]
+            for row in zip(*columns, strict=True):
+                if group and row[:3] != group[0][:3]:
+                    found |= compare(group)
+                    group = []
+                    if len(found) > 50_000:
+                        yield out(sorted(found))
+                        found = set()
+                group.append(row)
+        if group:
+            found |= compare(group)
+        yield out(sorted(found))
+
+    return run
+
+
+def _crossing(shared: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, size: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) of classes in one bucket but not yet in one component, sifted by their
+    sketches: the `best` ones, or all by finer sketches."""
+    placed = shared.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    placed = stored(placed.select("class", "bucket", "n", F.coalesce("root", "class").alias("root")), "placed")
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high")
+    split = stored(split.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("n").alias("size")), "split-buckets")
+    apart = stored(hot_join(placed.drop("n"), split, "bucket", "size"), "apart")
+    sketches = classes.select("class", "sketch", "bands")
+    if best is None:
+        fine = _fine_sketches(texts, apart.select("class").distinct(), size)
+        sketches = sketches.drop("sketch").join(fine, "class")
+    blocks = apart.join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    one, two = F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
+    blocks = blocks.select("bucket", one, two, "block", "class", "root", "sketch", "bands")
+    blocks = blocks.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    return blocks.mapInArrow(_cross_pairs(best), "a binary, b binary").distinct()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` (node, root) after more links between nodes; a node without a row is its own root."""
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    above = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    above = stored(above.withColumnRenamed("root", "top"), "tops")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).join(above.withColumnRenamed("node", "root"), "root")
+    moved = hot_join(roots, stored(sizes, "moved-roots"), "root", "n", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = above.join(roots, "node", "left_anti").select("node", F.col("top").alias("root"))
+    return stored(moved.unionByName(new), "roots")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text, any
-    other columns). Words are runs without blanks, A-Z lower-cased; a document's set has its
+    other columns); see `linked`."""
+    found = linked(docs, shingle, percent)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, text_hash, n_shingles, component, component_id) for each row of `docs`. Words are runs without blanks, A-Z lower-cased; a document's set has its
     distinct runs of `shingle` words, or its whole sequence if that is shorter. Documents
     are linked if their sets' similarity is `percent` / 100 or more; component_id is the
-    smallest doc_id reachable, kept is true for that document.
+    smallest doc_id reachable, `component` names what is connected.
 
     Documents with the same words form a class, and all further work is on classes. Samples
     (MinHash) give band keys; classes that share a bucket are candidates. First each class
     meets the smallest class of its buckets, so a group of copies gives a star and not all
     pairs. Then, in buckets that still hold several components, classes of different
-    components meet through their odd sketches, in blocks. Candidates whose sketches are far
-    apart are dropped, the others confirmed on the full sets. So every pair that shares a
-    bucket and is not already connected is examined.
-
-    - A null or empty text, or one without words, has no shingles and no links.
-    - Rows with the same id: all are kept or none. A null id is reached by no number: a
-      component with null ids only has a null component_id and is kept.
+    components meet through their odd sketches, in blocks: first each class outside the
+    bucket's largest component the BEST nearest ones, then all that are left. Candidates whose
+    sketches are far apart are dropped, the others confirmed on the full sets. So every pair
+    that shares a bucket and is not already connected is examined.
+
+    - A null or empty text, or one without words, has no shingles, no links and a null
+      component; its component_id is its own id.
+    - Rows with the same id may be in different components. A component whose ids are all
+      null has a null component_id.
     - An empty table gives an empty table.
     """
     rows = stored(signatures(docs, shingle), "signatures")
@@ -225,52 +316,44 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     pairs = stored(pairs.join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("one")), "a"), "pairs")
     hubs = pairs.groupBy(F.col("b").alias("class")).agg(F.count("*").alias("n")).join(sketches, "class")
     hubs = stored(hubs.select(F.col("class").alias("b"), F.col("sketch").alias("two"), "n"), "hub-sketches")
-    near = hot_join(pairs, hubs, "b", "n").filter(estimate(F.col("one"), F.col("two")) >= SIFT).select("a", "b")
+    near = hot_join(pairs, hubs, "b", "n").filter(estimate(F.col("one"), F.col("two")) >= SIFT[SAMPLES]).select("a", "b")
     near = stored(near, "near")
-    links = _confirmed(docs, classes, near, shingle, percent)
+    # Only classes that share a bucket are looked at any further.
+    texts = _texts_of_classes(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"))
+    links = _confirmed(texts, near, shingle, percent)
     roots = stored(components(links), "roots")
 
-    # What lies in one bucket but not yet in one component.
-    placed = shared.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    placed = stored(placed.select("class", "bucket", "n", F.coalesce("root", "class").alias("root")), "placed")
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high")
-    split = stored(split.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("n").alias("size")), "split-buckets")
-    blocks = hot_join(placed.drop("n"), split, "bucket", "size").join(sketches, "class")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocks = blocks.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "class", "root", "sketch")
-    blocks = blocks.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    crossing = blocks.mapInArrow(_cross_pairs, "a binary, b binary").distinct().join(near, ["a", "b"], "left_anti")
-    later = _confirmed(docs, classes, stored(crossing, "crossing"), shingle, percent)
-    by_root = later
-    for end in ("a", "b"):
-        by_root = by_root.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    by_root = by_root.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    above = components(by_root).select(F.col("node").alias("root"), F.col("root").alias("top"))
-
-    final = classes.select("class", "id", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    final = final.withColumn("root", F.coalesce("root", "class"))
-    sizes = final.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-    tops = sizes.join(above, "root", "left").withColumn("top", F.coalesce("top", "root"))
-    least = tops.groupBy("top").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
-    tops = stored(tops.select("root", "top", "size"), "tops")
-    ids = stored(hot_join(tops, stored(least, "least"), "top", "m").select("root", "size", "component_id"), "component-ids")
-    named = stored(hot_join(stored(final, "final"), ids, "root", "size").select("class", "n", "component_id"), "class-ids")
-
-    narrow = rows.select("id", "class", "n_shingles")
-    linked = hot_join(narrow.filter(F.col("class").isNotNull()), named, "class", "n").select("id", "n_shingles", "component_id")
-    alone = narrow.filter(F.col("class").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
-    found = linked.unionByName(alone)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    tested = near
+    for best in (BEST, None):
+        crossing = _crossing(shared, classes, texts, roots, shingle, best)
+        crossing = stored(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+        roots = _merged(roots, _confirmed(texts, crossing, shingle, percent))
+        tested = tested.unionByName(crossing)
+
+    placed = classes.select("class", "id", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    placed = stored(placed.withColumn("component", F.coalesce("root", "class")).drop("root"), "placed")
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
+    named = hot_join(placed, stored(least, "least"), "component", "size").select("class", "n", "component", "component_id")
+    named = stored(named, "class-ids")
+
+    narrow = rows.select("id", "text_hash", "class", "n_shingles")
+    known = hot_join(narrow.filter(F.col("class").isNotNull()), named, "class", "n").drop("class", "n")
+    alone = narrow.filter(F.col("class").isNull()).drop("class").withColumn("component", F.lit(None).cast("binary"))
+    return known.unionByName(alone.withColumn("component_id", F.col("id")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that stay when one document of each group of near duplicates does:
-    that with the smallest id. Of rows with one id, one stays if the document has words."""
-    found = stored(near_duplicates(docs, shingle, percent), "near-duplicates")
-    kept = found.filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_shingles"))
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]))
-    repeated = (F.col("_n") > 1) & (F.col("_shingles") > 0) & F.col("_id").isNotNull()
-    if kept.filter(repeated).head(1):
-        rows = rows.filter(~repeated).unionByName(rows.filter(repeated).dropDuplicates(["_id"]))
-    return rows.select(docs.columns)
+    that with the smallest id, of several with this id that with the smallest hash of its
+    text, of equal rows any. Documents without words all stay."""
+    found = stored(linked(docs, shingle, percent), "near-duplicates")
+    first = found.filter(F.col("component").isNotNull() & F.col("id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("component", "id", "text_hash").agg(F.count("*").alias("n"))
+    first = first.groupBy("component").agg(F.min(F.struct("text_hash", "id", "n")).alias("first")).select("first.*")
+    alone = found.filter(F.col("component").isNull()).select("text_hash", "id", F.lit(1).cast("long").alias("n")).distinct()
+    kept = stored(first.unionByName(alone), "kept")
+    rows = docs.select(F.xxhash64("text").alias("_hash"), F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("_row"))
+    rows = rows.join(kept, (rows["_hash"] == kept["text_hash"]) & rows["_id"].eqNullSafe(kept["id"]))
+    if kept.filter("n > 1").head(1):
+        rows = rows.filter("n = 1").unionByName(rows.filter("n > 1").dropDuplicates(["_id", "_hash"]))
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

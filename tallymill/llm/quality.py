@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import BLANKS, hot_join, mixed, text_batches, utf8, word_hashes
-from tallymill.session import stored
+from tallymill.llm.common import BLANKS, hot_join, mixed, stored, text_batches, utf8, word_hashes
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"

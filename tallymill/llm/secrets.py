@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.common import stored
 from tallymill.llm.trigrams import trigram_query
-from tallymill.session import stored
 
 
 @dataclass(frozen=True)
