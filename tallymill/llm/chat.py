@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.common import small_batches, stored
 from tallymill.session import checkpointed, shared_folder
 
 ROLES = ("system", "user", "assistant")
@@ -245,9 +246,10 @@ def repair(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", F.monotonically_increasing_id().alias("row"))
     order = ["conv_id", "turn", "role", F.xxhash64("text"), "row"]
     rows = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text"))
-    edges = rows.select("conv_id", "role", F.lit("").alias("text")).mapInArrow(_edges, EDGES).collect()
+    with small_batches(turns.sparkSession, 5000):
+        edges = rows.select("conv_id", "role", F.lit("").alias("text")).mapInArrow(_edges, EDGES).collect()
     known = join_edges(sorted(edges, key=lambda r: (r.part, r.place)))
-    return rows.mapInArrow(_repair(known), PIECES)
+    return stored(rows.mapInArrow(_repair(known), PIECES), "conversations")
 
 
 def whole(pieces: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import hot_join, mixed, text_batches, word_hashes
-from tallymill.session import stored
+from tallymill.llm.common import hot_join, mixed, stored, text_batches, word_hashes
 
 # Words of the shortest tile, and the share of an item's words that tiles must cover.
 MIN_TILE = 5
@@ -140,6 +139,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, co
     likely = groups.filter(F.array_size(reach) >= coverage * F.col("n_words"))
     columns = "doc_id long, text_hash long, item_id long, n_words long, n_tiles long, n_covered long"
     tiled = likely.select("doc_id", "text_hash", "item_id", "n_words", "matches").mapInArrow(_tiled(min_tile), columns)
+    tiled = stored(tiled, "tiles")
     share = F.col("n_covered") / F.col("n_words")
     return tiled.withColumn("coverage", share).filter(F.col("coverage") >= coverage)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import crc32_of_ids, text_batches
+from tallymill.llm.common import crc32_of_ids, small_batches, text_batches
 from tallymill.llm.range_coder import decode, encode
 from tallymill.llm.tokens import TextEncoder
 
@@ -114,13 +114,14 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInArrow(_files(tokenizer, end_id, file_ids), FILES).write.parquet(path)
+    with small_batches(docs.sparkSession, 2500):
+        rows.mapInArrow(_files(tokenizer, end_id, file_ids), FILES).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, data in zip(batch.column("start").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            doc_ids, counts, ids = from_bytes(data)
+        for row, start in enumerate(batch.column("start").to_pylist()):
+            doc_ids, counts, ids = from_bytes(batch.column("data")[row].as_py())
             ends = np.cumsum(counts)
             raw = np.ascontiguousarray(ids, dtype="<u4").tobytes()
             for k in range(0, len(doc_ids), 256):

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallymill.llm.common import crc_mod, text_batches
-from tallymill.session import stored
+from tallymill.llm.common import crc_mod, stored, text_batches
 
 # Hash space of the features: words and their first 4 and 5 letters.
 BUCKETS = 1 << 18
@@ -29,7 +28,7 @@ FIT_ROWS = 20_000
 # Weight of the squared score change under a swap, and of the squared weights.
 SWAP_PENALTY = 1.0
 RIDGE = 1e-5
-STEPS = 1000
+STEPS = 400
 # A feature counts once for each different word that has it, up to this many.
 MOST_WORDS = 3
 
@@ -152,7 +151,7 @@ def fit_weights(own: list[np.ndarray], swapped: dict[int, np.ndarray], labels: n
         gradient = np.append(slope, error.mean())
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
-        move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        move = 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         w, c = w - move[:-1], c - move[-1]
     return w, c
 
@@ -172,15 +171,17 @@ def fit(labelled: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIE
     if not 0 < n1 < n:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
     counts = rows.select("text", "label").mapInArrow(_counts, "bucket long, n0 long, n1 long")
-    counts = counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = stored(counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "label-counts")
     here, there = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n - n1 + 1.0)
     z = F.abs(F.log(here / there)) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     surest = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(FEATURES)
     own = {b for w in other for b in features_of(w)}
     buckets = np.array(sorted(own | {r.bucket for r in surest.select("bucket").collect()}), dtype=np.int64)
-    sample = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(FIT_ROWS) if n > FIT_ROWS else rows
+    place = F.xxhash64("doc_id").alias("place")
+    last = rows.select(place).orderBy("place").limit(FIT_ROWS).agg(F.max("place")).first()[0]
+    sample = rows.filter(place <= last)
     sample = sample.select("text", "label").mapInArrow(_vectors(buckets, other), "label int, own array<int>, swapped array<int>")
-    sample = sample.orderBy("label", "own").toArrow().to_pydict()
+    sample = stored(sample, "fit-rows").orderBy("label", "own").toArrow().to_pydict()
     lists = [np.array(x, dtype=np.int32) for x in sample["own"]]
     changed = {k: np.array(x, dtype=np.int32) for k, x in enumerate(sample["swapped"]) if x is not None}
     weights, constant = fit_weights(lists, changed, np.array(sample["label"], dtype=float), len(buckets))
@@ -209,7 +210,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text_hash, score) of every row; a null or empty text has no feature and gets
     the score of the constant."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_scores(model), "doc_id long, text_hash long, score double")
+    return stored(rows.mapInArrow(_scores(model), "doc_id long, text_hash long, score double"), "scores")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -224,5 +225,5 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """The rows of `docs` that score below `threshold`."""
     packed = docs.select(F.col("text").alias("text"), F.struct("*").alias("_row"))
     schema = StructType([StructField("_row", docs.schema), StructField("score", DoubleType())])
-    kept = packed.mapInArrow(_scores(model), schema).filter(F.col("score") < threshold)
+    kept = stored(packed.mapInArrow(_scores(model), schema).filter(F.col("score") < threshold), "not-toxic")
     return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
