@@ -99,7 +99,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+# Fixed values, written down here again and with the least lengths in the patterns:
+# kind, pattern, group whose length counts, least length.
+_KINDS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]{16,}", 0, 0),
+    ("hex", "[0-9a-f]{24,}", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[0-9A-Za-z_-]{35}", 0, 0),
+    ("stripe", "[sr]k_live_[0-9A-Za-z]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+)
+
+
+def _kind_sql(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("\\'", "'").replace("'", "''") + "'"
+    return f"""SELECT doc_id, '{kind}' AS kind, {place} AS place, {least} AS least, string_split_regex(t, {quoted}) AS gaps,
+      regexp_extract_all(t, {quoted}, 0) AS whole, regexp_extract_all(t, {quoted}, {group}) AS part FROM texts"""
+
+
 ORACLE: dict[str, str] = {
+    "op4_secret_scan": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        found AS ({" UNION ALL ".join(_kind_sql(k, *row) for k, row in enumerate(_KINDS))}),
+        each AS (SELECT doc_id, kind, place, least, gaps, whole, part, unnest(range(1, len(whole) + 1)) AS i FROM found WHERE len(whole) > 0),
+        placed AS (SELECT doc_id, kind, place, length(part[i]) >= least AS good, length(whole[i]) AS size,
+            list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start FROM each),
+        spans AS (SELECT doc_id, kind, place, start, kind || ':' || start || ':' || (start + size) AS s FROM placed WHERE good)
+        SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+            count(*) FILTER (kind = 'hex') AS n_hex,
+            sha256(coalesce(string_agg(s, ',' ORDER BY start, place) FILTER (place < 3), '')) AS base_sha256,
+            coalesce(string_agg(s, ',' ORDER BY start, place), '') AS spans
+        FROM texts t LEFT JOIN spans p ON p.doc_id = t.doc_id GROUP BY t.doc_id
+    """,
     "op5_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
@@ -120,10 +154,10 @@ ORACLE: dict[str, str] = {
     "op8_near_duplicates": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
         ), shingles AS (
             SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN
-                list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+                list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
                 ELSE [array_to_string(w, ' ')] END) AS s FROM words WHERE len(w) > 0
         ), sizes AS (
             SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id

@@ -12,7 +12,7 @@ from cases import documents, empty, groups, prose, texts, without_shared_lines
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallymill.llm import components, hypervectors, line_dedup, odd_sketch, packing, quality, queries, range_coder, secrets, token_files, tokens, trigrams
+from tallymill.llm import common, components, hypervectors, line_dedup, odd_sketch, packing, quality, queries, range_coder, secrets, token_files, tokens, trigrams
 from tallymill.session import new_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -137,6 +137,27 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_words_of_long_texts_are_cut_at_blanks(monkeypatch):
+    given = [(t or "").encode() for _, t in texts()]
+    hashes, starts = common.word_hashes(given)
+    assert np.diff(starts).tolist() == [len(t.split()) for t in given]
+    monkeypatch.setattr(common, "SLICE_BYTES", 37)
+    again, places = common.word_hashes(given)
+    assert (hashes == again).all() and (starts == places).all()
+    assert common.word_hashes([b"", b" "])[1].tolist() == [0, 0, 0]
+    upper, _ = common.word_hashes([b"Word word"], lower=False)
+    assert upper[0] != upper[1]
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([(k % 9 if k % 3 else 0, k) for k in range(200)] + [(77, 1)], "key int, v int")
+    table = spark.createDataFrame([(k, f"t{k}", 100 - k) for k in range(7)], "key int, t string, n int")
+    for how in ("inner", "left"):
+        got = common.hot_join(rows, table, "key", "n", how)
+        assert multiset(map(tuple, got.select("key", "v", "t").collect())) == multiset(map(tuple, rows.join(table, "key", how).select("key", "v", "t").collect()))
+
+
 def test_trigram_queries():
     assert trigrams.trigram_query("abcd") == [frozenset({"abc", "bcd"})]
     assert trigrams.trigram_query("(?:abc|xyz)[0-9]+") == [frozenset({"abc"}), frozenset({"xyz"})]
