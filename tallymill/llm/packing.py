@@ -10,9 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import text_batches
+from tallymill.llm.common import stored, text_batches
 from tallymill.llm.tokens import TextEncoder
-from tallymill.session import stored
 
 SEQUENCE = 2048
 END_ID = 0
@@ -153,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_bins: int =
     - An empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stored(rows.mapInArrow(_first_round(tokenizer, size, open_bins, end_id), f"{PACKED}, full boolean"), "pieces")
+    first = stored(rows.mapInArrow(_first_round(tokenizer, size, open_bins, end_id), f"{PACKED}, full boolean"), "pieces", 2500)
     left = first.filter("not full")
     used = left.groupBy(F.col("sequence_id").alias("bin")).agg(F.sum("length").alias("used"))
     tasks = max(1, rows.rdd.getNumPartitions() // TASKS_TOGETHER)

@@ -7,12 +7,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words whose ids a task remembers; it starts anew beyond that.
-KNOWN_WORDS = 1_200_000
+KNOWN_WORDS = 1_000_000
+WORDS_TOGETHER = 10_000
 # White space at either side of a space: there a run of white space reaches across the space.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Marks that, at the end of a word and after a letter, are encoded apart from it.
 _MARKS = ".,;:!?"
 _ACROSS = f"{_SPACE} {_SPACE}"
+_ODD_END = f"^$|^{_SPACE}|{_SPACE}$"
 
 
 class TextEncoder:
@@ -34,11 +36,12 @@ class TextEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.after_space: dict[str, int] = {}
-        self.at_start: dict[str, int] = {}
+        # Words at a start, and words after a space: the words, and the code of each (0 at the end).
+        self.known = {spaced: (pa.array([], pa.large_string()), np.zeros(1, dtype=np.int32)) for spaced in (False, True)}
+        # Code 0 has no ids.
         self.flat = np.zeros(0, dtype=np.uint32)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
+        self.starts = np.zeros(1, dtype=np.int64)
+        self.sizes = np.zeros(1, dtype=np.int64)
 
     def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         first = len(self.sizes)
@@ -53,11 +56,19 @@ class TextEncoder:
         return self._add(flat, np.array([len(ids) for ids in found], dtype=np.int64))
 
     def _add_together(self, words: list[str]) -> int:
-        """Words without white space at their ends, each after a space: one text."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        places = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
-        return self._add(ids, np.diff(places, prepend=0))
+        """Words without white space at their ends, each after a space: some thousands make one text."""
+        first = len(self.sizes)
+        parts, sizes = [], []
+        for start in range(0, len(words), WORDS_TOGETHER):
+            some = words[start : start + WORDS_TOGETHER]
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(found, dtype=np.uint32)
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            places = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
+            parts.append(ids)
+            sizes.append(np.diff(places, prepend=0))
+        self._add(np.concatenate(parts), np.concatenate(sizes))
+        return first
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[codes]
@@ -66,36 +77,46 @@ class TextEncoder:
         places += np.arange(len(places), dtype=np.int32)
         return self.flat[places], sizes
 
-    def _learn_spaced(self, new: list[str]) -> None:
-        """New words after a space; a word and the marks behind it are learnt apart."""
-        known = self.after_space
-        odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-        if odd:
-            first = self._add_each([" " + w for w in odd])
-            known.update(zip(odd, range(first, first + len(odd)), strict=True))
-        cores = {w: c if (c := w.rstrip(_MARKS)) and c[-1].isalpha() else w for w in new if w not in known}
-        plain = [c for c in dict.fromkeys(cores.values()) if c not in known]
-        if plain:
-            first = self._add_together(plain)
-            known.update(zip(plain, range(first, first + len(plain)), strict=True))
-        marked = [w for w, c in cores.items() if w != c]
-        if marked:
-            marks = self._codes([w[len(cores[w]) :] for w in marked], self.at_start, False)
-            ids, sizes = self._gather(np.column_stack(([known[cores[w]] for w in marked], marks)).ravel())
-            first = self._add(ids, sizes.reshape(-1, 2).sum(axis=1))
-            known.update(zip(marked, range(first, first + len(marked)), strict=True))
-
-    def _codes(self, words: list[str], known: dict[str, int], spaced: bool) -> np.ndarray:
-        codes = [known.get(w, -1) for w in words]
-        if -1 in codes:
-            new = list(dict.fromkeys(w for w, c in zip(words, codes, strict=True) if c < 0))
-            if spaced:
-                self._learn_spaced(new)
-            else:
-                first = self._add_each(new)
-                known.update(zip(new, range(first, first + len(new)), strict=True))
-            codes = [known[w] if c < 0 else c for w, c in zip(words, codes, strict=True)]
-        return np.array(codes, dtype=np.int64)
+    def _learn(self, new: pa.Array, spaced: bool) -> np.ndarray:
+        """Codes of words that are not known yet."""
+        codes = np.zeros(len(new), dtype=np.int32)
+        odd = np.ones(len(new), dtype=bool)
+        if spaced:
+            odd = pc.match_substring_regex(new, _ODD_END).to_numpy(zero_copy_only=False)
+        if not odd.all():
+            plain = new.filter(pa.array(~odd)).to_pylist()
+            codes[~odd] = self._add_together(plain) + np.arange(len(plain))
+        if odd.any():
+            apart = new.filter(pa.array(odd)).to_pylist()
+            codes[odd] = self._add_each([" " + w for w in apart] if spaced else apart) + np.arange(len(apart))
+        return codes
+
+    def _codes(self, words: pa.Array, spaced: bool) -> np.ndarray:
+        """Places of the ids of each word; each different one is looked up once."""
+        coded = words.dictionary_encode()
+        known, code_of = self.known[spaced]
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy()
+        codes = code_of[at]
+        new = at < 0
+        if new.any():
+            unknown = coded.dictionary.filter(pa.array(new))
+            codes[new] = learnt = self._learn(unknown, spaced)
+            self.known[spaced] = pa.concat_arrays([known, unknown]), np.concatenate((code_of[:-1], learnt, code_of[-1:]))
+        return codes[coded.indices.to_numpy()]
+
+    def _marked(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of words after a space, and of the marks behind them (0: none)."""
+        coded = words.dictionary_encode()
+        units, places = coded.dictionary, coded.indices.to_numpy()
+        cores = pc.utf8_rtrim(units, characters=_MARKS)
+        behind = np.asarray(pc.binary_length(units)) - np.asarray(pc.binary_length(cores))
+        cut = (behind > 0) & pc.match_substring_regex(cores, r"\pL$").to_numpy(zero_copy_only=False)
+        own = self._codes(pc.if_else(pa.array(cut), cores, units), True)
+        marks = np.zeros(len(units), dtype=np.int32)
+        for n in np.unique(behind[cut]).tolist():
+            these = np.flatnonzero(cut & (behind == n))
+            marks[these] = self._codes(pc.utf8_slice_codeunits(units.take(pa.array(these)), start=-n), False)
+        return own[places], marks[places]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none) as unsigned 32-bit integers, and the number of ids of each."""
@@ -106,22 +127,23 @@ class TextEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.or_(pc.match_substring_regex(texts, _ACROSS), pc.match_substring(texts, "<|"))
         cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
-        ends = np.asarray(cut.offsets)
-        starts, words = ends[:-1] - ends[0], cut.flatten()
-        first = words.take(pa.array(starts)).dictionary_encode()
-        rest = words.dictionary_encode()
+        starts, words = np.asarray(cut.offsets)[:-1] - cut.offsets[0].as_py(), cut.flatten()
         later = np.ones(len(words), dtype=bool)
         later[starts] = False
-        codes = np.zeros(len(words), dtype=np.int64)
-        places = rest.indices.to_numpy()[later]
-        used = np.unique(places)
-        code_of = np.zeros(len(rest.dictionary), dtype=np.int64)
-        code_of[used] = self._codes(rest.dictionary.take(pa.array(used)).to_pylist(), self.after_space, True)
-        codes[later] = code_of[places]
-        codes[starts] = self._codes(first.dictionary.to_pylist(), self.at_start, False)[first.indices.to_numpy()]
+        first = self._codes(words.take(pa.array(starts)), False)
         odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if len(odd):
             at = self._add_each(texts.take(pa.array(odd)).to_pylist())
-            codes[starts[odd]] = np.arange(at, at + len(odd))
+            first[odd] = np.arange(at, at + len(odd))
+        own, marks = np.zeros(len(words), dtype=np.int32), np.zeros(len(words), dtype=np.int32)
+        own[starts] = first
+        if later.any():
+            own[later], marks[later] = self._marked(words.filter(pa.array(later)))
+        # The codes in order, those of marks between.
+        held = marks > 0
+        places = np.arange(len(words)) + np.cumsum(held) - held
+        codes = np.zeros(len(words) + int(held.sum()), dtype=np.int32)
+        codes[places] = own
+        codes[places[held] + 1] = marks[held]
         ids, sizes = self._gather(codes)
-        return ids, np.add.reduceat(sizes, starts)
+        return ids, np.add.reduceat(sizes, places[starts])
