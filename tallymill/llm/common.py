@@ -19,11 +19,32 @@ HOT_KEYS = 1000
 BLANKS = (0x20, *range(0x09, 0x0E))
 # Text that one step of a Python task works on at a time, unless one text is longer.
 SLICE_BYTES = 1_000_000
+# Bits of a filter of hashes: 1 MB at any size; and of one row of bitmap_construct_agg.
+FILTER_BITS = 1 << 23
+BITMAP_BITS = 32768
 # Rows of an Arrow batch between Spark and its Python workers. Texts are long, and both
 # sides hold whole batches.
 BATCH_ROWS = 500
 
 
+def bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """Rows (part, bits), FILTER_BITS bits in all whatever the number of hashes: a bit is set
+    for each value of `column` (64-bit hashes)."""
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")) + 1
+    parts = hashes.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit"))
+    return parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def may_be_in(rows: DataFrame, held: DataFrame, value: Column) -> DataFrame:
+    """The `rows` whose `value` (a 64-bit hash) has its bit set in a `bitmap`, which is
+    broadcast; others are certainly not among its hashes."""
+    place = value.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    found = rows.join(F.broadcast(held), F.floor(place / BITMAP_BITS) + 1 == held["part"])
+    byte = F.substring(found["bits"], (place % BITMAP_BITS / 8).cast("int") + 1, F.lit(1))
+    number = F.conv(F.hex(byte), 16, 10).cast("int")
+    return found.filter(F.getbit(number, (place % 8).cast("int")) == 1).drop("part", "bits")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Jobs started inside send at most `rows` rows per Arrow batch."""

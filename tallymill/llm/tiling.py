@@ -10,14 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import hot_join, mixed, stored, text_batches, word_hashes
+from tallymill.llm.common import BITMAP_BITS, FILTER_BITS, bitmap, hot_join, mixed, stored, text_batches, word_hashes
 
 # Words of the shortest tile, and the share of an item's words that tiles must cover.
 MIN_TILE = 5
 COVERAGE = 0.5
-# Bits of the filter that tells each task which seeds the benchmark may have: 1 MB at any size.
-FILTER_BITS = 1 << 23
-_BITMAP_BITS = 32768  # of one row of bitmap_construct_agg
 
 SEEDS = "key long, text_hash long, n_words long, seed long, place int"
 
@@ -28,8 +25,8 @@ def normal(text: str | None) -> bytes:
     return (text or "").lower().encode().translate(apart)
 
 
-def _seeds(size: int, bitmap: np.ndarray | None):
-    """Rolling (Karp-Rabin) hashes of `size` words at each place of a text, if the bitmap has them."""
+def _seeds(size: int, held: np.ndarray | None):
+    """Rolling (Karp-Rabin) hashes of `size` words at each place of a text, if the filter `held` has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in text_batches(b)):
@@ -42,9 +39,9 @@ def _seeds(size: int, bitmap: np.ndarray | None):
             seeds = mixed(total)
             row = np.repeat(np.arange(len(counts)), counts)[:n]
             good = np.arange(n) + size <= starts[1:][row]
-            if bitmap is not None:
+            if held is not None:
                 bit = (seeds % np.uint64(FILTER_BITS)).astype(np.int64)
-                good &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                good &= (held[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             at = np.flatnonzero(good)
             row = row[at]
             columns = [batch.column(c).take(pa.array(row)) for c in ("key", "text_hash")]
@@ -54,20 +51,17 @@ def _seeds(size: int, bitmap: np.ndarray | None):
     return run
 
 
-def seeds(texts: DataFrame, key: str, size: int, bitmap: np.ndarray | None = None) -> DataFrame:
+def seeds(texts: DataFrame, key: str, size: int, held: np.ndarray | None = None) -> DataFrame:
     rows = texts.select(F.col(key).cast("long").alias("key"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_seeds(size, bitmap), SEEDS)
+    return rows.mapInArrow(_seeds(size, held), SEEDS)
 
 
 def seed_filter(found: DataFrame) -> np.ndarray:
     """Bitmap of the seeds, FILTER_BITS / 8 bytes whatever their number."""
-    bit = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
-    parts = found.select(F.bitmap_bucket_number(bit + 1).alias("part"), F.bitmap_bit_position(bit + 1).alias("bit"))
-    parts = parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for part, bits in parts.collect():
-        start = (part - 1) * _BITMAP_BITS // 8
-        out[start : start + _BITMAP_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
+    for part, bits in bitmap(found, "seed").collect():
+        start = (part - 1) * BITMAP_BITS // 8
+        out[start : start + BITMAP_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallymill.llm.common import crc_mod, stored, text_batches
+from tallymill.llm.common import bitmap, crc_mod, may_be_in, stored, text_batches
 
 # Hash space of the features: words and their first 4 and 5 letters.
 BUCKETS = 1 << 18
@@ -215,10 +215,13 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, text, label) of the labelled documents that are not held out; documents of a
-    null id, and ids whose labels disagree, are left out."""
+    null id, and ids whose labels disagree, are left out. A bitmap of the labelled ids keeps
+    most other texts out of the shuffle."""
     marks = labels.groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("most")).filter("label = most")
-    learn = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != 0))
-    return learn.join(marks.select("doc_id", "label"), "doc_id")
+    marks = stored(marks.select("doc_id", "label").filter(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != 0)), "marks")
+    held = bitmap(marks.select(F.xxhash64(F.col("doc_id").cast("long")).alias("id_hash")), "id_hash")
+    learn = may_be_in(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()), held, F.xxhash64(docs["doc_id"].cast("long")))
+    return learn.join(marks.hint("merge"), "doc_id")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
