@@ -143,11 +143,10 @@ def roll_forward(model: DemandModel, states: DataFrame, horizon: int) -> DataFra
     if model.model is None:
         return states.limit(0).withColumn("path", F.array().cast("array<double>")).drop("window", "last")
     if model.kind == LINEAR:
-        weights = model.model.coefficients.toArray().tolist()
-        own, other = weights[: model.seq_length], weights[model.seq_length :]
+        own, other, constant = linear_weights(model)
         # The features stay the same, so their part of the sum is taken once per row.
-        fixed = states.withColumn("_fixed", F.lit(float(model.model.intercept)) + _dot(F.col("last"), other))
-        state = fixed.withColumn("path", _linear_path(F.col("window"), F.col("_fixed"), own, horizon))
+        fixed = states.withColumn("_fixed", F.lit(constant) + dot(F.col("last"), other))
+        state = fixed.withColumn("path", linear_path(F.col("window"), F.col("_fixed"), own, horizon))
         return state.drop("_fixed", "window", "last")
     state = states.withColumn("path", F.array().cast("array<double>"))
     for step in range(1, horizon + 1):
@@ -163,18 +162,24 @@ def roll_forward(model: DemandModel, states: DataFrame, horizon: int) -> DataFra
     return state.drop("window", "last")
 
 
-def _dot(values: Column, weights: Sequence[float]) -> Column:
+def linear_weights(model: DemandModel) -> tuple[list[float], list[float], float]:
+    """Weights of the window's quantities, of the other features, and the constant."""
+    weights = model.model.coefficients.toArray().tolist()
+    return weights[: model.seq_length], weights[model.seq_length :], float(model.model.intercept)
+
+
+def dot(values: Column, weights: Sequence[float]) -> Column:
     products = F.zip_with(values, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def _linear_path(window: Column, fixed: Column, weights: Sequence[float], horizon: int) -> Column:
+def linear_path(window: Column, fixed: Column, weights: Sequence[float], horizon: int) -> Column:
     """The recursion as one fold over the steps: the array grows by one prediction per
     step, and step i reads as many entries from i on as the window has."""
     size = len(weights)
 
     def step(known: Column, i: Column) -> Column:
-        return F.concat(known, F.array(fixed + _dot(F.slice(known, i, F.lit(size)), weights)))
+        return F.concat(known, F.array(fixed + dot(F.slice(known, i, F.lit(size)), weights)))
 
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), window.cast("array<double>"), step)
     return F.slice(grown, size + 1, horizon)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.operators.models import DemandModel, last_windows, roll_forward, units
+from tallymill.operators.models import (
+    LINEAR, DemandModel, dot, last_windows, linear_path, linear_weights, roll_forward, units,
+)
 from tallymill.operators.series import DAY, KEY
 
 GRID_POINTS = 20
@@ -44,16 +46,37 @@ def simulate_demand(
     unclamped value.
     """
     place = [f for f in model.features if f != "quantity"].index("our_price")
-    states = last_windows(scaled, model.seq_length).join(grid, KEY)
+    states = last_windows(scaled, model.seq_length)
+    if model.kind == LINEAR and model.model is not None:
+        return price_curve(_linear_demand(model, states, grid, days, place))
     scaled_price = (F.col("price") - F.col("our_price_low")) / F.col("our_price_span")
-    priced = states.withColumn(
+    priced = states.join(grid, KEY).withColumn(
         "last", F.transform("last", lambda x, i: F.when(i == place, scaled_price).otherwise(x))
     )
     paths = roll_forward(model, priced, days)
-    units_sold = F.aggregate(
-        "path", F.lit(0.0), lambda total, x: total + F.greatest(F.lit(0.0), units(x))
-    )
-    return price_curve(paths.select(KEY, "current_price", "point", "price", units_sold.alias("quantity")))
+    return price_curve(paths.select(KEY, "current_price", "point", "price", _units_sold(F.col("path")).alias("quantity")))
+
+
+def _units_sold(path: Column) -> Column:
+    return F.aggregate(path, F.lit(0.0), lambda total, x: total + F.greatest(F.lit(0.0), units(x)))
+
+
+def _linear_demand(model: DemandModel, states: DataFrame, grid: DataFrame, days: int, place: int) -> DataFrame:
+    """Units for each grid price. A product stays one row with one window: its prices, at
+    most as many as the grid has points, are worked through inside it. A price only changes
+    its own part of the sum, so the other features are added up once."""
+    own, other, constant = linear_weights(model)
+    offers = grid.groupBy(KEY, "current_price").agg(F.collect_list(F.struct("point", "price")).alias("offers"))
+    fixed = F.lit(constant) + dot(F.col("last"), other)
+    rows = states.join(offers, KEY).withColumns({"_fixed": fixed, "_price": F.element_at("last", place + 1)})
+
+    def sold(offer: Column) -> Column:
+        scaled_price = (offer["price"] - F.col("our_price_low")) / F.col("our_price_span")
+        moved = F.col("_fixed") + F.lit(other[place]) * (scaled_price - F.col("_price"))
+        quantity = _units_sold(linear_path(F.col("window"), moved, own, days))
+        return F.struct(offer["point"].alias("point"), offer["price"].alias("price"), quantity.alias("quantity"))
+
+    return rows.select(KEY, "current_price", F.inline(F.transform("offers", sold)))
 
 
 def price_curve(demand: DataFrame) -> DataFrame:
