@@ -92,11 +92,12 @@ def _first_round(path: str, size: int, most: int, end_id: int):
         base, bins, rows = TaskContext.get().partitionId() << 33, 0, []
         for batch in (part for b in batches for part in text_batches(b, most=8_000_000)):
             flat, counts = encoder.encode(batch.column("text"))
-            ends = np.cumsum(counts)
-            for doc_id, end, count in zip(batch.column("doc_id").to_pylist(), ends.tolist(), counts.tolist(), strict=True):
-                ids = np.append(flat[end - count : end], np.uint32(end_id)).astype("<u4")
-                for k, (start, length) in enumerate(pieces_of(len(ids), size)):
-                    item = (doc_id, k, start, length, ids[start : start + length].tobytes())
+            raw = np.insert(flat, np.cumsum(counts), end_id).astype("<u4").tobytes()
+            counts += 1
+            begins = np.cumsum(counts) - counts
+            for doc_id, begin, count in zip(batch.column("doc_id").to_pylist(), begins.tolist(), counts.tolist(), strict=True):
+                for k, (start, length) in enumerate(pieces_of(count, size)):
+                    item = (doc_id, k, start, length, raw[4 * (begin + start) : 4 * (begin + start + length)])
                     for closed in packer.put(item, length):
                         rows += [(*piece, base + bins, offset, True) for piece, offset in closed]
                         bins += 1

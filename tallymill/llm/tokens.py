@@ -110,7 +110,8 @@ class TextEncoder:
         units, places = coded.dictionary, coded.indices.to_numpy()
         cores = pc.utf8_rtrim(units, characters=_MARKS)
         behind = np.asarray(pc.binary_length(units)) - np.asarray(pc.binary_length(cores))
-        cut = (behind > 0) & pc.match_substring_regex(cores, r"\pL$").to_numpy(zero_copy_only=False)
+        cut = behind > 0
+        cut[cut] = pc.match_substring_regex(cores.filter(pa.array(cut)), r"\pL$").to_numpy(zero_copy_only=False)
         own = self._codes(pc.if_else(pa.array(cut), cores, units), True)
         marks = np.zeros(len(units), dtype=np.int32)
         for n in np.unique(behind[cut]).tolist():
