@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -19,9 +19,8 @@ from tallymill.llm.common import bitmap, crc_mod, may_be_in, stored, text_batche
 # Hash space of the features: words and their first 4 and 5 letters.
 BUCKETS = 1 << 18
 PREFIXES = (4, 5)
-# Features that the classifier sees: those whose labels differ most surely.
+# Features that the classifier sees: those with the most evidence of a link with the label.
 FEATURES = 4096
-LEAST_Z = 4.0
 # The classifier is fitted on at most this many labelled documents, those with the smallest
 # hash of their id; feature statistics cover all of them.
 FIT_ROWS = 20_000
@@ -117,7 +116,7 @@ def _vectors(buckets: np.ndarray, other: dict[str, str]):
 
 @dataclass
 class Model:
-    """Weight per bucket (at most FEATURES are not 0) and the constant."""
+    """Weight per bucket (of FEATURES, and of the identity terms) and the constant."""
 
     buckets: np.ndarray
     weights: np.ndarray
@@ -132,37 +131,56 @@ def _sums(lists: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def fit_weights(own: list[np.ndarray], swapped: dict[int, np.ndarray], labels: np.ndarray, n: int, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
-    """Logistic regression: mean log loss + RIDGE |w|^2 + `penalty` x the mean over swapped
-    documents of (score before - score after)^2, by accelerated gradient steps of Adam."""
-    w, c = np.zeros(n), float(np.log((labels.sum() + 0.5) / ((1 - labels).sum() + 0.5)))
+def fit_weights(own: list[np.ndarray], swapped: dict[int, np.ndarray], labels: np.ndarray, trust: np.ndarray, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+    """Logistic regression: mean log loss + RIDGE |w / trust|^2 + `penalty` x the mean over
+    swapped documents of (score before - score after)^2, by accelerated gradient steps of
+    Adam on w / trust: features of little trust (0 to 1 each) move late and cost more."""
+    n = len(trust)
+    free, c = np.zeros(n), float(np.log((labels.sum() + 0.5) / ((1 - labels).sum() + 0.5)))
     sizes = np.array([len(x) for x in own])
     flat = np.concatenate([*own, np.zeros(0, dtype=np.int32)]).astype(np.int64)
     before = [own[k] for k in swapped]
     after = list(swapped.values())
     moment, square = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, STEPS + 1):
+        w = free * trust
         error = 1 / (1 + np.exp(-np.clip(c + _sums(own, w), -30, 30))) - labels
-        slope = np.bincount(flat, weights=np.repeat(error, sizes), minlength=n) / len(labels) + 2 * RIDGE * w
+        slope = np.bincount(flat, weights=np.repeat(error, sizes), minlength=n) / len(labels)
         if swapped:
             change = 2 * penalty * (_sums(before, w) - _sums(after, w)) / len(swapped)
             for lists, sign in ((before, 1), (after, -1)):
                 slope += sign * np.bincount(np.concatenate(lists).astype(np.int64), weights=np.repeat(change, [len(x) for x in lists]), minlength=n)
-        gradient = np.append(slope, error.mean())
+        gradient = np.append(slope * trust + 2 * RIDGE * free, error.mean())
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         move = 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        w, c = w - move[:-1], c - move[-1]
-    return w, c
+        free, c = free - move[:-1], c - move[-1]
+    return free * trust, c
+
+
+def evidence(n0: Column, n1: Column, clean: int, toxic: int) -> Column:
+    """Log-likelihood ratio of feature and label: 2 x the sum of k ln(k / expected k) over
+    the documents of either label with and without the feature. A count of 0 adds nothing,
+    so a word that no clean document has is not held back by that."""
+    n, held = clean + toxic, n0 + n1
+
+    def part(k: Column, expected: Column) -> Column:
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+
+    cells = [(k, size, held) for k, size in ((n0, clean), (n1, toxic))]
+    cells += [(F.lit(size) - k, size, F.lit(n) - held) for k, size in ((n0, clean), (n1, toxic))]
+    return F.greatest(F.lit(0.0), 2 * sum((part(k, size * rest / n) for k, size, rest in cells), F.lit(0.0)))
 
 
 def fit(labelled: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Model:
     """Model from (doc_id, text, label): label 0 or 1, other labels are left out. Without
     rows of both labels the score is their smoothed share, one half for none.
 
-    Counts per feature come from all rows, added up per task before the shuffle; the FEATURES
-    whose label shares differ by LEAST_Z or more standard errors, the surest first, are kept,
-    and the weights fitted on FIT_ROWS rows.
+    Counts per feature come from all rows, added up per task before the shuffle. The FEATURES
+    with the most evidence are kept, whatever the number of rows, and the weights fitted on
+    FIT_ROWS rows. The trust in a feature is (e / (e + chance))^2 for evidence e, where
+    chance = 2 ln(features) is about the most that chance gives to one of so many features;
+    that of the features of identity terms is 1.
     """
     other = swaps(identities)
     rows = labelled.filter(F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int").alias("label"))
@@ -172,11 +190,12 @@ def fit(labelled: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIE
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
     counts = rows.select("text", "label").mapInArrow(_counts, "bucket long, n0 long, n1 long")
     counts = stored(counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "label-counts")
-    here, there = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n - n1 + 1.0)
-    z = F.abs(F.log(here / there)) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    surest = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(FEATURES)
-    own = {b for w in other for b in features_of(w)}
-    buckets = np.array(sorted(own | {r.bucket for r in surest.select("bucket").collect()}), dtype=np.int64)
+    chance = 2 * np.log(max(counts.count(), 2))
+    surest = counts.withColumn("e", evidence(F.col("n0"), F.col("n1"), n - n1, n1)).orderBy(F.desc("e"), "bucket").limit(FEATURES)
+    trusted = {r.bucket: (r.e / (r.e + chance)) ** 2 for r in surest.select("bucket", "e").collect()}
+    trusted |= {b: 1.0 for w in other for b in features_of(w)}
+    buckets = np.array(sorted(trusted), dtype=np.int64)
+    trust = np.array([trusted[b] for b in buckets.tolist()])
     place = F.xxhash64("doc_id").alias("place")
     last = rows.select(place).orderBy("place").limit(FIT_ROWS).agg(F.max("place")).first()[0]
     sample = rows.filter(place <= last)
@@ -184,7 +203,7 @@ def fit(labelled: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIE
     sample = stored(sample, "fit-rows").orderBy("label", "own").toArrow().to_pydict()
     lists = [np.array(x, dtype=np.int32) for x in sample["own"]]
     changed = {k: np.array(x, dtype=np.int32) for k, x in enumerate(sample["swapped"]) if x is not None}
-    weights, constant = fit_weights(lists, changed, np.array(sample["label"], dtype=float), len(buckets))
+    weights, constant = fit_weights(lists, changed, np.array(sample["label"], dtype=float), trust)
     return Model(buckets, weights, constant)
 
 

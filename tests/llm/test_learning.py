@@ -7,6 +7,7 @@ from cases import documents, empty, prose, texts
 from pyspark.sql import functions as F
 
 from tallymill.llm import queries, tiling, toxicity
+from tallymill.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.1"
 
@@ -22,6 +23,33 @@ def test_held_out_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_words_of_no_clean_document_are_found_at_any_size(spark):
+    """Insults that occur in toxic texts only; labels in equal parts, each share of the rows."""
+    rows = [(k, f"{prose(k, 12)} {'filthscum' if k % 2 else ''}", k % 2) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    new = spark.createDataFrame([(1, prose(901, 12) + " filthscum"), (2, prose(902, 12))], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.scores(new, toxicity.fit(docs)).collect()}
+    assert found[1] > 0.5 > found[2]
+
+
+def test_held_out_toxicity_of_a_small_table(spark):
+    """Each fifth of the labelled documents scored by a model of the others."""
+    small = SF.replace("sf0.1", "sf0.01")
+    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").join(labels, "doc_id").filter("label is not null").persist()
+    hits = wrong = 0
+    for k in range(5):
+        held = crc_mod(F.col("doc_id"), 5) == k
+        found = toxicity.scores(docs.filter(held), toxicity.fit(docs.filter(~held)))
+        rows = found.join(docs.select("doc_id", "label"), "doc_id").collect()
+        hits += sum(r.score >= 0.5 for r in rows if r.label)
+        wrong += sum(r.score >= 0.5 for r in rows if not r.label)
+    n, toxic = docs.count(), docs.filter("label = 1").count()
+    docs.unpersist()
+    print(f"{hits} of {toxic} found, {wrong} of {n - toxic} wrong")
+    assert hits >= 0.7 * toxic and wrong <= 0.01 * n
+
+
 def labelled(spark):
     """Insults are toxic; sentences that name one group are toxic more often in the sample."""
     r = random.Random(1)
