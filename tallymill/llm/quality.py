@@ -21,10 +21,15 @@ WINDOW = 3
 SKETCH_K = 2048
 # A group of fewer documents takes the thresholds of its language, or of all documents.
 LEAST_DOCS = 200
-# A value is an outlier if it is further from the quartiles than this many spreads; the
-# spread is the distance of the quartiles, or the slack of the measure if that is more.
+# Values further from the quartiles than this many spreads are left out of the tail; the
+# spread is the distance of the quartiles, or the slack of the measure if that is more. A
+# value is an outlier if it is further beyond the last quantile of what remains than this
+# many distances of the last two, or than the slack of the measure if that is more.
 FENCE = 4.0
-#: measure -> (numerator, denominator, whether low values are bad too, least spread)
+TAIL = (0.95, 0.99)
+# Ranks at which a sketch is read.
+RANKS = [k / 400 for k in range(401)]
+#: measure -> (numerator, denominator, whether low values are bad too, slack)
 MEASURES = {
     "word_length": ("word_chars", "n_words", True, 0.5),
     "symbol_share": ("n_symbols", "n_words", False, 0.05),
@@ -108,14 +113,27 @@ def thresholds(counted: DataFrame) -> DataFrame:
     languages = stored(languages, "language-sketches")
     everything = languages.agg(F.sum("good").alias("good"), *merged)
 
-    def bounds(m: str, sketch: Column) -> list[Column]:
-        low, high = (F.when(F.col("good") > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(q))) for q in (0.25, 0.75))
+    def bounds(m: str) -> list[Column]:
+        def at(q: float) -> Column:
+            return F.element_at(m, F.greatest(F.lit(1), F.ceil(F.array_size(m) * F.lit(q)).cast("int")))
+
+        slack = F.lit(MEASURES[m][3])
+        (inner, last), (lower, first) = map(at, TAIL), (at(1 - q) for q in TAIL)
+        least = first - F.greatest((lower - first) * FENCE, slack) if MEASURES[m][2] else F.lit(float("-inf"))
+        return [least.alias(f"{m}_low"), (last + F.greatest((last - inner) * FENCE, slack)).alias(f"{m}_high")]
+
+    def within_fence(m: str) -> Column:
+        """Junk may be a tenth of a group, so the tail is that of the values within the fence."""
+        low, high = F.element_at(m, 1 + len(RANKS) // 4), F.element_at(m, 1 + 3 * len(RANKS) // 4)
         spread = F.greatest(high - low, F.lit(MEASURES[m][3])) * FENCE
-        least = low - spread if MEASURES[m][2] else F.lit(float("-inf"))
-        return [least.alias(f"{m}_low"), (high + spread).alias(f"{m}_high")]
+        return F.filter(m, lambda v: v.between(low - spread, high + spread))
+
+    ranks = F.lit(RANKS)
 
     def bounded(table: DataFrame, *keys: str) -> DataFrame:
-        return table.select(*keys, "good", *[b for m in MEASURES for b in bounds(m, F.col(m))])
+        read = table.select(*keys, "good", *[F.when(F.col("good") > 0, F.kll_sketch_get_quantile_double(m, ranks)).alias(m) for m in MEASURES])
+        read = read.select(*keys, "good", *[within_fence(m).alias(m) for m in MEASURES])
+        return read.select(*keys, "good", *[b for m in MEASURES for b in bounds(m)])
 
     names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
     own, wider = bounded(sketched, "group"), bounded(languages, "language")

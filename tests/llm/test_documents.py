@@ -120,6 +120,19 @@ def test_quality(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_bounds_follow_the_tail_of_each_group(spark):
+    """Quartiles of 0 in both groups, and a tenth of junk in each: one bound per group, below the junk."""
+    rows = []
+    for k in range(1000):
+        for lang, common in (("a", 2), ("b", 6)):
+            repeated = 45 if k % 10 == 0 else k % common if k % 10 == 1 else 0
+            rows.append((k, lang, "s", 100, 500, 0, 20, 0, repeated, False))
+    counted = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + quality.COUNTS + ", base_failed boolean")
+    found = {r.group: r for r in quality.thresholds(counted).collect()}
+    high = {lang: next(r.repeat_share_high for g, r in found.items() if f'"lang":"{lang}"' in g) for lang in "ab"}
+    assert 0.05 < high["a"] < high["b"] < 0.45
+
+
 def spans(text, rules):
     found = [(m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text or "", re.ASCII) if len(m.group(r.group)) >= r.least]
     return [(rules[k].kind, a, b) for a, k, b in sorted(found)]
