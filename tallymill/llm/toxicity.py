@@ -116,11 +116,13 @@ def _vectors(buckets: np.ndarray, other: dict[str, str]):
 
 @dataclass
 class Model:
-    """Weight per bucket (of FEATURES, and of the identity terms) and the constant."""
+    """Weight per bucket (of FEATURES, and of the identity terms), the constant, and the number
+    of fitted documents that a swap of identity terms changes: of 0, the penalty had no part."""
 
     buckets: np.ndarray
     weights: np.ndarray
     constant: float
+    n_swapped: int = 0
 
 
 def _sums(lists: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
@@ -204,7 +206,7 @@ def fit(labelled: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIE
     lists = [np.array(x, dtype=np.int32) for x in sample["own"]]
     changed = {k: np.array(x, dtype=np.int32) for k, x in enumerate(sample["swapped"]) if x is not None}
     weights, constant = fit_weights(lists, changed, np.array(sample["label"], dtype=float), trust)
-    return Model(buckets, weights, constant)
+    return Model(buckets, weights, constant, len(changed))
 
 
 def _scores(model: Model):

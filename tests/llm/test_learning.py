@@ -80,6 +80,12 @@ def test_swaps_reduce_the_weight_of_groups(spark, monkeypatch):
     assert insult > 0.5 and abs(fair) < 0.5 * unfair
 
 
+def test_swapped_documents_are_counted(spark):
+    named = labelled(spark).filter(r"text rlike '\\b(muslims|christians|jews)\\b'").count()
+    assert toxicity.fit(labelled(spark)).n_swapped == named > 0
+    assert toxicity.fit(labelled(spark).withColumn("text", F.regexp_replace("text", "muslims|christians|jews", "people"))).n_swapped == 0
+
+
 def test_toxicity_edges(spark):
     model = toxicity.fit(labelled(spark))
     rows = toxicity.scores(documents(spark), model).collect()
