@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat, hypervectors, line_dedup, odd_sketch, packing, quality, secrets, tiling, token_files, toxicity
+from tallymill.llm import chat, hypervectors, lexical, line_dedup, merkle, odd_sketch, packing, quality, secrets, tiling, token_files, toxicity
 from tallymill.llm.common import crc_mod
 from tallymill.session import new_folder
 
@@ -85,6 +85,20 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_words", "n_tiles", "n_covered", "coverage")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(*merkle.FIELDS)
+    # Wider than long, so that the largest long can be raised too.
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, more).otherwise(F.col("n_chars"))
+    seen = merkle.leaf([changed if f == "n_chars" else F.col(f) for f in merkle.FIELDS])
+    found = merkle.verified(merkle.manifest(merkle.leaves(docs, seen=seen)), "seen")
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -96,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -172,4 +188,78 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
         FROM documents d JOIN reach ON reach.node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS x
+        ), marked AS (
+            SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+                lambda c, b: xor(x[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 7 = 0 AS hit FROM documents, crc_table
+        ), written AS (
+            SELECT doc_id, lang, hit,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS own,
+                coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS raised,
+                coalesce(strlen(text) || ':' || text, '-') AS tail FROM marked
+        ), leaves AS (
+            SELECT doc_id, lang, sha256(head || own || tail) AS leaf, sha256(head || CASE WHEN hit THEN raised ELSE own END || tail) AS seen,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS size FROM written
+        ), trees AS (
+            SELECT lang, size, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS trees FROM (SELECT DISTINCT lang, size FROM leaves)
+        ), lower_nodes AS (
+            SELECT tree, 0 AS level, place, leaves.size AS size, leaf AS digest FROM leaves JOIN trees ON leaves.lang IS NOT DISTINCT FROM trees.lang
+            UNION ALL
+            SELECT tree, max(level) + 1, place // 2, max((size + 1) // 2), sha256(string_agg(digest, '' ORDER BY place)) FROM lower_nodes
+            WHERE size > 1 GROUP BY tree, place // 2
+        ), upper_nodes AS (
+            SELECT 0 AS level, tree AS place, trees AS size, digest FROM lower_nodes JOIN trees USING (tree) WHERE lower_nodes.size = 1
+            UNION ALL
+            SELECT max(level) + 1, place // 2, max((size + 1) // 2), sha256(string_agg(digest, '' ORDER BY place)) FROM upper_nodes
+            WHERE size > 1 GROUP BY place // 2
+        ), steps AS (
+            SELECT doc_id, n.level AS level, l.place >> n.level AS spot, s.digest AS sibling FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang
+            JOIN (SELECT DISTINCT tree, level FROM lower_nodes WHERE size > 1) n ON n.tree = t.tree
+            LEFT JOIN lower_nodes s ON s.tree = t.tree AND s.level = n.level AND s.place = xor(l.place >> n.level, 1)
+            UNION ALL
+            SELECT doc_id, 1000 + n.level, t.tree >> n.level, s.digest FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang
+            CROSS JOIN (SELECT DISTINCT level FROM upper_nodes WHERE size > 1) n
+            LEFT JOIN upper_nodes s ON s.level = n.level AND s.place = xor(t.tree >> n.level, 1)
+        ), proofs AS (
+            SELECT doc_id, list({'spot': spot, 'sibling': sibling} ORDER BY level) AS steps,
+                sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY doc_id
+        ), folds AS (
+            SELECT doc_id, seen AS digest, coalesce(steps, []) AS steps, 1 AS k FROM leaves LEFT JOIN proofs USING (doc_id)
+            UNION ALL
+            SELECT doc_id, sha256(CASE WHEN steps[k].sibling IS NULL THEN digest WHEN steps[k].spot & 1 = 1 THEN steps[k].sibling || digest
+                ELSE digest || steps[k].sibling END), steps, k + 1 FROM folds WHERE k <= len(steps)
+        )
+        SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+            f.digest AS folded_root, f.digest = r.digest AS verified
+        FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang JOIN lower_nodes s ON s.tree = t.tree AND s.size = 1
+        JOIN upper_nodes r ON r.size = 1 JOIN folds f ON f.doc_id = l.doc_id AND f.k = len(f.steps) + 1 LEFT JOIN proofs p ON p.doc_id = l.doc_id
+    """,
+    "op13_lexical_search": r"""
+        WITH texts AS (
+            SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+        ), terms AS (
+            SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts
+        ), counted AS (
+            SELECT id AS doc_id, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY id, term
+        ), sizes AS (
+            SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id
+        ), whole AS (
+            SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY term
+        ), scored AS (
+            SELECT i.id AS item_id, c.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM (SELECT DISTINCT id, term FROM terms WHERE kind = 'i') i JOIN counted c ON c.term = i.term
+            JOIN weights ON weights.term = i.term JOIN sizes ON sizes.doc_id = c.doc_id CROSS JOIN whole GROUP BY i.id, c.doc_id
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+    """,
 }
