@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.common import hot_join, mixed, shingle_hashes, stored, text_batches, utf8, word_hashes
-from tallymill.llm.components import components
+from tallymill.llm.components import components, merged
+from tallymill.llm.verify import class_of, confirmed, texts_of_classes, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -27,24 +27,14 @@ BITS_PER_SAMPLE = 8
 # Estimated similarity below which a candidate is not confirmed on the full sets: 0.8 less
 # nearly five standard deviations of the estimate, 0.025 and 0.0125.
 SIFT = {SAMPLES: 0.68, FINE_SAMPLES: 0.74}
-# Rows of a bucket that are compared with each other in one step, and copies of a hub's text.
+# Rows of a bucket that are compared with each other in one step.
 BLOCK = 1000
 # Nearest classes that one outside a bucket's largest component meets first.
 BEST = 3
-PAIRS_PER_COPY = 200
 
 SIGNATURE = "id long, text_hash long, class binary, n_shingles long, bands array<long>, sketch array<long>"
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def class_of(words: list[bytes]) -> bytes | None:
-    """128-bit name of a sequence of words; texts with the same words are one class."""
-    return hashlib.md5(b" ".join(words)).digest() if words else None
-
-
 def minhashes(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Minima of one text's distinct shingle hashes, each under its own order."""
     seeds = mixed(np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -111,57 +101,6 @@ def _estimates(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return 1 + np.log(np.maximum(1 - 2 * apart / (64 * one.shape[1]), 1e-9)) * (BITS_PER_SAMPLE / 4)
 
 
-def _shingles(text: bytes, size: int) -> set:
-    words = words_of(text)
-    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
-
-
-def _confirm(size: int, percent: int):
-    """Of rows sorted by (b, copy, a): each class `a` beside the text of `b`, which comes first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub: set = set()
-        for batch in batches:
-            same = []
-            for a, text in zip(batch.column("a").to_pylist(), utf8(batch.column("text")), strict=True):
-                own = _shingles(text, size)
-                if a is None:
-                    hub = own
-                both = len(own & hub) if a is not None else 0
-                same.append(a is not None and 100 * both >= percent * (len(own) + len(hub) - both))
-            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
-
-    return run
-
-
-def _texts_of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, text) for the classes given with an id that has such a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.array([class_of(words_of(t)) for t in utf8(batch.column("text"))], pa.binary())
-            yield batch.filter(pa.compute.equal(own, batch.column("class").cast(pa.binary())))
-
-    wanted = classes.select(F.col("id").alias("_id"), "class")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"])).select("class", "text")
-    return stored(rows.mapInArrow(run, "class binary, text string").dropDuplicates(["class"]), "texts")
-
-
-def _confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those `pairs` (a, b) of classes whose full shingle sets are similar enough. b may be
-    in many pairs: its text is copied, and each copy takes part of them."""
-    per_hub = stored(pairs.groupBy("b").agg(F.count("*").alias("n")), "hubs")
-    copies = F.ceil(F.col("n") / PAIRS_PER_COPY)
-    spread = hot_join(pairs, per_hub, "b", "n").select("a", "b", F.pmod(F.xxhash64("a"), copies).alias("copy"))
-    members = spread.join(texts.withColumnRenamed("class", "a"), "a").select("b", "copy", "a", "text")
-    hubs = per_hub.join(texts.withColumnRenamed("class", "b"), "b")
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy")
-    rows = members.unionByName(hubs.select("b", copy, F.lit(None).cast("binary").alias("a"), "text"))
-    rows = rows.repartition("b", "copy").sortWithinPartitions("b", "copy", F.col("a").asc_nulls_first())
-    return stored(rows.mapInArrow(_confirm(size, percent), "a binary, b binary"), "confirmed")
-
-
 def _fine_sketches(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(class, sketch): odd sketches of FINE_SAMPLES samples."""
 
@@ -262,18 +201,6 @@ def _crossing(shared: DataFrame, classes: DataFrame, texts: DataFrame, roots: Da
     return blocks.mapInArrow(_cross_pairs(best), "a binary, b binary").distinct()
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """`roots` (node, root) after more links between nodes; a node without a row is its own root."""
-    for end in ("a", "b"):
-        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    above = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    above = stored(above.withColumnRenamed("root", "top"), "tops")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).join(above.withColumnRenamed("node", "root"), "root")
-    moved = hot_join(roots, stored(sizes, "moved-roots"), "root", "n", "left").select("node", F.coalesce("top", "root").alias("root"))
-    new = above.join(roots, "node", "left_anti").select("node", F.col("top").alias("root"))
-    return stored(moved.unionByName(new), "roots")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text, any
     other columns); see `linked`."""
@@ -304,8 +231,8 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """
     rows = stored(signatures(docs, shingle), "signatures")
     classes = rows.filter(F.col("class").isNotNull()).groupBy("class")
-    classes = classes.agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, "classes")
+    classes = classes.agg(F.min("id").alias("least_id"), F.min(F.struct("id", "text_hash")).alias("of"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select("class", "least_id", "of.*", "n", "bands", "sketch"), "classes")
     sketches = classes.select("class", "sketch")
 
     banded = classes.select("class", F.explode("bands").alias("bucket"))
@@ -319,20 +246,20 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     near = hot_join(pairs, hubs, "b", "n").filter(estimate(F.col("one"), F.col("two")) >= SIFT[SAMPLES]).select("a", "b")
     near = stored(near, "near")
     # Only classes that share a bucket are looked at any further.
-    texts = _texts_of_classes(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"))
-    links = _confirmed(texts, near, shingle, percent)
+    texts = texts_of_classes(docs, classes.join(shared.select("class").distinct(), "class", "left_semi"))
+    links = confirmed(texts, near, shingle, percent)
     roots = stored(components(links), "roots")
 
     tested = near
     for best in (BEST, None):
         crossing = _crossing(shared, classes, texts, roots, shingle, best)
         crossing = stored(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
-        roots = _merged(roots, _confirmed(texts, crossing, shingle, percent))
+        roots = merged(roots, confirmed(texts, crossing, shingle, percent))
         tested = tested.unionByName(crossing)
 
-    placed = classes.select("class", "id", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    placed = classes.select("class", "least_id", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
     placed = stored(placed.withColumn("component", F.coalesce("root", "class")).drop("root"), "placed")
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
+    least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size"))
     named = hot_join(placed, stored(least, "least"), "component", "size").select("class", "n", "component", "component_id")
     named = stored(named, "class-ids")
 

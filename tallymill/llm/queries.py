@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat, hypervectors, lexical, line_dedup, merkle, odd_sketch, packing, quality, secrets, tiling, token_files, toxicity
+from tallymill.llm import chat, hypervectors, jaccard_join, lexical, line_dedup, merkle, odd_sketch, packing, quality, secrets, tiling, token_files, toxicity
 from tallymill.llm.common import crc_mod
 from tallymill.session import new_folder
 
@@ -85,6 +85,10 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_words", "n_tiles", "n_covered", "coverage")
 
 
+def op11_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(*merkle.FIELDS)
     # Wider than long, so that the largest long can be raised too.
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
@@ -188,6 +193,27 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
         FROM documents d JOIN reach ON reach.node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
     """,
+    "op11_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN
+                list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                ELSE [array_to_string(w, ' ')] END) AS s FROM words WHERE len(w) > 0
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS other FROM documents
+            UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+        )
+        SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+        FROM documents d JOIN reach ON reach.node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op12_merkle_manifest": r"""
         WITH RECURSIVE crc_table AS (
             SELECT list_transform(range(256), lambda i: list_reduce(range(8),
