@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import hot_join, mixed, shingle_hashes, stored, text_batches, utf8, word_hashes
+from tallymill.llm.common import bitmap, hot_join, may_be_in, mixed, shingle_hashes, stored, text_batches, utf8, word_hashes
 from tallymill.llm.components import components, merged
 from tallymill.llm.verify import class_of, confirmed, copies_of, dealt, texts_of_classes, words_of
 
@@ -22,7 +22,7 @@ PART = 1 << 14
 # Bits of an order's key below the frequency class.
 KEY_BITS = 58
 # Least keys of a class by which its nearest ones are found first.
-NEAREST_KEYS = 64
+NEAREST_KEYS = 32
 # Classes of a bucket that are compared with each other in one step; nearest ones met first.
 BLOCK = 1000
 BEST = 3
@@ -30,36 +30,43 @@ BEST = 3
 REMEMBERED = 200_000
 
 PROFILE = "id long, text_hash long, class binary, n_shingles long, part int, counts binary"
-PREFIXES = "class binary, size long, first array<long>, second array<long>, third array<long>, least array<long>"
+PREFIXES = "class binary, size long, first array<long>, second array<int>, third array<int>, least array<int>"
 _SEEDS = mixed(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def tokens_of(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """The distinct shingles of each text, as 64-bit hashes."""
-    words, starts = word_hashes(texts)
-    return [np.unique(shingle_hashes(words[a:b], size)) for a, b in zip(starts, starts[1:], strict=False)]
+def tokens_of(words: np.ndarray, size: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text as 64-bit hashes, and the frequency class of each: that
+    of its rarest word."""
+    found, first = np.unique(shingle_hashes(words, size), return_index=True)
+    each = frequent[words & np.uint64(COUNTERS - 1)]
+    n = len(words) - min(size, len(words)) + 1
+    rarest = each[:n]
+    for k in range(1, min(size, len(words))):
+        rarest = np.minimum(rarest, each[k : k + n])
+    return found, rarest[first]
 
 
 def _profiles(size: int):
     """A row for each text, and at the end of the task a table of how often its classes have
-    tokens, counted by the last bits of their hashes."""
+    words, counted by the last bits of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, dtype=np.uint32), set()
         for batch in (part for b in batches for part in text_batches(b)):
             texts = utf8(batch.column("text"))
-            found, classes = tokens_of(texts, size), [class_of(words_of(t)) for t in texts]
-            new = []
-            for name, tokens in zip(classes, found, strict=True):
+            words, starts = word_hashes(texts)
+            classes, sizes, new = [class_of(words_of(t)) for t in texts], [], []
+            for name, a, b in zip(classes, starts, starts[1:], strict=False):
+                sizes.append(len(np.unique(shingle_hashes(words[a:b], size))))
                 if name not in seen:
                     seen.add(name)
-                    new.append(tokens)
+                    new.append(words[a:b])
             if len(seen) > REMEMBERED:
                 seen.clear()
             if new:
                 counts += np.bincount(np.concatenate(new) & np.uint64(COUNTERS - 1), minlength=COUNTERS).astype(np.uint32)
             n = len(texts)
-            columns = [batch.column("id"), batch.column("text_hash"), pa.array(classes, pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["id", "text_hash", "class", "n_shingles", "part", "counts"])
         parts = [p for p in range(COUNTERS // PART) if counts[p * PART : (p + 1) * PART].any()]
         nothing = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
@@ -78,14 +85,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_classes(tables: DataFrame) -> np.ndarray:
-    """For each counter 0 if its tokens are not clearly more frequent than the mean, else one
-    more for each doubling."""
+    """The frequency class of the words of each counter: one more for each doubling."""
     counts = np.zeros(COUNTERS, dtype=np.int64)
     # At most COUNTERS / PART rows.
     for part, held in tables.repartition("part").mapInArrow(_summed, "part int, counts binary").collect():
         counts[part * PART : (part + 1) * PART] = np.frombuffer(held, dtype=np.int64)
-    usual = 2 * max(1.0, counts.mean())
-    return np.where(counts < 2 * usual, 0, np.log2(np.maximum(counts, 1) / usual)).astype(np.uint64)
+    return np.log2(np.maximum(counts, 1)).astype(np.uint64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -96,30 +101,34 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _prefixes(size: int, percent: int, frequent: np.ndarray):
     """The first tokens of each class under three orders: by frequency class, rare ones first,
-    and within it by hashes that differ between the orders; and its least hashes of a fourth."""
+    and within it by hashes that differ between the orders; and its least hashes of a fourth.
+    A task sends a class once, so a group of copies has a row per task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in (part for b in batches for part in text_batches(b)):
             texts = utf8(batch.column("text"))
+            words, starts = word_hashes(texts)
             rows = []
-            for text, tokens in zip(texts, tokens_of(texts, size), strict=True):
+            for text, a, b in zip(texts, starts, starts[1:], strict=False):
                 name = class_of(words_of(text))
                 if name is None or name in seen:
                     continue
                 seen.add(name)
+                tokens, rarity = tokens_of(words[a:b], size, frequent)
                 n = len(tokens)
                 p = prefix_length(n, percent)
-                level = frequent[tokens & np.uint64(COUNTERS - 1)] << np.uint64(KEY_BITS)
-                keys = [np.partition(level | (mixed(tokens ^ s) >> np.uint64(64 - KEY_BITS)), p - 1)[:p] for s in _SEEDS[:3]]
+                keys = [(rarity << np.uint64(KEY_BITS)) | (mixed(tokens ^ s) >> np.uint64(64 - KEY_BITS)) for s in _SEEDS[:3]]
+                keys = [np.partition(k, p - 1)[:p] for k in keys]
                 least = mixed(tokens ^ _SEEDS[3])
                 least = np.partition(least, NEAREST_KEYS - 1)[:NEAREST_KEYS] if n > NEAREST_KEYS else least
-                rows.append((name, n, *(k.view(np.int64) for k in (*keys, least))))
+                # The last bits are enough to tell that nothing is shared.
+                rows.append((name, n, keys[0].view(np.int64), *(k.astype(np.uint32).view(np.int32) for k in (*keys[1:], least))))
             if len(seen) > REMEMBERED:
                 seen.clear()
             if rows:
                 names, sizes, *lists = zip(*rows, strict=True)
-                columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+                columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, [pa.int64()] + [pa.int32()] * 3, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, ["class", "size", "first", "second", "third", "least"])
 
     return run
@@ -234,8 +243,8 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     100 * intersection >= `percent` * union; component_id is the smallest doc_id reachable.
 
     Documents with the same words form a class, and further work is on classes. A table of
-    fixed size counts how often tokens occur; the orders put rare tokens first. Two similar
-    sets share a token of their prefixes under every such order: classes that share one under
+    fixed size counts how often words occur; the orders put tokens with rare words first. Two
+    similar sets share a token of their prefixes under every such order: classes that share one under
     the first are candidates, those that do under the second and third as well are compared
     in full. A bucket (a first-order token) does not give all pairs: each class meets the
     smallest one in it, then in buckets with several components each class outside the largest
@@ -254,16 +263,20 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     rows = profile.filter("part is null").select("id", "text_hash", "class", "n_shingles")
     frequent = frequency_classes(profile.filter("part is not null").select("part", "counts"))
     prefixes = texts_in.select("text").mapInArrow(_prefixes(shingle, percent, frequent), PREFIXES)
-    classes = stored(prefixes.dropDuplicates(["class"]), "classes")
+    prefixes = stored(prefixes, "prefixes")
 
-    banded = classes.select("class", F.explode("first").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("class").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = stored(hot_join(banded, stored(buckets, "buckets"), "bucket", "n"), "shared-buckets")
+    banded = prefixes.select("class", F.explode("first").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count("*").alias("n"))
+    buckets = stored(buckets.filter("hub != last").drop("last"), "buckets")
+    likely = may_be_in(banded, stored(bitmap(buckets, "bucket"), "bucket-filter"), F.col("bucket"))
+    shared = stored(hot_join(likely, buckets, "bucket", "n").distinct(), "shared-buckets")
+    found = stored(shared.select("class").distinct(), "shared-classes")
+    classes = stored(prefixes.drop("first").join(found, "class", "left_semi").dropDuplicates(["class"]), "classes")
 
     named = rows.filter(F.col("class").isNotNull()).groupBy("class")
     named = named.agg(F.min(F.struct("id", "text_hash")).alias("of"), F.min("id").alias("least_id"), F.count("*").alias("n"))
     named = stored(named.select("class", "of.*", "least_id", "n"), "class-rows")
-    texts = texts_of_classes(docs, named.join(shared.select("class").distinct(), "class", "left_semi"))
+    texts = texts_of_classes(docs, named.join(found, "class", "left_semi"))
 
     pairs = stored(shared.filter("class != hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     near = stored(_allowed(pairs, classes, percent), "near")

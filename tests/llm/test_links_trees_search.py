@@ -73,6 +73,15 @@ def test_prefixes_share_a_token_in_every_order():
                 assert first[0] & first[1]
 
 
+def test_rarity_is_that_of_the_rarest_word():
+    words = np.array([5, 6, 5, 6, 5, 7], dtype=np.uint64)
+    frequent = np.zeros(jaccard_join.COUNTERS, dtype=np.uint64)
+    frequent[[5, 6, 7]] = 3, 2, 1
+    tokens, rarity = jaccard_join.tokens_of(words, 2, frequent)
+    assert len(tokens) == 3 and sorted(rarity.tolist()) == [1, 2, 2]
+    assert [x.tolist() for x in jaccard_join.tokens_of(words[:1], 2, frequent)][1] == [3]
+
+
 def test_common_keys():
     r = random.Random(1)
     sides = [[np.array(r.sample(range(9000), r.randint(1, 300))) for _ in range(20)] for _ in range(2)]
