@@ -409,6 +409,10 @@ YESTERDAY = f"""unit AS (SELECT *, (quantity - ql) / ql_span AS q, (our_price -
     FROM usable GROUP BY stock_code),
   path AS (SELECT stock_code, 0 AS step, d, q, p, ql, ql_span FROM ends
     UNION ALL SELECT stock_code, step + 1, CAST(d + 1 AS DATE), b0 + b1 * q + b2 * p, p, ql, ql_span FROM path, weights WHERE step < 10)"""
+# A reservoir of two units, and its readout.
+UNIT_A = "0.5::DOUBLE * {q} - 0.3::DOUBLE * {p} + 0.4::DOUBLE * {a} + 0.1::DOUBLE * {b} + 0.1::DOUBLE"
+UNIT_B = "0.2::DOUBLE * {q} + 0.4::DOUBLE * {p} - 0.2::DOUBLE * {a} + 0.5::DOUBLE * {b} - 0.1::DOUBLE"
+READ_OUT = "(0.05::DOUBLE + 0.3::DOUBLE * a - 0.2::DOUBLE * b + 0.5::DOUBLE * q + 0.1::DOUBLE * p)"
 RECOMMENDED = """asked AS (SELECT *, current_price * CAST(0.8 AS DOUBLE) AS low, current_price * CAST(1.2 AS DOUBLE) AS high FROM ends
     WHERE current_price <> 0),
   offers AS (SELECT *, CASE WHEN point = 19 THEN high ELSE point * ((high - low) / 19) + low END AS price FROM asked, range(20) r(point)),
@@ -708,4 +712,33 @@ ORACLE: dict[str, str] = {
   UNION ALL SELECT t.stock_code, {DAY}, 'predicted', {rnd('level * span + low', 3)} FROM tested t JOIN leaves l ON t.before = l.before
   UNION ALL SELECT e.stock_code, strftime(e.d + CAST(step AS INTEGER), '%Y-%m-%d'), 'future', {rnd('level * span + low', 3)}
   FROM ends e JOIN leaves l ON e.price = l.before, range(1, 11) r(step)""",
+    "ridge_choice": with_(
+        RETAIL,
+        DAILY,
+        YESTERDAY,
+        "tried AS (SELECT unnest([0.0, 0.001, 0.01, 0.05, 0.2, 1.0])::DOUBLE AS strength)",
+        """fits AS (SELECT strength, m1, m2, m, ((s22 + strength) * s1 - s12 * s2) / ((s11 + strength) * (s22 + strength) - s12 * s12) AS b1,
+    ((s11 + strength) * s2 - s12 * s1) / ((s11 + strength) * (s22 + strength) - s12 * s12) AS b2 FROM moments, tried)""",
+        """errors AS (SELECT strength, any_value(m - b1 * m1 - b2 * m2) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+    avg((q - (m - b1 * m1 - b2 * m2) - b1 * x1 - b2 * x2) ** 2) AS mse
+    FROM fits, usable WHERE sample > train AND sample <= train + checked GROUP BY strength)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""SELECT strength, {rnd('b0', 7)} AS constant, {rnd('b1', 7)} AS by_quantity, {rnd('b2', 7)} AS by_price,
+    {rnd('mse', 7)} AS validation_mse, row_number() OVER (ORDER BY mse, strength) = 1 AS chosen FROM errors""",
+    "reservoir_path": with_(
+        RETAIL,
+        DAILY,
+        YESTERDAY,
+        f"""folds AS (SELECT stock_code, max(d) AS d, any_value(ql) AS ql, any_value(ql_span) AS ql_span,
+    list_reduce(list_concat([{{'a': CAST(0 AS DOUBLE), 'b': CAST(0 AS DOUBLE), 'q': CAST(0 AS DOUBLE), 'p': CAST(0 AS DOUBLE)}}],
+      list({{'a': CAST(0 AS DOUBLE), 'b': CAST(0 AS DOUBLE), 'q': q, 'p': p}} ORDER BY d)), lambda s, x: {{
+      'a': 0.5::DOUBLE * s.a + 0.5::DOUBLE * tanh({UNIT_A.format(q='x.q', p='x.p', a='s.a', b='s.b')}),
+      'b': 0.5::DOUBLE * s.b + 0.5::DOUBLE * tanh({UNIT_B.format(q='x.q', p='x.p', a='s.a', b='s.b')}), 'q': x.q, 'p': x.p}}) AS s
+    FROM unit GROUP BY stock_code)""",
+        f"""ahead AS (SELECT stock_code, 0 AS step, d, ql, ql_span, s.a AS a, s.b AS b, s.q AS q, s.p AS p FROM folds
+    UNION ALL SELECT stock_code, step + 1, CAST(d + 1 AS DATE), ql, ql_span,
+      0.5::DOUBLE * a + 0.5::DOUBLE * tanh({UNIT_A.format(q=READ_OUT, p='p', a='a', b='b')}),
+      0.5::DOUBLE * b + 0.5::DOUBLE * tanh({UNIT_B.format(q=READ_OUT, p='p', a='a', b='b')}), {READ_OUT}, p FROM ahead WHERE step < 10)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"SELECT stock_code, {DAY}, step, {rnd('q * ql_span + ql', 4)} AS future_forecast FROM ahead WHERE step > 0",
 }

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill import fixtures as fx
-from tallymill.operators import basket, cleaning, clusters, forecast, kpis, pricing, rfm, rollups
+from tallymill.functions.moments import LinearFit
+from tallymill.operators import basket, cleaning, clusters, forecast, kpis, models, pricing, reservoir, rfm, rollups
 from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.plans import demand
@@ -615,6 +618,44 @@ def forecast_gbt(spark, sf):
     return as_text(_released(demand.forecast(fx.retail_brand(spark, sf), "gbt")).combined, "day")
 
 
+@query
+def forecast_reservoir(spark, sf):
+    return as_text(_released(demand.forecast(fx.retail_brand(spark, sf), "reservoir")).combined, "day")
+
+
+# Strengths of which the validation days choose one.
+STRENGTHS = (0.0, 0.001, 0.01, 0.05, 0.2, 1.0)
+
+
+@query
+def ridge_choice(spark, sf):
+    """The linear model of yesterday's quantity and price for several strengths: weights, the
+    error on the validation days, and which strength wins."""
+    scaled = sm.min_max_scale(_series(spark, sf))
+    parts = sm.split(sm.samples(scaled, 1))
+    model = models.fit(parts, sm.scaled_features(scaled), "linear", 1, reg_grid=STRENGTHS)
+    rows = [(f.strength, f.intercept, *f.coefficients.toArray().tolist(), f.validation_mse, f is model.model) for f in model.tried]
+    names = "strength double, constant double, by_quantity double, by_price double, validation_mse double, chosen boolean"
+    return rounded(spark.createDataFrame(rows, names), 7, "constant", "by_quantity", "by_price", "validation_mse")
+
+
+@query
+def reservoir_path(spark, sf):
+    """Ten days ahead by a reservoir of two units and a readout that are given: the state is
+    folded over all days of a product, then over its own predictions."""
+    fixed = reservoir.Reservoir(
+        ["quantity", "our_price"],
+        inputs=np.array([[0.5, -0.3], [0.2, 0.4]]),
+        recurrent=np.array([[0.4, 0.1], [-0.2, 0.5]]),
+        bias=np.array([0.1, -0.1]),
+        leak=0.5,
+    )
+    readout = LinearFit(DenseVector([0.3, -0.2, 0.5, 0.1]), 0.05, 0.0)
+    model = models.DemandModel("reservoir", readout, 1, fixed.features, reservoir=fixed)
+    ahead = forecast.future(model, sm.min_max_scale(_series(spark, sf)), horizon=10)
+    return as_text(rounded(ahead, 4, "future_forecast"), "day")
+
+
 # Prices
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.operators.models import DemandModel, last_windows, roll_forward, units
+from tallymill.operators.models import DemandModel, end_states, roll_forward, units
 from tallymill.operators.series import DAY, KEY, latest_days
 
 HORIZON = 30
@@ -17,7 +17,7 @@ def future(model: DemandModel, scaled: DataFrame, horizon: int = HORIZON) -> Dat
 
     One row per product goes through the model; it is not clamped at 0.
     """
-    paths = roll_forward(model, last_windows(scaled, model.seq_length), horizon)
+    paths = roll_forward(model, end_states(model, scaled), horizon)
     days = paths.select(KEY, DAY, "quantity_low", "quantity_span", F.posexplode("path").alias("_at", "_scaled"))
     return days.select(
         KEY,

@@ -1,25 +1,29 @@
 """Next-day demand models, pooled over all products, and their recursive use.
 
-Both models read the scaled quantities of the window and the other features of its last
-day. They take the place of recurrent networks, so their numbers differ from those.
+The linear model and the trees read the scaled quantities of the window and the other
+features of its last day; the reservoir reads a recurrent state of fixed weights that has
+seen all days so far, and the last day's features. They take the place of trained recurrent
+networks, so their numbers differ from those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.operators.samples import BOUNDED, SEQ_LENGTH, scaled_features
+from tallymill.functions.moments import LinearFit, choose, moments, ridge
+from tallymill.operators import reservoir as rv
+from tallymill.operators.samples import BOUNDED, SEQ_LENGTH, samples, scaled_features
 from tallymill.operators.series import DAY, KEY, latest_days
 from tallymill.session import checkpointed
 
-LINEAR, GBT = "linear", "gbt"
+LINEAR, GBT, RESERVOIR = "linear", "gbt", "reservoir"
 REG_GRID = (0.0001, 0.001, 0.01)
 # Steps of a tree forecast between two checkpoints of its state.
 STEPS_PER_CHECKPOINT = 5
@@ -32,12 +36,22 @@ class DemandModel:
     seq_length: int
     features: list[str]
     validation_mse: float | None = None
+    # Of a linear model or readout: the fits of all strengths, in the order given.
+    tried: list[LinearFit] = field(default_factory=list)
+    reservoir: rv.Reservoir | None = None
+
+    def place_in_last(self, feature: str) -> int:
+        """Where the feature is in `last`; only the reservoir reads the last quantity from there."""
+        return [f for f in self.features if f != "quantity" or self.kind == RESERVOIR].index(feature)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add `prediction`, the scaled quantity of the day after the window. A model that had
         nothing to learn from predicts no row."""
         if self.model is None:
             return rows.limit(0).withColumn("prediction", F.lit(0.0))
+        if self.kind != GBT:
+            weights = self.model.coefficients.toArray().tolist()
+            return rows.withColumn("prediction", F.lit(self.model.intercept) + dot(F.concat("window", "last"), weights))
         return self.model.transform(_with_vector(rows)).drop("vector")
 
 
@@ -54,41 +68,31 @@ def fit(
     reg_grid: Sequence[float] = REG_GRID,
     max_iter: int = 30,
     max_depth: int = 4,
+    reservoir: rv.Reservoir | None = None,
 ) -> DemandModel:
     """Train on the `train` part and stop or choose by the `validation` part.
 
-    Linear: the ridge strength with the smallest validation error. Trees: boosting
-    stops when the validation error no longer falls.
+    Linear: one pass gives the moments of both parts, and these the weights and the
+    validation error of every ridge strength; the smallest error wins. The readout of a
+    `reservoir`, whose states `parts` hold, is learnt in the same way. Trees: boosting stops
+    when the validation error no longer falls.
     """
-    rows = _with_vector(parts.filter(F.col("part") != "test")).select("vector", "quantity", "part")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    model = mse = None
+    known = parts.filter(F.col("part") != "test")
+    if kind in (LINEAR, RESERVOIR):
+        sums = moments(known.withColumn("_vector", F.concat("window", "last")), "_vector", "quantity", "part")
+        if "train" not in sums:
+            return DemandModel(kind, None, seq_length, list(features), reservoir=reservoir)
+        tried = ridge(sums["train"], reg_grid)
+        best = choose(tried, sums.get("validation"))
+        return DemandModel(kind, best, seq_length, list(features), best.validation_mse, tried, reservoir)
+    if kind != GBT:
+        raise ValueError(f"unknown model {kind!r}; use {LINEAR!r}, {RESERVOIR!r} or {GBT!r}")
+    rows = _with_vector(known).select("vector", "quantity", "part").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if kind not in (LINEAR, GBT):
-            raise ValueError(f"unknown model {kind!r}; use {LINEAR!r} or {GBT!r}")
-        if not rows.filter("part = 'train'").isEmpty():
-            if kind == LINEAR:
-                model, mse = _fit_linear(rows, reg_grid)
-            else:
-                model = _fit_gbt(rows, seed, max_iter, max_depth)
+        model = None if rows.filter("part = 'train'").isEmpty() else _fit_gbt(rows, seed, max_iter, max_depth)
     finally:
         rows.unpersist()
-    return DemandModel(kind, model, seq_length, list(features), mse)
-
-
-def _fit_linear(rows: DataFrame, reg_grid: Sequence[float]):
-    train, validation = rows.filter("part = 'train'"), rows.filter("part = 'validation'")
-    best = None
-    for reg in reg_grid:
-        ridge = LinearRegression(
-            featuresCol="vector", labelCol="quantity", regParam=reg, standardization=False, solver="normal"
-        )
-        model = ridge.fit(train)
-        error = F.col("prediction") - F.col("quantity")
-        mse = model.transform(validation).agg(F.avg(error * error)).first()[0]
-        if best is None or (mse is not None and (best[1] is None or mse < best[1])):
-            best = (model, mse)
-    return best
+    return DemandModel(kind, model, seq_length, list(features))
 
 
 def _fit_gbt(rows: DataFrame, seed: int, max_iter: int, max_depth: int):
@@ -134,6 +138,18 @@ def last_windows(scaled: DataFrame, seq_length: int = SEQ_LENGTH) -> DataFrame:
     )
 
 
+def model_input(scaled: DataFrame, seq_length: int = SEQ_LENGTH, reservoir: rv.Reservoir | None = None) -> DataFrame:
+    """The samples that a model learns from, see `samples.samples` and `reservoir.samples`."""
+    return samples(scaled, seq_length) if reservoir is None else rv.samples(scaled, reservoir, seq_length)
+
+
+def end_states(model: DemandModel, scaled: DataFrame) -> DataFrame:
+    """What the model's recursion starts from, one row per product."""
+    if model.kind == RESERVOIR:
+        return rv.end_states(scaled, model.reservoir, model.seq_length)
+    return last_windows(scaled, model.seq_length)
+
+
 def roll_forward(model: DemandModel, states: DataFrame, horizon: int) -> DataFrame:
     """Replace `window` and `last` by `path`, the scaled predictions for `horizon` days.
 
@@ -148,6 +164,8 @@ def roll_forward(model: DemandModel, states: DataFrame, horizon: int) -> DataFra
         fixed = states.withColumn("_fixed", F.lit(constant) + dot(F.col("last"), other))
         state = fixed.withColumn("path", linear_path(F.col("window"), F.col("_fixed"), own, horizon))
         return state.drop("_fixed", "window", "last")
+    if model.kind == RESERVOIR:
+        return rv.roll_forward(states, model.reservoir, model.model.coefficients.toArray().tolist(), model.model.intercept, horizon)
     state = states.withColumn("path", F.array().cast("array<double>"))
     for step in range(1, horizon + 1):
         state = model.predict(state).withColumns(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.operators.models import (
-    LINEAR, DemandModel, dot, last_windows, linear_path, linear_weights, roll_forward, units,
+    LINEAR, DemandModel, dot, end_states, linear_path, linear_weights, roll_forward, units,
 )
 from tallymill.operators.series import DAY, KEY
 
@@ -45,8 +45,8 @@ def simulate_demand(
     A day's units count as at least 0 in the total, but the recursion goes on with the
     unclamped value.
     """
-    place = [f for f in model.features if f != "quantity"].index("our_price")
-    states = last_windows(scaled, model.seq_length)
+    place = model.place_in_last("our_price")
+    states = end_states(model, scaled)
     if model.kind == LINEAR and model.model is not None:
         return price_curve(_linear_demand(model, states, grid, days, place))
     scaled_price = (F.col("price") - F.col("our_price_low")) / F.col("our_price_span")

@@ -67,7 +67,7 @@ def scaled_features(scaled: DataFrame) -> list[str]:
     return [c for c in feature_columns(scaled) if c not in extra]
 
 
-def _numbered(scaled: DataFrame, seq_length: int) -> DataFrame:
+def numbered(scaled: DataFrame, seq_length: int = SEQ_LENGTH) -> DataFrame:
     """Sample number of each day, from 1 for the first day with a full window before it."""
     return scaled.withColumns(
         {
@@ -101,7 +101,7 @@ def samples(scaled: DataFrame, seq_length: int = SEQ_LENGTH) -> DataFrame:
     (`window`), the other features of its last day (`last`) and the day's `quantity`."""
     others = [c for c in scaled_features(scaled) if c != "quantity"]
     past = by_day().rowsBetween(-seq_length, -1)
-    rows = _numbered(scaled, seq_length).withColumns(
+    rows = numbered(scaled, seq_length).withColumns(
         {
             "window": F.collect_list("quantity").over(past),
             "last": F.lag(F.array(*others), 1).over(by_day()),
@@ -127,7 +127,7 @@ def split(numbered: DataFrame, train_ratio: float = TRAIN_RATIO, val_ratio: floa
 
 def numbered_days(scaled: DataFrame, seq_length: int = SEQ_LENGTH) -> DataFrame:
     """The days that are samples, without their windows: enough to see the split."""
-    return _numbered(scaled.select(KEY, DAY), seq_length).filter("sample > 0")
+    return numbered(scaled.select(KEY, DAY), seq_length).filter("sample > 0")
 
 
 def usable(

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tallymill.operators import forecast as fc
-from tallymill.operators import models, pricing
+from tallymill.operators import models, pricing, reservoir
 from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.session import checkpointed
@@ -81,8 +81,11 @@ def forecast_table(
     rejects = checked.filter("reason IS NOT NULL")
 
     scaled = sm.min_max_scale(accepted, fit_on, seq_length, train_ratio)
-    parts = sm.split(sm.samples(scaled, seq_length), train_ratio, val_ratio)
-    fitted = models.fit(parts, sm.scaled_features(scaled), model, seq_length, seed, **model_options)
+    names = sm.scaled_features(scaled)
+    if model == models.RESERVOIR and "reservoir" not in model_options:
+        model_options = {**model_options, "reservoir": reservoir.seeded(names, seed=seed)}
+    parts = sm.split(models.model_input(scaled, seq_length, model_options.get("reservoir")), train_ratio, val_ratio)
+    fitted = models.fit(parts, names, model, seq_length, seed, **model_options)
     predictions = checkpointed(models.test_predictions(fitted, parts))
     ahead = checkpointed(fc.future(fitted, scaled, horizon))
     return Forecast(

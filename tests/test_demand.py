@@ -192,7 +192,7 @@ def test_fit_chooses_the_ridge_by_validation(spark, linear):
     strong = models.fit(parts, features, seq_length=SEQ, reg_grid=[100.0])
     both = models.fit(parts, features, seq_length=SEQ, reg_grid=[100.0, 0.001])
     assert both.validation_mse < strong.validation_mse
-    assert both.model.getOrDefault("regParam") == 0.001
+    assert both.model.strength == 0.001 and [f.strength for f in both.tried] == [100.0, 0.001]
 
 
 @pytest.mark.parametrize("kind", ["linear", "gbt"])

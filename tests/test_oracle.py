@@ -8,7 +8,7 @@ from tallymill.catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 # Values depend on a trained model; their own tests judge them.
-MODELS = {"elbow", "kmeans", "forecast_linear", "forecast_gbt", "price_recommendation"}
+MODELS = {"elbow", "kmeans", "forecast_linear", "forecast_gbt", "forecast_reservoir", "price_recommendation"}
 
 
 @pytest.fixture(scope="module")
