@@ -409,6 +409,14 @@ YESTERDAY = f"""unit AS (SELECT *, (quantity - ql) / ql_span AS q, (our_price -
     FROM usable GROUP BY stock_code),
   path AS (SELECT stock_code, 0 AS step, d, q, p, ql, ql_span FROM ends
     UNION ALL SELECT stock_code, step + 1, CAST(d + 1 AS DATE), b0 + b1 * q + b2 * p, p, ql, ql_span FROM path, weights WHERE step < 10)"""
+URGENT = f"{JOINED} WHERE o_orderpriority = '1-URGENT'"
+PRICE_CHANGES = f"""changes AS (SELECT CAST(l_partkey AS VARCHAR) AS stock_code, o_orderdate AS invoice_ts,
+    max(l_extendedprice / l_quantity) AS list_price FROM {URGENT} GROUP BY ALL)"""
+BRAND_CHANGES = f"""changes AS (SELECT p_brand AS stock_code, CAST(o_orderdate AS DATE) AS d,
+    max(l_extendedprice / l_quantity * CAST(0.95 AS DOUBLE)) AS competitor_a, max(l_extendedprice / l_quantity) AS competitor_b
+    FROM {URGENT} GROUP BY ALL)"""
+PROMOTIONS = f"""promotions AS (SELECT DISTINCT p_brand AS stock_code, o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS first_day,
+    CAST(o_orderdate AS DATE) + CAST(l_quantity AS INTEGER) AS last_day FROM {JOINED})"""
 # A reservoir of two units, and its readout.
 UNIT_A = "0.5::DOUBLE * {q} - 0.3::DOUBLE * {p} + 0.4::DOUBLE * {a} + 0.1::DOUBLE * {b} + 0.1::DOUBLE"
 UNIT_B = "0.2::DOUBLE * {q} + 0.4::DOUBLE * {p} - 0.2::DOUBLE * {a} + 0.5::DOUBLE * {b} - 0.1::DOUBLE"
@@ -741,4 +749,21 @@ ORACLE: dict[str, str] = {
       0.5::DOUBLE * b + 0.5::DOUBLE * tanh({UNIT_B.format(q=READ_OUT, p='p', a='a', b='b')}), {READ_OUT}, p FROM ahead WHERE step < 10)""",
     ).replace("WITH ", "WITH RECURSIVE ", 1)
     + f"SELECT stock_code, {DAY}, step, {rnd('q * ql_span + ql', 4)} AS future_forecast FROM ahead WHERE step > 0",
+    "asof_prices": with_(RETAIL, PRICE_CHANGES)
+    + f"""SELECT s.stock_code, strftime(s.invoice_ts, '%Y-%m-%d %H:%M:%S') AS invoice_ts, quantity,
+    {rnd('c.list_price', 6)} AS list_price, {rnd('e.list_price', 6)} AS earlier_price FROM retail s
+  ASOF LEFT JOIN changes c ON s.stock_code = c.stock_code AND s.invoice_ts >= c.invoice_ts
+  ASOF LEFT JOIN changes e ON s.stock_code = e.stock_code AND s.invoice_ts > e.invoice_ts""",
+    "price_changes": with_(RETAIL, DAILY, BRAND_CHANGES)
+    + f"""SELECT s.stock_code, strftime(s.d, '%Y-%m-%d') AS day, quantity, {rnd('competitor_a', 6)} AS competitor_a,
+    {rnd('competitor_b', 6)} AS competitor_b FROM series s ASOF LEFT JOIN changes c ON s.stock_code = c.stock_code AND s.d >= c.d""",
+    "promotion_sales": with_(RETAIL, DAILY, PROMOTIONS)
+    + """SELECT s.stock_code, strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day,
+    count(*) AS days, sum(quantity) AS units FROM series s JOIN promotions p ON s.stock_code = p.stock_code
+    AND d BETWEEN first_day AND last_day AND priority = '1-URGENT' GROUP BY ALL""",
+    "promotion_overlaps": with_(RETAIL, DAILY, PROMOTIONS)
+    + """SELECT a.stock_code, strftime(a.first_day, '%Y-%m-%d') AS first_day, strftime(a.last_day, '%Y-%m-%d') AS last_day,
+    count(*) AS overlaps, sum(date_diff('day', greatest(a.first_day, b.first_day), least(a.last_day, b.last_day)) + 1)::BIGINT AS common_days
+  FROM promotions a JOIN promotions b ON a.stock_code = b.stock_code AND a.first_day <= b.last_day AND b.first_day <= a.last_day
+    AND a.priority = '1-URGENT' AND b.priority = '2-HIGH' GROUP BY ALL""",
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymill import fixtures as fx
 from tallymill.functions.moments import LinearFit
-from tallymill.operators import basket, cleaning, clusters, forecast, kpis, models, pricing, reservoir, rfm, rollups
+from tallymill.operators import basket, cleaning, clusters, forecast, kpis, models, pricing, reservoir, rfm, rollups, temporal
 from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.plans import demand
@@ -472,6 +472,42 @@ def holiday_flag(spark, sf):
     return as_text(ts.add_holidays(_series(spark, sf).drop("our_price")), "day")
 
 
+@query
+def asof_prices(spark, sf):
+    """Each sale with the list price in force, and with the one before its moment."""
+    sales = fx.retail(spark, sf, "stock_code", "invoice_ts", "quantity")
+    changes = fx.price_changes(spark, sf)
+    found = temporal.asof_join(sales, changes, ["stock_code"], "invoice_ts", ["list_price"])
+    earlier = changes.withColumnRenamed("list_price", "earlier_price")
+    found = temporal.asof_join(found, earlier, ["stock_code"], "invoice_ts", ["earlier_price"], strict=True)
+    return with_time_text(rounded(found, 6, "list_price", "earlier_price"))
+
+
+@query
+def price_changes(spark, sf):
+    """Competitor prices that hold until changed, beside the daily series."""
+    rows = ts.join_price_changes(_series(spark, sf).drop("our_price"), fx.competitor_changes(spark, sf))
+    return as_text(rounded(rows, 6, "competitor_a", "competitor_b"), "day")
+
+
+@query
+def promotion_sales(spark, sf):
+    """Days and units of a brand within each of its promotion periods."""
+    pairs = temporal.between_join(_series(spark, sf), fx.promotions(spark, sf), "day", "first_day", "last_day", [ts.KEY])
+    sums = pairs.groupBy(ts.KEY, "first_day", "last_day").agg(F.count("*").alias("days"), F.sum("quantity").alias("units"))
+    return as_text(sums, "first_day", "last_day")
+
+
+@query
+def promotion_overlaps(spark, sf):
+    """Periods of urgent orders of a brand with those of its high-priority orders that they overlap."""
+    other = fx.promotions(spark, sf, "2-HIGH").withColumnsRenamed({"first_day": "from_day", "last_day": "to_day"})
+    pairs = temporal.overlap_join(fx.promotions(spark, sf), other, [("first_day", "last_day"), ("from_day", "to_day")], [ts.KEY])
+    common = F.datediff(F.least("last_day", "to_day"), F.greatest("first_day", "from_day")) + 1
+    sums = pairs.groupBy(ts.KEY, "first_day", "last_day").agg(F.count("*").alias("overlaps"), F.sum(common).alias("common_days"))
+    return as_text(sums, "first_day", "last_day")
+
+
 @query
 def holidays_of_other_eras(spark, sf):
     """The order days moved by whole leap cycles, to years from 1890 on and from 2090 on."""

@@ -141,3 +141,34 @@ def segment_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("segment"),
         F.col("l_quantity").alias("quantity"),
     )
+
+
+def _of_priority(spark: SparkSession, sf_dir: str, priority: str, *wanted: str) -> DataFrame:
+    return _joined(spark, sf_dir, {"invoice_ts", *wanted}).filter(F.col("o_orderpriority") == priority)
+
+
+def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List prices that hold until the next one of the product: those of urgent orders."""
+    lines = _of_priority(spark, sf_dir, "1-URGENT")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return lines.select(_text("l_partkey").alias("stock_code"), F.col("o_orderdate").alias("invoice_ts"), price.alias("list_price"))
+
+
+def competitor_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Competitor prices per brand, known on the days of urgent orders only."""
+    lines = _of_priority(spark, sf_dir, "1-URGENT", "brand")
+    level = F.col("l_extendedprice") / F.col("l_quantity")
+    return lines.select(
+        F.col("p_brand").alias("stock_code"),
+        F.to_date("o_orderdate").alias("day"),
+        (level * 0.95).alias("competitor_a"),
+        level.alias("competitor_b"),
+    )
+
+
+def promotions(spark: SparkSession, sf_dir: str, priority: str = "1-URGENT") -> DataFrame:
+    """Periods of a brand: from an order of this priority on, as many days as items were ordered."""
+    lines = _of_priority(spark, sf_dir, priority, "brand")
+    first = F.to_date("o_orderdate")
+    last = F.date_add(first, F.col("l_quantity").cast("int"))
+    return lines.select(F.col("p_brand").alias("stock_code"), first.alias("first_day"), last.alias("last_day")).distinct()

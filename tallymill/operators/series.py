@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tallymill.functions.holidays import is_uk_holiday
 from tallymill.functions.joins import if_small
+from tallymill.operators.temporal import asof_join
 from tallymill.session import checkpointed
 
 KEY, DAY = "stock_code", "day"
@@ -94,6 +95,12 @@ def join_competitor_prices(series: DataFrame, prices: DataFrame) -> DataFrame:
     return joined.withColumns({c: _filled(c) for c in COMPETITORS if c in daily.columns})
 
 
+def join_price_changes(series: DataFrame, changes: DataFrame, columns=None) -> DataFrame:
+    """Add the prices of `changes` (stock_code, day, prices) that are in force on each day: those of
+    the product's latest change so far, null before the first one."""
+    return asof_join(series, changes, [KEY], DAY, columns or [c for c in changes.columns if c not in (KEY, DAY)])
+
+
 def segment_column(name: str) -> str:
     """Column name for a customer group, such as segment_at_risk."""
     return "segment_" + "".join(ch if ch.isalnum() else "_" for ch in name.lower())
