@@ -766,4 +766,15 @@ ORACLE: dict[str, str] = {
     count(*) AS overlaps, sum(date_diff('day', greatest(a.first_day, b.first_day), least(a.last_day, b.last_day)) + 1)::BIGINT AS common_days
   FROM promotions a JOIN promotions b ON a.stock_code = b.stock_code AND a.first_day <= b.last_day AND b.first_day <= a.last_day
     AND a.priority = '1-URGENT' AND b.priority = '2-HIGH' GROUP BY ALL""",
+    "feature_table_products": with_(RETAIL, DAILY, FEATURE_TABLE).replace("SELECT brand AS stock_code", "SELECT stock_code", 1)
+    + f"""SELECT stock_code, count(*) AS days, {', '.join(f'{rnd(f"sum(CAST({c} AS DOUBLE))", 3)} AS {c}' for c in FEATURE_NAMES)}
+  FROM features GROUP BY stock_code""",
+    "forecast_linear_products": with_(RETAIL, DAILY, YESTERDAY).replace("SELECT brand AS stock_code", "SELECT stock_code", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""SELECT e.stock_code, {rnd('mae', 4)} AS mae, {rnd('rmse', 4)} AS rmse, {rnd('(b0 + b1 * e.q + b2 * e.p) * e.ql_span + e.ql', 4)} AS future_forecast,
+    CAST(NULL AS VARCHAR) AS reason FROM ends e, weights, (SELECT stock_code, avg(abs(quantity - (b0 + b1 * x1 + b2 * x2) * ql_span - ql)) AS mae,
+      sqrt(avg((quantity - (b0 + b1 * x1 + b2 * x2) * ql_span - ql) ** 2)) AS rmse FROM tested, weights GROUP BY stock_code) t WHERE t.stock_code = e.stock_code
+  UNION ALL SELECT stock_code, NULL, NULL, NULL, CASE WHEN n < 1 THEN 'not enough days for one window'
+    WHEN floor(n * CAST(0.15 AS DOUBLE)) < 1 THEN 'no validation samples' ELSE 'no training samples' END
+  FROM (SELECT stock_code, count(*) - 1 AS n FROM series GROUP BY stock_code)
+  WHERE n < 1 OR floor(n * CAST(0.15 AS DOUBLE)) < 1 OR floor(n * CAST(0.7 AS DOUBLE)) < 1""",
 }

@@ -20,7 +20,7 @@ from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.plans import demand
 from tallymill.schema import COMPETITOR_COLUMNS, SALES_COLUMNS, half_even
-from tallymill.session import new_folder
+from tallymill.session import new_folder, stored
 from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table
 from tallymill.sources.readers import column_check, preview
 
@@ -530,6 +530,34 @@ def feature_table(spark, sf):
     return as_text(rounded(rows, 6, *_rolling_names()), "day")
 
 
+def _products(spark, sf) -> DataFrame:
+    """Sales by single stock code: as many series as there are products."""
+    return fx.retail(spark, sf, "stock_code", "quantity", "invoice_ts", "price")
+
+
+@query
+def feature_table_products(spark, sf):
+    """The features of every product: its days, and the sum of each feature over them."""
+    rows = ts.feature_table(_products(spark, sf))
+    names = [c for c in rows.columns if c not in (ts.KEY, ts.DAY)]
+    sums = rows.groupBy(ts.KEY).agg(F.count("*").alias("days"), *[F.sum(F.col(c).cast("double")).alias(c) for c in names])
+    return rounded(sums, 3, *names)
+
+
+@query
+def forecast_linear_products(spark, sf):
+    """A linear model of yesterday over all products with enough days: test error and the next
+    day of each, or the reason why it has none."""
+    series = ts.fill_prices(ts.daily_series(_products(spark, sf)))
+    run = demand.forecast_table(series, "linear", seq_length=1, horizon=1, reg_grid=(0.0,))
+    found = run.metrics.join(run.future, ts.KEY).select(ts.KEY, "mae", "rmse", "future_forecast", F.lit(None).cast("string").alias("reason"))
+    missing = run.rejects.select(ts.KEY, *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "future_forecast")], "reason")
+    # The rejects read the persisted features, so the answer is stored before they are released.
+    answer = stored(rounded(found.unionByName(missing), 4, "mae", "rmse", "future_forecast"), "product-forecasts")
+    run.release()
+    return answer
+
+
 @query
 def minmax(spark, sf):
     scaled = sm.min_max_scale(_features(spark, sf))
