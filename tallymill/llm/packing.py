@@ -90,7 +90,7 @@ def _first_round(path: str, size: int, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = TextEncoder(path), Packer(size, most)
         base, bins, rows = TaskContext.get().partitionId() << 33, 0, []
-        for batch in (part for b in batches for part in text_batches(b, most=8_000_000)):
+        for batch in (part for b in batches for part in text_batches(b, most=4_000_000)):
             flat, counts = encoder.encode(batch.column("text"))
             raw = np.insert(flat, np.cumsum(counts), end_id).astype("<u4").tobytes()
             counts += 1

@@ -187,7 +187,7 @@ def test_secret_scan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-ODD = ["a", "bc", " ", "  ", "\n", "\t", "\xa0", "1", "x²", "é", "'s", "<|endoftext|>", "<", ".", ",", "_", "日本", "😀", "\r\n", "word,", "word"]
+ODD = ["a", "bc", " ", "  ", "\n", "\t", "\xa0", "1", "x²", "é", "'s", "<|endoftext|>", "<", ".", ",", "_", "日本", "😀", "\r\n", "word,", "word", "a\nb", "word.\nWord", "x\n\ny", "Ÿ", "ǅ", "ª", "ñandú", "Ā\n"]
 
 
 def test_token_ids_are_those_of_the_library():
