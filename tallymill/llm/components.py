@@ -41,6 +41,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """`roots` (node, root) after more links between nodes; a node without a row is its own root."""
+    if not links.head(1):
+        return roots
     for end in ("a", "b"):
         links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
     above = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))

@@ -213,6 +213,8 @@ def _crossing(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     placed = stored(placed.select("class", "bucket", F.coalesce("root", "class").alias("root")), "placed")
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high")
     split = stored(split.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("n").alias("held")), "split-buckets")
+    if not split.head(1):
+        return shared.sparkSession.createDataFrame([], "a binary, b binary")
     apart = hot_join(placed, split, "bucket", "held").join(classes.select("class", "size", "least"), "class")
     blocks = apart.withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -285,6 +287,8 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     for best in (BEST, None):
         crossing = _crossing(shared.select("class", "bucket"), classes, roots, percent, best)
         crossing = stored(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+        if not crossing.head(1):
+            continue
         near = stored(_allowed(crossing, classes, percent), "near")
         roots = merged(roots, confirmed(texts, near, shingle, percent))
         tested = tested.unionByName(crossing)

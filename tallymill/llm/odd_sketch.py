@@ -188,6 +188,8 @@ def _crossing(shared: DataFrame, classes: DataFrame, texts: DataFrame, roots: Da
     placed = stored(placed.select("class", "bucket", "n", F.coalesce("root", "class").alias("root")), "placed")
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high")
     split = stored(split.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("n").alias("size")), "split-buckets")
+    if not split.head(1):
+        return shared.sparkSession.createDataFrame([], "a binary, b binary")
     apart = stored(hot_join(placed.drop("n"), split, "bucket", "size"), "apart")
     sketches = classes.select("class", "sketch", "bands")
     if best is None:
@@ -254,6 +256,8 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     for best in (BEST, None):
         crossing = _crossing(shared, classes, texts, roots, shingle, best)
         crossing = stored(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+        if not crossing.head(1):
+            continue
         roots = merged(roots, confirmed(texts, crossing, shingle, percent))
         tested = tested.unionByName(crossing)
 

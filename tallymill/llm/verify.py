@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import hot_join, stored, utf8
+from tallymill.llm.common import bitmap, hot_join, may_be_in, stored, utf8
 
 # Pairs that one copy of a text takes part in.
 PAIRS_PER_COPY = 200
@@ -44,7 +44,9 @@ def texts_of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     `docs` (doc_id, text) with this id and hash; n documents are of the class."""
     wanted = stored(classes.select(row_key(F.col("id"), F.col("text_hash")).alias("row"), "class", "n"), "wanted-texts")
     key = row_key(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    rows = hot_join(docs.select(key.alias("row"), "text"), wanted, "row", "n").select("class", "text")
+    # Texts that are certainly not wanted stay out of the shuffle.
+    likely = may_be_in(docs.select(key.alias("row"), "text"), stored(bitmap(wanted, "row"), "text-filter"), F.col("row"))
+    rows = hot_join(likely, wanted, "row", "n").select("class", "text")
     return stored(rows.mapInArrow(_of_class, "class binary, text string").dropDuplicates(["class"]), "texts")
 
 
