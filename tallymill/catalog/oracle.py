@@ -371,7 +371,7 @@ GROWTH = """growth AS (SELECT *, CASE WHEN past_avg > 0 THEN (future_avg - past_
     JOIN (SELECT stock_code, avg(future_forecast) AS future_avg FROM ahead GROUP BY stock_code) USING (stock_code))"""
 TREND = "CASE WHEN growth > 5 THEN 'up' WHEN growth < -5 THEN 'down' ELSE 'stable' END AS trend"
 
-CURVE = f"""last_prices AS (SELECT stock_code, {rnd('arg_max(our_price, d)', 6)} AS current_price
+CURVE = f"""last_prices AS (SELECT stock_code, arg_max(our_price, d) AS current_price
     FROM series GROUP BY stock_code),
   bounds AS (SELECT *, current_price * CAST(0.8 AS DOUBLE) AS low, current_price * CAST(1.2 AS DOUBLE) AS high
     FROM last_prices),
@@ -381,9 +381,9 @@ CURVE = f"""last_prices AS (SELECT stock_code, {rnd('arg_max(our_price, d)', 6)}
   demand AS (SELECT *, greatest(CAST(0 AS DOUBLE), 100 - 60 * price / current_price) AS units FROM grid),
   curve AS (SELECT *, price * units AS revenue,
     row_number() OVER (PARTITION BY stock_code ORDER BY price * units DESC, price) AS place,
-    row_number() OVER (PARTITION BY stock_code ORDER BY abs(price - current_price), price) AS near FROM demand)"""
+    row_number() OVER (PARTITION BY stock_code ORDER BY round(abs(price / current_price - 1), 9), price) AS near FROM demand)"""
 PRICES = with_(RETAIL, DAILY, CURVE)
-CURVE_ROW = f"""stock_code, current_price, point, {rnd('price', 4)} AS price,
+CURVE_ROW = f"""stock_code, {rnd('current_price', 4)} AS current_price, point, {rnd('price', 4)} AS price,
     {rnd('units', 4)} AS total_predicted_quantity, {rnd('revenue', 4)} AS total_predicted_revenue"""
 
 # A day's scaled quantity from yesterday's scaled quantity and price, by least squares over
@@ -429,7 +429,7 @@ RECOMMENDED = """asked AS (SELECT *, current_price * CAST(0.8 AS DOUBLE) AS low,
     UNION ALL SELECT stock_code, current_price, point, price, sp, ql, ql_span, step + 1, b0 + b1 * q + b2 * sp,
       units + greatest(CAST(0 AS DOUBLE), (b0 + b1 * q + b2 * sp) * ql_span + ql) FROM sold_at, weights WHERE step < 7),
   priced AS (SELECT *, price * units AS revenue, row_number() OVER (PARTITION BY stock_code ORDER BY price * units DESC, price) AS place,
-    row_number() OVER (PARTITION BY stock_code ORDER BY abs(price - current_price), price) AS near FROM sold_at WHERE step = 7)"""
+    row_number() OVER (PARTITION BY stock_code ORDER BY round(abs(price / current_price - 1), 9), price) AS near FROM sold_at WHERE step = 7)"""
 # Yesterday's price, one of two, decides most of a day's quantity: the means of the training
 # days by that price are what one cut can learn.
 TWO_PRICES = f"""numbered AS (SELECT stock_code, d, date_diff('day', DATE '1992-01-01', d) AS t FROM series),
@@ -684,7 +684,7 @@ ORACLE: dict[str, str] = {
     + f"""SELECT stock_code, {rnd('mae', 4)} AS safety_stock, {rnd('units', 4)} AS next_7_days,
     best_weekday, worst_weekday, {rnd('growth', 4)} AS growth_pct, {TREND}
   FROM growth JOIN extremes USING (stock_code) JOIN errors USING (stock_code) JOIN coming USING (stock_code)""",
-    "price_grid": PRICES + f"SELECT stock_code, current_price, point, {rnd('price', 6)} AS price FROM curve",
+    "price_grid": PRICES + f"SELECT stock_code, {rnd('current_price', 6)} AS current_price, point, {rnd('price', 6)} AS price FROM curve",
     "price_curve_fixed": PRICES + f"SELECT {CURVE_ROW}, place = 1 AS is_best FROM curve",
     "best_price": PRICES + f"SELECT {CURVE_ROW} FROM curve WHERE place = 1",
     "price_uplift": PRICES
@@ -777,4 +777,17 @@ ORACLE: dict[str, str] = {
     WHEN floor(n * CAST(0.15 AS DOUBLE)) < 1 THEN 'no validation samples' ELSE 'no training samples' END
   FROM (SELECT stock_code, count(*) - 1 AS n FROM series GROUP BY stock_code)
   WHERE n < 1 OR floor(n * CAST(0.15 AS DOUBLE)) < 1 OR floor(n * CAST(0.7 AS DOUBLE)) < 1""",
+    "summary_rollup": with_(RETAIL)
+    + f"""SELECT country, strftime(invoice_ts, '%Y-%m') AS year_month, count(*) AS lines, sum(quantity) AS units,
+    {rnd('sum(quantity * price)', 2)} AS revenue,
+    count(DISTINCT customer_id) AS customers, count(DISTINCT invoice) AS invoices FROM retail GROUP BY ALL""",
+    "incremental_loads": ATTACHED
+    + f"""SELECT CASE WHEN invoice_ts >= DATE '1996-01-01' THEN 'new' ELSE 'old' END AS load, strftime(invoice_ts, '%Y-%m') AS year_month,
+    segment, count(*) AS rows, {rnd('sum(quantity)', 2)} AS units FROM attached
+    WHERE invoice_ts < DATE '1996-01-01' OR quantity > 25 GROUP BY ALL""",
+    "stream_revenue": with_(EVENTS)
+    + f"""SELECT country, CAST(isodow(invoice_ts) - 1 AS INTEGER) AS weekday_no, {rnd('sum(quantity * price)', 2)} AS revenue,
+    {rnd('sum(quantity)', 2)} AS units FROM happened GROUP BY ALL""",
+    "stream_rfm": with_(EVENTS, "sales AS (SELECT *, quantity * price AS revenue FROM happened)", rfm("sales"))
+    + f"SELECT customer_id, recency, frequency, {rnd('monetary', 2)} AS monetary FROM rfm",
 }

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from tallymill import fixtures as fx
 from tallymill.functions.moments import LinearFit
-from tallymill.operators import basket, cleaning, clusters, forecast, kpis, models, pricing, reservoir, rfm, rollups, temporal
+from tallymill.operators import basket, cleaning, clusters, forecast, kpis, models, pricing, reservoir, rfm, rollups, summaries, temporal
 from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.plans import demand
 from tallymill.schema import COMPETITOR_COLUMNS, SALES_COLUMNS, half_even
 from tallymill.session import new_folder, stored
 from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table
+from tallymill.sources.incremental import add_load, read_loads
 from tallymill.sources.readers import column_check, preview
+from tallymill.streaming import sales as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -508,6 +510,74 @@ def promotion_overlaps(spark, sf):
     return as_text(sums, "first_day", "last_day")
 
 
+def _in_loads(df: DataFrame, *loads: tuple[str, Column]) -> str:
+    """Folder of a table that these loads, each a part of `df`, have gone into one after the other."""
+    path = new_folder(df.sparkSession, "loads")
+    for name, part in loads:
+        add_load(df.filter(part), path, name)
+    return path
+
+
+@query
+def summary_rollup(spark, sf):
+    """Months and countries from a daily summary by product that came in two loads: the sales are
+    read for the summary only. Few enough customers a month for the sketch to be exact."""
+    summary = summaries.summarize(fx.retail(spark, sf, "stock_code", "country", "invoice_ts", "quantity", "price", "customer_id", "invoice"))
+    path = _in_loads(summary, ("late", F.col("day") >= "1996-03-10"), ("early", F.col("day") < "1996-03-10"))
+    found = summaries.roll_up(read_loads(spark, path, summary.schema), ["country", "year_month"])
+    found = found.select("country", "year_month", "lines", "units", "revenue", "customers", "invoices")
+    return rounded(found, 2, "revenue")
+
+
+@query
+def incremental_loads(spark, sf):
+    """Sales with their customer group in a table by month: loads that come late, twice and in a
+    corrected form. Rows of each load and month."""
+    rows = _sales_with_segments(spark, sf).withColumn("year_month", F.date_format("invoice_ts", "yyyy-MM"))
+    a, b = F.col("year_month") >= "1996-01", F.col("quantity") > 25
+    path = _in_loads(rows, ("new", a), ("old", ~a & b), ("old", ~a), ("new", a), ("new", a & b))
+    whole = read_loads(spark, path, rows.schema)
+    return rounded(whole.groupBy("load", "year_month", "segment").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units")), 2, "units")
+
+
+def _arrivals(df: DataFrame, parts: int = 4) -> str:
+    """Folder into which the sales have come in files by time, some of them twice."""
+    path = new_folder(df.sparkSession, "arrivals")
+    seconds = F.col("invoice_ts").cast("double")
+    edges = df.select(seconds.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], 0.01)
+    for low, high in zip([float("-inf"), *edges], [*edges, float("inf")], strict=True):
+        part = df.filter((seconds >= low) & (seconds < high))
+        part.unionByName(part.filter(F.col("stock_code") == "click")).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _stream(spark, sf) -> DataFrame:
+    sales = fx.retail_events(spark, sf).withColumn("invoice_ts", F.col("invoice_ts").cast("timestamp"))
+    lines = stream.read_files(spark, _arrivals(sales), sales.schema, files_per_batch=1)
+    return stream.distinct_lines(lines, ["invoice", "stock_code"], "1 hour")
+
+
+@query
+def stream_revenue(spark, sf):
+    """Revenue by country and weekday of files that arrive one after the other, lines that come
+    twice counted once."""
+    report = stream.revenue_by(_stream(spark, sf), "country", "weekday_no")
+    path = new_folder(spark, "stream-revenue")
+    stream.run(report, path, new_folder(spark, "stream-checkpoint"), "complete")
+    return rounded(stream.whole(spark, path, report.schema), 2, "revenue", "units")
+
+
+@query
+def stream_rfm(spark, sf):
+    """RFM figures from the state that is kept for each customer."""
+    figures = stream.customer_figures(_stream(spark, sf), "1 hour")
+    path = new_folder(spark, "stream-customers")
+    stream.run(figures, path, new_folder(spark, "stream-checkpoint"), "update")
+    newest = stream.newest(spark, path, figures.schema, "customer_id")
+    last = newest.agg(F.max("last_purchase")).first()[0]
+    return rounded(stream.rfm(newest, last), 2, "monetary")
+
+
 @query
 def holidays_of_other_eras(spark, sf):
     """The order days moved by whole leap cycles, to years from 1890 on and from 2090 on."""
@@ -724,7 +794,7 @@ def reservoir_path(spark, sf):
 
 
 def _prices(spark, sf) -> DataFrame:
-    return rounded(pricing.current_prices(_series(spark, sf)), 6, "current_price")
+    return pricing.current_prices(_series(spark, sf))
 
 
 def _fixed_curve(spark, sf) -> DataFrame:
@@ -736,18 +806,18 @@ def _fixed_curve(spark, sf) -> DataFrame:
 
 @query
 def price_grid(spark, sf):
-    return rounded(pricing.price_grid(_prices(spark, sf)), 6, "price")
+    return rounded(pricing.price_grid(_prices(spark, sf)), 6, "current_price", "price")
 
 
 @query
 def price_curve_fixed(spark, sf):
-    columns = ("price", "total_predicted_quantity", "total_predicted_revenue")
+    columns = ("current_price", "price", "total_predicted_quantity", "total_predicted_revenue")
     return rounded(pricing.flag_best(_fixed_curve(spark, sf)), 4, *columns)
 
 
 @query
 def best_price(spark, sf):
-    columns = ("price", "total_predicted_quantity", "total_predicted_revenue")
+    columns = ("current_price", "price", "total_predicted_quantity", "total_predicted_revenue")
     return rounded(pricing.best_price(_fixed_curve(spark, sf)), 4, *columns)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.centers import Fit, best_fits
 from tallymill.schema import half_even
+from tallymill.session import checkpointed
 
 METRICS = ("recency", "frequency", "monetary")
 SCALED = tuple(f"{m}_scaled" for m in METRICS)
@@ -102,8 +103,10 @@ def cluster_customers(
 ) -> DataFrame:
     """Add `cluster`, numbered from 0 in order of mean spend.
 
-    The cheapest of `starts` K-Means fits, which run side by side over the same points.
+    The cheapest of `starts` K-Means fits, which run side by side over the same points. The
+    customers are checkpointed, so that what they come from is read once.
     """
+    customers = checkpointed(customers)
     if k == 1 or customers.isEmpty():
         return customers.withColumn("cluster", F.lit(0))
     scaled = scaled_columns(customers)

@@ -107,7 +107,8 @@ def price_uplift(curve: DataFrame) -> DataFrame:
 
     The current price is not on the grid; of two equally near prices the lower counts.
     """
-    gap = F.abs(F.col("price") - F.col("current_price"))
+    # Rounded, so that the noise of the grid's sums does not decide between equal distances.
+    gap = F.round(F.abs(F.col("price") / F.col("current_price") - 1), 9)
     nearest = Window.partitionBy(KEY).orderBy(gap, "price")
     baseline = F.first("total_predicted_revenue").over(nearest)
     rows = curve.withColumn("baseline_revenue", baseline)

@@ -57,7 +57,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, col
 def _number(moment: Column, kind: str) -> Column:
     if kind == "date":
         return F.unix_date(moment).cast("long")
-    return F.unix_micros(moment) if kind == "timestamp" else moment.cast("long")
+    return F.unix_micros(moment.cast("timestamp")) if kind.startswith("timestamp") else moment.cast("long")
 
 
 def _shifted(value: Column, level: Column) -> Column:
