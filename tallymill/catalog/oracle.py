@@ -790,4 +790,16 @@ ORACLE: dict[str, str] = {
     {rnd('sum(quantity)', 2)} AS units FROM happened GROUP BY ALL""",
     "stream_rfm": with_(EVENTS, "sales AS (SELECT *, quantity * price AS revenue FROM happened)", rfm("sales"))
     + f"SELECT customer_id, recency, frequency, {rnd('monetary', 2)} AS monetary FROM rfm",
+    "visits_by_gap": f"""WITH gaps AS (SELECT *, ts > lag(ts) OVER w + INTERVAL 6 HOURS AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  runs AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM gaps)
+  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS visit_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS visit_end,
+    count(*) AS events, {rnd('sum(value)', 4)} AS value FROM runs GROUP BY user_id, run""",
+    "event_properties": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "sales_faults": with_(RETAIL)
+    + f"""SELECT stock_code, NULL AS reason, count(*) AS rows, {rnd('sum(quantity)', 2)} AS units FROM retail
+    WHERE invoice::BIGINT % 13 <> 0 AND invoice::BIGINT % 17 <> 0 AND invoice::BIGINT % 19 <> 0 GROUP BY stock_code
+  UNION ALL SELECT NULL, concat_ws(', ', CASE WHEN invoice::BIGINT % 13 = 0 THEN 'quantity is not a number' END,
+    CASE WHEN invoice::BIGINT % 17 = 0 THEN 'invoice_ts is not a time' END,
+    CASE WHEN invoice::BIGINT % 19 = 0 THEN 'price is not a number' END) AS reason, count(*), NULL FROM retail
+    WHERE invoice::BIGINT % 13 = 0 OR invoice::BIGINT % 17 = 0 OR invoice::BIGINT % 19 = 0 GROUP BY ALL""",
 }

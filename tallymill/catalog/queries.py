@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from tallymill import fixtures as fx
 from tallymill.functions.moments import LinearFit
-from tallymill.operators import basket, cleaning, clusters, forecast, kpis, models, pricing, reservoir, rfm, rollups, summaries, temporal
+from tallymill.operators import basket, cleaning, clusters, forecast, kpis, models, pricing, reservoir, rfm, rollups, shredding, summaries, temporal, visits
 from tallymill.operators import samples as sm
 from tallymill.operators import series as ts
 from tallymill.plans import demand
 from tallymill.schema import COMPETITOR_COLUMNS, SALES_COLUMNS, half_even
 from tallymill.session import new_folder, stored
 from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table
+from tallymill.sources.checked import read_sales_checked
 from tallymill.sources.incremental import add_load, read_loads
 from tallymill.sources.readers import column_check, preview
 from tallymill.streaming import sales as stream
@@ -578,6 +579,40 @@ def stream_rfm(spark, sf):
     return rounded(stream.rfm(newest, last), 2, "monetary")
 
 
+@query
+def visits_by_gap(spark, sf):
+    """Visits of the users: events with no gap of more than six hours."""
+    found = visits.visits(fx.table(spark, sf, "events"), ["user_id"], "ts", "6 hours", ["value"])
+    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("visit_start", "visit_end")}
+    return rounded(found.withColumns(times), 4, "value")
+
+
+@query
+def event_properties(spark, sf):
+    """The properties of the events as typed columns."""
+    events = fx.table(spark, sf, "events").select("event_id", "event_type", "props")
+    return shredding.shredded(events, "props").drop("props")
+
+
+@query
+def sales_faults(spark, sf):
+    """A sales file with words for numbers and times: the good rows by stock code, the others by reason."""
+    rows = fx.retail(spark, sf, "invoice", "stock_code", "quantity", "invoice_ts", "price")
+    number = F.col("invoice").cast("long")
+    planted = rows.select(
+        F.col("invoice").alias("Invoice"),
+        F.col("stock_code").alias("StockCode"),
+        F.when(number % 13 == 0, "many").otherwise(F.col("quantity").cast("string")).alias("Quantity"),
+        F.when(number % 17 == 0, "soon").otherwise(F.date_format("invoice_ts", "yyyy-MM-dd HH:mm:ss")).alias("InvoiceDate"),
+        F.when(number % 19 == 0, "1,50 each").otherwise(F.col("price").cast("string")).alias("Price"),
+    )
+    checked = read_sales_checked(spark, _written(planted, "faulty-sales"))
+    good = checked.good.groupBy("stock_code").agg(F.count("*").alias("rows"), F.sum("quantity").alias("units"))
+    bad = checked.bad.groupBy(F.array_join("reasons", ", ").alias("reason")).agg(F.count("*").alias("rows"))
+    good = good.withColumn("reason", F.lit(None).cast("string"))
+    return rounded(good.unionByName(bad, allowMissingColumns=True), 2, "units")
+
+
 @query
 def holidays_of_other_eras(spark, sf):
     """The order days moved by whole leap cycles, to years from 1890 on and from 2090 on."""
