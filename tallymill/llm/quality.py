@@ -19,13 +19,15 @@ WINDOW = 3
 
 # Size parameter of the sketches: a rank is off by about 0.15 percent.
 SKETCH_K = 2048
-# A group of fewer documents takes the thresholds of its language, or of all documents.
-LEAST_DOCS = 200
-# Values further from the quartiles than this many spreads are left out of the tail; the
-# spread is the distance of the quartiles, or the slack of the measure if that is more. A
-# value is an outlier if it is further beyond the last quantile of what remains than this
-# many distances of the last two, or than the slack of the measure if that is more.
+# A group's thresholds are drawn to those of its language, and these to those of all documents,
+# as if that many documents more were like the wider group: the pull fades as a group grows.
+PULL = 200
+# Values further from the quartiles than FENCE spreads are left out of the tail; the spread is
+# the distance of the quartiles, or the slack of the measure if that is more. A value is an
+# outlier if it is further beyond the last quantile of what remains than MARGIN distances of
+# the last two, or than the slack of the measure if that is more.
 FENCE = 4.0
+MARGIN = 2.0
 TAIL = (0.95, 0.99)
 # Ranks at which a sketch is read.
 RANKS = [k / 400 for k in range(401)]
@@ -100,8 +102,9 @@ def thresholds(counted: DataFrame) -> DataFrame:
     """Bounds per group of language and source: (group, n, and <measure>_low, <measure>_high).
 
     Each task sketches its documents that pass the base rules, sketches are merged per
-    group, those of the groups per language, and those of the languages for all. A group with
-    few documents takes the wider sketch.
+    group, those of the groups per language, and those of the languages for all. A group of n
+    documents has n parts of its own bounds and PULL parts of its language's, which are drawn
+    to those of all documents in the same way.
     """
     group = F.to_json(F.struct("lang", "source"))
     good = counted.filter(~F.col("base_failed"))
@@ -119,8 +122,8 @@ def thresholds(counted: DataFrame) -> DataFrame:
 
         slack = F.lit(MEASURES[m][3])
         (inner, last), (lower, first) = map(at, TAIL), (at(1 - q) for q in TAIL)
-        least = first - F.greatest((lower - first) * FENCE, slack) if MEASURES[m][2] else F.lit(float("-inf"))
-        return [least.alias(f"{m}_low"), (last + F.greatest((last - inner) * FENCE, slack)).alias(f"{m}_high")]
+        least = first - F.greatest((lower - first) * MARGIN, slack) if MEASURES[m][2] else F.lit(float("-inf"))
+        return [least.alias(f"{m}_low"), (last + F.greatest((last - inner) * MARGIN, slack)).alias(f"{m}_high")]
 
     def within_fence(m: str) -> Column:
         """Junk may be a tenth of a group, so the tail is that of the values within the fence."""
@@ -143,9 +146,15 @@ def thresholds(counted: DataFrame) -> DataFrame:
     renamed = wider.select("language", F.col("good").alias("wider_good"), *[F.col(c).alias(f"wider_{c}") for c in names])
     both = groups.join(own, "group", "left").join(renamed, "language", "left")
 
+    def drawn(own: Column, good: Column, wide: Column) -> Column:
+        held = F.coalesce(good, F.lit(0))
+        # A bound without end stays so.
+        endless = wide == F.lit(float("-inf"))
+        return F.when((held > 0) & ~endless, (held * own + PULL * wide) / (held + PULL)).otherwise(wide)
+
     def chosen(c: str) -> Column:
         last = F.lit(widest[c]).cast("double")
-        return F.when(F.col("good") >= LEAST_DOCS, F.col(c)).when(F.col("wider_good") >= LEAST_DOCS, F.col(f"wider_{c}")).otherwise(last).alias(c)
+        return drawn(F.col(c), F.col("good"), drawn(F.col(f"wider_{c}"), F.col("wider_good"), last)).alias(c)
 
     return both.select("group", "n", *[chosen(c) for c in names])
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on a table with every awkward case and on an empty one."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -88,6 +89,28 @@ def test_components(spark):
     assert {r.node: r.root for r in found} == want and len(found) == len(want)
 
 
+def slow_bounds(alike, both, slack):
+    """Bounds of a group whose values are the first list, those of its language the second, all
+    the third: each drawn to the next."""
+
+    def quantile(ordered, q):
+        return ordered[max(0, math.ceil(q * len(ordered) - 1e-9) - 1)]
+
+    def bounds(values):
+        read = [quantile(sorted(values), r) for r in quality.RANKS]
+        spread = quality.FENCE * max(read[300] - read[100], slack)
+        inside = [v for v in read if read[100] - spread <= v <= read[300] + spread]
+        q1, q5, q95, q99 = (quantile(inside, q) for q in (0.01, 0.05, 0.95, 0.99))
+        low = q1 - max(quality.MARGIN * (q5 - q1), slack) if both else -math.inf
+        return low, q99 + max(quality.MARGIN * (q99 - q95), slack)
+
+    out = bounds(alike[2])
+    for values in (alike[1], alike[0]):
+        n, own = len(values), bounds(values)
+        out = tuple(o if o == -math.inf else (n * b + quality.PULL * o) / (n + quality.PULL) for b, o in zip(own, out, strict=True))
+    return out
+
+
 def test_quality(spark):
     rows = texts() + [(k, prose(k, 80) + ".\n" + prose(k + 7, 20)) for k in range(200, 240)] + [(300, " ".join(["a#b", "c$$", "d|"] * 40))]
     word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,15 +128,16 @@ def test_quality(spark):
     found = quality.judge(documents(spark, rows))
     got = found.select("doc_id", *(c.split()[0] for c in quality.COUNTS.split(", ")), "base_failed").collect()
     assert multiset(tuple(x) for x in got) == multiset(want)
-    # No group has LEAST_DOCS documents, so all are held against the sketch of all.
     good = [x for x in want if not x[-1]]
+    groups_of = {r.doc_id: (r.lang, r.source) for r in documents(spark, rows).select("doc_id", "lang", "source").collect()}
     values = [(x[2] / x[1], x[3] / x[1], x[5] / x[4], x[6] / x[1]) for x in good]
     ok = [True] * len(good)
     for k, (_, _, both, slack) in enumerate(quality.MEASURES.values()):
-        ordered = sorted(v[k] for v in values)
-        low, high = (ordered[-(-q * len(ordered) // 4) - 1] for q in (1, 3))
-        spread = quality.FENCE * max(high - low, slack)
-        ok = [o and v[k] <= high + spread and (not both or v[k] >= low - spread) for o, v in zip(ok, values, strict=True)]
+        for j, x in enumerate(good):
+            own = groups_of[x[0]]
+            alike = [[v[k] for v, y in zip(values, good, strict=True) if groups_of[y[0]][:n] == own[:n]] for n in (2, 1, 0)]
+            low, high = slow_bounds(alike, both, slack)
+            ok[j] &= low <= values[j][k] <= high
     kept = multiset(x.doc_id for x in found.filter("kept").collect())
     assert kept == multiset(x[0] for x, o in zip(good, ok, strict=True) if o)
     assert "300" not in kept and "17" not in kept and "210" in kept
