@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import mixed, small_batches, stored, text_batches
+from tallymill.llm.common import mixed, small_batches, stored, text_batches, tidy
 
 DIMENSION = 1024
 GRAM = 3
@@ -96,7 +96,7 @@ def _partial_sums(dimension: int):
 def prototypes(learn: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarray]:
     """Language -> profile of length 1, from (text, lang); rows of a null language or without
     a letter teach nothing. Only sums travel: one row per task and language."""
-    sums = learn.filter(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(_partial_sums(dimension), "lang string, profile array<double>")
+    sums = learn.filter(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(tidy(_partial_sums(dimension)), "lang string, profile array<double>")
     sums = sums.groupBy("lang").agg(Summarizer.sum(array_to_vector("profile")).alias("total"))
     with small_batches(learn.sparkSession):
         rows = sums.select("lang", vector_to_array("total").alias("total")).collect()
@@ -131,5 +131,5 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], dimension: int =
     name of equal ones, and that cosine (0 if negative). `und` and 0 for a null or empty
     text, one without a letter, or if no language was learned."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.mapInArrow(_predictions(profiles, dimension), "doc_id long, lang_pred string, score double")
+    found = rows.mapInArrow(tidy(_predictions(profiles, dimension)), "doc_id long, lang_pred string, score double")
     return stored(found, "languages")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import bitmap, hot_join, may_be_in, mixed, shingle_hashes, stored, text_batches, utf8, word_hashes
+from tallymill.llm.common import bitmap, hot_join, may_be_in, mixed, shingle_hashes, stored, text_batches, tidy, utf8, word_hashes
 from tallymill.llm.components import components, merged
 from tallymill.llm.verify import class_of, confirmed, copies_of, dealt, texts_of_classes, words_of
 
@@ -88,7 +88,7 @@ def frequency_classes(tables: DataFrame) -> np.ndarray:
     """The frequency class of the words of each counter: one more for each doubling."""
     counts = np.zeros(COUNTERS, dtype=np.int64)
     # At most COUNTERS / PART rows.
-    for part, held in tables.repartition("part").mapInArrow(_summed, "part int, counts binary").collect():
+    for part, held in tables.repartition("part").mapInArrow(tidy(_summed), "part int, counts binary").collect():
         counts[part * PART : (part + 1) * PART] = np.frombuffer(held, dtype=np.int64)
     return np.log2(np.maximum(counts, 1)).astype(np.uint64)
 
@@ -221,7 +221,7 @@ def _crossing(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent:
     one, two = F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
     blocks = blocks.select("bucket", one, two, "block", "class", "root", "size", "least")
     blocks = blocks.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    return blocks.mapInArrow(_across(percent, best), "a binary, b binary").distinct()
+    return blocks.mapInArrow(tidy(_across(percent, best)), "a binary, b binary").distinct()
 
 
 def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -261,10 +261,10 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     - An empty table gives an empty table.
     """
     texts_in = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    profile = stored(texts_in.mapInArrow(_profiles(shingle), PROFILE), "profiles")
+    profile = stored(texts_in.mapInArrow(tidy(_profiles(shingle)), PROFILE), "profiles")
     rows = profile.filter("part is null").select("id", "text_hash", "class", "n_shingles")
     frequent = frequency_classes(profile.filter("part is not null").select("part", "counts"))
-    prefixes = texts_in.select("text").mapInArrow(_prefixes(shingle, percent, frequent), PREFIXES)
+    prefixes = texts_in.select("text").mapInArrow(tidy(_prefixes(shingle, percent, frequent)), PREFIXES)
     prefixes = stored(prefixes, "prefixes")
 
     banded = prefixes.select("class", F.explode("first").alias("bucket"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import small_batches, stored, text_batches, utf8
+from tallymill.llm.common import small_batches, stored, text_batches, tidy, utf8
 
 # Documents for each item.
 BEST = 10
@@ -168,7 +168,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def item_terms(items: DataFrame) -> DataFrame:
     """(item_id, term) of all items, each once."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(_terms, "item_id long, term binary").distinct()
+    return rows.mapInArrow(tidy(_terms), "item_id long, term binary").distinct()
 
 
 def _dealt(terms: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -217,13 +217,13 @@ def search(docs: DataFrame, items: DataFrame, most: int = BEST, automaton_bytes:
         if not some.terms:
             continue
         with small_batches(rows.sparkSession):
-            counted = rows.mapInArrow(_counted(some), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+            counted = rows.mapInArrow(tidy(_counted(some)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
         counts = {r.term: r.n for r in counted}
         n_docs = counts.get(N_DOCS, 0)
         if not n_docs:
             break
         weights = [math.floor(1000 * math.log((2 * n_docs + 2) / (2 * counts.get(t, 0) + 1))) for t in range(len(some.terms))]
-        ranked = rows.mapInArrow(_ranked(some, np.array(weights, dtype=np.int64), n_docs, counts[N_TERMS], most), "item_id long, doc_id long, score long")
+        ranked = rows.mapInArrow(tidy(_ranked(some, np.array(weights, dtype=np.int64), n_docs, counts[N_TERMS], most)), "item_id long, doc_id long, score long")
         best = stored(ranked.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))), "best-of-tasks")
         found = best if found is None else found.unionByName(best)
     if found is None:

@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tallymill.functions.joins import if_small
 from tallymill.functions.ranking import ROW_BITS, with_position
-from tallymill.llm.common import stored
+from tallymill.llm.common import stored, tidy
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 # Heights that one round works through, and the leaves of a block.
@@ -198,7 +198,7 @@ def _with_texts(rows: DataFrame, *names: str) -> StructType:
 def _up(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("tree", "place", "nodes", "digest", F.shiftright("place", HEIGHTS).alias("block"))
     rows = rows.repartition("tree", "block").sortWithinPartitions("tree", "block", "place")
-    return stored(rows.mapInArrow(_upward, UP), "digests")
+    return stored(rows.mapInArrow(tidy(_upward), UP), "digests")
 
 
 def _raised(nodes: DataFrame) -> list[DataFrame]:
@@ -217,7 +217,7 @@ def _down(rows: DataFrame, messages: DataFrame) -> DataFrame:
     both = given.unionByName(sent, allowMissingColumns=True)
     both = both.repartition("tree", "block").sortWithinPartitions("tree", "block", "place")
     wanted = _with_texts(rows, "root", "subroot", "proof")
-    return both.mapInArrow(_downward(to_arrow_schema(wanted)), wanted)
+    return both.mapInArrow(tidy(_downward(to_arrow_schema(wanted))), wanted)
 
 
 def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -297,4 +297,4 @@ def verified(found: DataFrame, leaf_column: str = "leaf", fold_of: Callable[[str
             columns.append(pa.array([fold_of(d, p) for d, p in zip(own, proofs, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return found.mapInArrow(run, wanted).withColumn("verified", F.col("folded_root") == F.col("root"))
+    return found.mapInArrow(tidy(run), wanted).withColumn("verified", F.col("folded_root") == F.col("root"))

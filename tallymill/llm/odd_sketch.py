@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import hot_join, mixed, shingle_hashes, stored, text_batches, utf8, word_hashes
+from tallymill.llm.common import hot_join, mixed, shingle_hashes, stored, text_batches, tidy, utf8, word_hashes
 from tallymill.llm.components import components, merged
 from tallymill.llm.verify import class_of, confirmed, texts_of_classes, words_of
 
@@ -81,7 +81,7 @@ def _signatures(size: int):
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, text_hash, class, n_shingles, bands, sketch) of each document; null class, bands and sketch for one without words."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signatures(size), SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(_signatures(size)), SIGNATURE)
 
 
 def estimate(one: Column, two: Column) -> Column:
@@ -111,7 +111,7 @@ def _fine_sketches(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame
             sketches = pa.array(odd_sketches(np.stack(found)).tolist(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("class"), sketches], ["class", "sketch"])
 
-    return stored(texts.join(classes, "class", "left_semi").mapInArrow(run, "class binary, sketch array<long>"), "fine-sketches")
+    return stored(texts.join(classes, "class", "left_semi").mapInArrow(tidy(run), "class binary, sketch array<long>"), "fine-sketches")
 
 
 def _cross_pairs(best: int | None):
@@ -200,7 +200,7 @@ def _crossing(shared: DataFrame, classes: DataFrame, texts: DataFrame, roots: Da
     one, two = F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
     blocks = blocks.select("bucket", one, two, "block", "class", "root", "sketch", "bands")
     blocks = blocks.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    return blocks.mapInArrow(_cross_pairs(best), "a binary, b binary").distinct()
+    return blocks.mapInArrow(tidy(_cross_pairs(best)), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import stored, text_batches
+from tallymill.llm.common import stored, text_batches, tidy
 from tallymill.llm.tokens import TextEncoder
 
 SEQUENCE = 2048
@@ -153,11 +153,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, open_bins: int =
     - An empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stored(rows.mapInArrow(_first_round(tokenizer, size, open_bins, end_id), f"{PACKED}, full boolean"), "pieces", 2500)
+    first = stored(rows.mapInArrow(tidy(_first_round(tokenizer, size, open_bins, end_id)), f"{PACKED}, full boolean"), "pieces", 2500)
     left = first.filter("not full")
     used = left.groupBy(F.col("sequence_id").alias("bin")).agg(F.sum("length").alias("used"))
     tasks = max(1, rows.rdd.getNumPartitions() // TASKS_TOGETHER)
-    moved = used.coalesce(tasks).mapInArrow(_second_round(size, open_bins), "bin long, sequence_id long, shift long")
+    moved = used.coalesce(tasks).mapInArrow(tidy(_second_round(size, open_bins)), "bin long, sequence_id long, shift long")
     moved = stored(moved, "moved-bins").withColumnRenamed("sequence_id", "moved_to")
     again = left.join(moved, left["sequence_id"] == moved["bin"])
     again = again.withColumn("offset", F.col("offset") + F.col("shift")).withColumn("sequence_id", F.col("moved_to"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import BLANKS, hot_join, mixed, stored, text_batches, utf8, word_hashes
+from tallymill.llm.common import BLANKS, hot_join, mixed, stored, text_batches, tidy, utf8, word_hashes
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -88,7 +88,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measures(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, the counts of COUNTS, base_failed) of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source")), "text")
-    counted = rows.mapInArrow(_measure, f"doc_id long, lang string, source string, {COUNTS}")
+    counted = rows.mapInArrow(tidy(_measure), f"doc_id long, lang string, source string, {COUNTS}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 

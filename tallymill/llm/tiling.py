@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import BITMAP_BITS, FILTER_BITS, bitmap, hot_join, mixed, stored, text_batches, word_hashes
+from tallymill.llm.common import BITMAP_BITS, FILTER_BITS, bitmap, hot_join, mixed, stored, text_batches, tidy, word_hashes
 
 # Words of the shortest tile, and the share of an item's words that tiles must cover.
 MIN_TILE = 5
@@ -53,7 +53,7 @@ def _seeds(size: int, held: np.ndarray | None):
 
 def seeds(texts: DataFrame, key: str, size: int, held: np.ndarray | None = None) -> DataFrame:
     rows = texts.select(F.col(key).cast("long").alias("key"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_seeds(size, held), SEEDS)
+    return rows.mapInArrow(tidy(_seeds(size, held)), SEEDS)
 
 
 def seed_filter(found: DataFrame) -> np.ndarray:
@@ -132,7 +132,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, co
     reach = F.array_distinct(F.flatten(F.transform("matches.i", lambda i: F.sequence(i, i + (min_tile - 1)))))
     likely = groups.filter(F.array_size(reach) >= coverage * F.col("n_words"))
     columns = "doc_id long, text_hash long, item_id long, n_words long, n_tiles long, n_covered long"
-    tiled = likely.select("doc_id", "text_hash", "item_id", "n_words", "matches").mapInArrow(_tiled(min_tile), columns)
+    tiled = likely.select("doc_id", "text_hash", "item_id", "n_words", "matches").mapInArrow(tidy(_tiled(min_tile)), columns)
     tiled = stored(tiled, "tiles")
     share = F.col("n_covered") / F.col("n_words")
     return tiled.withColumn("coverage", share).filter(F.col("coverage") >= coverage)

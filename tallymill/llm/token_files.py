@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import crc32_of_ids, small_batches, text_batches
+from tallymill.llm.common import crc32_of_ids, small_batches, text_batches, tidy
 from tallymill.llm.range_coder import decode, encode
 from tallymill.llm.tokens import TextEncoder
 
@@ -115,7 +115,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     with small_batches(docs.sparkSession, 2500):
-        rows.mapInArrow(_files(tokenizer, end_id, file_ids), FILES).write.parquet(path)
+        rows.mapInArrow(tidy(_files(tokenizer, end_id, file_ids)), FILES).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,4 +144,4 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         total += sizes[part]
     before = spark.createDataFrame(starts, "part int, offset long")
     placed = files.join(F.broadcast(before), "part").select((F.col("offset") + F.col("before")).alias("start"), "data")
-    return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(tidy(_documents), "doc_id long, start long, n_tokens long, ids binary")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallymill.llm.common import bitmap, crc_mod, may_be_in, stored, text_batches
+from tallymill.llm.common import bitmap, crc_mod, may_be_in, stored, text_batches, tidy
 
 # Hash space of the features: words and their first 4 and 5 letters.
 BUCKETS = 1 << 18
@@ -63,7 +63,7 @@ def features_of(word: str) -> tuple[int, ...]:
 class _Lookup(dict):
     """word -> what `make` gives, kept for the words met so far; emptied when it gets large."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 100_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -190,7 +190,7 @@ def fit(labelled: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIE
     n1, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     if not 0 < n1 < n:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
-    counts = rows.select("text", "label").mapInArrow(_counts, "bucket long, n0 long, n1 long")
+    counts = rows.select("text", "label").mapInArrow(tidy(_counts), "bucket long, n0 long, n1 long")
     counts = stored(counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "label-counts")
     chance = 2 * np.log(max(counts.count(), 2))
     surest = counts.withColumn("e", evidence(F.col("n0"), F.col("n1"), n - n1, n1)).orderBy(F.desc("e"), "bucket").limit(FEATURES)
@@ -201,7 +201,7 @@ def fit(labelled: DataFrame, identities: tuple[tuple[str, ...], ...] = IDENTITIE
     place = F.xxhash64("doc_id").alias("place")
     last = rows.select(place).orderBy("place").limit(FIT_ROWS).agg(F.max("place")).first()[0]
     sample = rows.filter(place <= last)
-    sample = sample.select("text", "label").mapInArrow(_vectors(buckets, other), "label int, own array<int>, swapped array<int>")
+    sample = sample.select("text", "label").mapInArrow(tidy(_vectors(buckets, other)), "label int, own array<int>, swapped array<int>")
     sample = stored(sample, "fit-rows").orderBy("label", "own").toArrow().to_pydict()
     lists = [np.array(x, dtype=np.int32) for x in sample["own"]]
     changed = {k: np.array(x, dtype=np.int32) for k, x in enumerate(sample["swapped"]) if x is not None}
@@ -231,7 +231,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text_hash, score) of every row; a null or empty text has no feature and gets
     the score of the constant."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return stored(rows.mapInArrow(_scores(model), "doc_id long, text_hash long, score double"), "scores")
+    return stored(rows.mapInArrow(tidy(_scores(model)), "doc_id long, text_hash long, score double"), "scores")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -249,5 +249,5 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """The rows of `docs` that score below `threshold`."""
     packed = docs.select(F.col("text").alias("text"), F.struct("*").alias("_row"))
     schema = StructType([StructField("_row", docs.schema), StructField("score", DoubleType())])
-    kept = stored(packed.mapInArrow(_scores(model), schema).filter(F.col("score") < threshold), "not-toxic")
+    kept = stored(packed.mapInArrow(tidy(_scores(model)), schema).filter(F.col("score") < threshold), "not-toxic")
     return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import bitmap, hot_join, may_be_in, stored, utf8
+from tallymill.llm.common import bitmap, hot_join, may_be_in, stored, tidy, utf8
 
 # Pairs that one copy of a text takes part in.
 PAIRS_PER_COPY = 200
@@ -47,7 +47,7 @@ def texts_of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # Texts that are certainly not wanted stay out of the shuffle.
     likely = may_be_in(docs.select(key.alias("row"), "text"), stored(bitmap(wanted, "row"), "text-filter"), F.col("row"))
     rows = hot_join(likely, wanted, "row", "n").select("class", "text")
-    return stored(rows.mapInArrow(_of_class, "class binary, text string").dropDuplicates(["class"]), "texts")
+    return stored(rows.mapInArrow(tidy(_of_class), "class binary, text string").dropDuplicates(["class"]), "texts")
 
 
 def _copies() -> Column:
@@ -95,4 +95,4 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     hubs = copies_of(texts, of_b, "b").select("b", "b_copy", F.lit(None).cast("binary").alias("a"), "text")
     rows = members.unionByName(hubs)
     rows = rows.repartition("b", "b_copy").sortWithinPartitions("b", "b_copy", F.col("a").asc_nulls_first())
-    return stored(rows.mapInArrow(_confirm(size, percent), "a binary, b binary"), "confirmed")
+    return stored(rows.mapInArrow(tidy(_confirm(size, percent)), "a binary, b binary"), "confirmed")
