@@ -148,14 +148,18 @@ def _pass(points, columns, fits: list[Fit]) -> list[tuple[np.ndarray, np.ndarray
         for batch in batches:
             x = batch.to_numpy()
             own = (x**2).sum(axis=1)
-            # Squared distance without the part that is the same for every centre.
-            d = x @ (-2.0 * stacked.T) + (stacked**2).sum(axis=1)
+            # Squared distance without the part that is the same for every centre, a row per centre.
+            d = stacked @ (-2.0 * x.T) + (stacked**2).sum(axis=1)[:, None]
             values = np.column_stack([np.ones(len(x)), x])
             for low, high in ranges:
-                near = d[:, low:high].argmin(axis=1)
-                cost = np.maximum(own + d[np.arange(len(x)), near + low], 0.0)
-                for i, column in enumerate([*values.T, cost]):
-                    totals[low:high, i] += np.bincount(near, weights=column, minlength=high - low)
+                least = d[low:high].min(axis=0)
+                near = d[low:high] == least
+                if near.sum() != len(x):
+                    # Of equally near centres the first.
+                    near = np.arange(high - low)[:, None] == d[low:high].argmin(axis=0)
+                shares = near.astype(float)
+                totals[low:high, :-1] += shares @ values
+                totals[low:high, -1] += shares @ np.maximum(own + least, 0.0)
         held = np.flatnonzero(totals[:, 0])
         frame = pd.DataFrame(totals[held], columns=["n", *names, "cost"])
         frame.insert(0, "center", held.astype("int32"))

@@ -20,6 +20,8 @@ METRICS = ("recency", "frequency", "monetary")
 SCALED = tuple(f"{m}_scaled" for m in METRICS)
 # Customers per partition while fitting, at least: short passes should not be many tasks.
 PARTITION_ROWS = 4_000
+# Partitions per core while fitting, at most: each task of the many passes reports to the driver.
+PARTITIONS_PER_CORE = 2
 # K-Means fits that are submitted side by side.
 FITS_AT_ONCE = 5
 
@@ -78,15 +80,21 @@ def scaled_columns(customers: DataFrame) -> DataFrame:
 
 def _fits(customers: DataFrame, ks, starts: int, max_iter: int, seed: int) -> tuple[DataFrame, dict[int, Fit]]:
     """The scaled customers and the fits over them. The metrics stay in memory for the many
-    short passes, in few enough partitions; a table the caller persisted is left as it is."""
+    short passes, dealt out evenly whatever files they come from; a table the caller persisted
+    is left as it is."""
     own = customers.storageLevel == StorageLevel.NONE
     if own:
         customers.persist(StorageLevel.MEMORY_AND_DISK)
+    points = None
     try:
         scaled = scaled_columns(customers)
-        points = scaled.coalesce(max(1, -(-customers.count() // PARTITION_ROWS)))
+        most = PARTITIONS_PER_CORE * customers.sparkSession.sparkContext.defaultParallelism
+        parts = max(1, min(most, -(-customers.count() // PARTITION_ROWS)))
+        points = scaled.select("customer_id", *SCALED).repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
         return scaled, best_fits(points, SCALED, "customer_id", ks, starts, max_iter, seed)
     finally:
+        if points is not None:
+            points.unpersist()
         if own:
             customers.unpersist()
 

@@ -36,6 +36,27 @@ def random_customers(n, seed):
     )
 
 
+def test_fits_deal_customers_of_one_file_out(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(clusters, "best_fits", lambda points, *rest: found.append(points.rdd.getNumPartitions()) or {})
+    monkeypatch.setattr(clusters, "PARTITION_ROWS", 10)
+    key = F.col("id")
+    for rows, want in ((35, 4), (100_000, clusters.PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)):
+        table = spark.range(rows).coalesce(1).select(key.cast("string").alias("customer_id"), *[key.alias(m) for m in clusters.METRICS])
+        clusters._fits(table, [2], 1, 1, 0)
+        assert found.pop() == want
+    x = np.random.default_rng(5).normal(size=(300, 3))
+    middles = np.vstack([x[:4], x[:1]])
+    points = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]))
+    # The last centre equals the first, which gets their points.
+    counts, sums, cost = centers._pass(points, ["a", "b", "c"], [centers.Fit(5, 0, middles)])[0]
+    away = ((x[:, None] - middles[None]) ** 2).sum(axis=2)
+    near = away.argmin(axis=1)
+    assert counts.tolist() == np.bincount(near, minlength=5).tolist()
+    np.testing.assert_allclose(sums, [x[near == i].sum(axis=0) for i in range(5)], atol=1e-9)
+    assert cost == pytest.approx(away.min(axis=1).sum())
+
+
 @pytest.mark.parametrize("n", [5, 6, 7, 10, 333])
 def test_scores_equal_quantile_cuts(spark, n):
     frame = random_customers(n, n)
