@@ -336,7 +336,8 @@ def segment_kpis(spark, sf):
 def _sales_with_segments(spark, sf) -> DataFrame:
     """Sales without a customer are kept out of the groups, to show the default name."""
     rows = fx.retail_dirty(spark, sf)
-    rows = cleaning.add_features(cleaning.fill_customers(cleaning.keep_positive(rows)))
+    # Stored, since the groups, the hot customers and the join each read the sales.
+    rows = stored(cleaning.add_features(cleaning.fill_customers(cleaning.keep_positive(rows))), "sales")
     known = rfm.segment_customers(rfm.rfm(rows, include_unknown=False))
     return rfm.attach_group(rows, known)
 
@@ -548,7 +549,7 @@ def _arrivals(df: DataFrame, parts: int = 4) -> str:
     edges = df.select(seconds.alias("s")).approxQuantile("s", [k / parts for k in range(1, parts)], 0.01)
     for low, high in zip([float("-inf"), *edges], [*edges, float("inf")], strict=True):
         part = df.filter((seconds >= low) & (seconds < high))
-        part.unionByName(part.filter(F.col("stock_code") == "click")).coalesce(1).write.mode("append").parquet(path)
+        part.unionByName(part.filter(F.col("stock_code") == "click")).repartition(1).write.mode("append").parquet(path)
     return path
 
 

@@ -115,3 +115,13 @@ def test_an_empty_folder(spark):
     stream.run(report, out, progress, "update")
     spark.createDataFrame([], report.schema).write.mode("append").parquet(f"{out}/{stream.BATCH}=0")
     assert stream.newest(spark, out, report.schema, "customer_id").count() == 0
+
+
+def test_arriving_files_are_made_by_many_tasks(spark):
+    from tallymill.catalog.queries import _arrivals
+
+    start = F.timestamp_seconds(F.col("id") * 60)
+    rows = spark.range(0, 400, 1, 4).select(start.alias("invoice_ts"), F.lit("view").alias("stock_code"), F.spark_partition_id().alias("task"))
+    back = spark.read.parquet(_arrivals(rows))
+    assert back.count() == 400
+    assert back.select("task").distinct().count() == 4
