@@ -91,3 +91,15 @@ def test_bounds_reach_the_scan(spark):
     plan = cleaning.remove_outliers(cleaning.keep_positive(lines))._jdf.queryExecution().toString()
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line][-1]
     assert "GreaterThan(l_quantity,0.0)" in pushed and "LessThanOrEqual(l_extendedprice" in pushed
+
+
+def test_lines_are_shuffled_by_order_once(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = fx.retail_dirty(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # Lines by order and by part; orders by customer and by order; customers; parts.
+    assert text.count("Exchange hashpartitioning") == 6
+    assert "hashpartitioning(c_nationkey" not in text
