@@ -9,6 +9,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.session import stored
+
 # Values around one rank that may be sorted in one list.
 FETCH_ROWS = 200_000
 # Rank error of the pivots, as a share of the rows that are still in question.
@@ -44,8 +46,10 @@ def exact_quantiles(
     The values at the ranks around each quantile are found exactly, by narrowing down: a
     pass counts the rows below a few pivots, and the gap that holds the rank stays. Only
     counts, pivots and the last gap reach one task. All columns share the passes, and
-    every size of table goes the same way.
+    every size of table goes the same way. The passes read the columns alone from where
+    they are stored, not what they come from.
     """
+    df = stored(df.select(*wanted), "quantile-columns")
     # One pass for the sizes and the first pivots.
     asks = [F.count(c).alias(f"n_{c}") for c in wanted]
     for c, shares in wanted.items():

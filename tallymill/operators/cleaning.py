@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.joins import is_small, lookup
 from tallymill.functions.quantiles import exact_quantiles
 from tallymill.schema import UNKNOWN, is_text, parse_timestamp
-from tallymill.session import checkpointed
+from tallymill.session import checkpointed, stored
 
 IQR_COLUMNS = ("quantity", "price")
 
@@ -25,16 +25,19 @@ def remove_outliers(df: DataFrame, columns=IQR_COLUMNS, accuracy: int | None = N
     bounds are computed when this is called, so that the filters are plain
     comparisons that reach the scan. With `accuracy` the quartiles are approximate.
     """
+    # The columns alone, so that what the rows come from is not worked out for every pass.
+    values = stored(df.select(*columns), "outlier-columns")
     for column in columns:
         if accuracy is None:
-            quartiles = exact_quantiles(df, {column: (0.25, 0.75)})[column]
+            quartiles = exact_quantiles(values, {column: (0.25, 0.75)})[column]
         else:
-            quartiles = df.agg(F.percentile_approx(column, [0.25, 0.75], accuracy)).first()[0]
+            quartiles = values.agg(F.percentile_approx(column, [0.25, 0.75], accuracy)).first()[0]
         if quartiles is None:
             return df.filter(F.lit(False))
         first, third = quartiles
         reach = 1.5 * (third - first)
-        df = df.filter(F.col(column).between(first - reach, third + reach))
+        near = F.col(column).between(first - reach, third + reach)
+        df, values = df.filter(near), values.filter(near)
     return df
 
 

@@ -146,3 +146,18 @@ def test_the_flag_agrees_with_the_table_in_any_year(spark):
     flagged = {r.day for r in days.filter(is_uk_holiday(F.col("day"))).collect()}
     assert flagged == {r.day for r in uk_holidays(spark, 1860, 2310).collect()}
     assert dt.date(2200, 12, 25) in flagged
+
+
+def test_quantiles_and_outliers_work_out_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def touched(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(500).select(touched("id").alias("quantity"), F.lit(1.0).alias("price"))
+    assert exact_quantiles(rows, {"quantity": (0.5,)}, fetch_rows=5, accuracy=10) == {"quantity": [249.5]}
+    assert seen.value == 500
+    cleaning.remove_outliers(rows)
+    assert seen.value == 1000
