@@ -654,11 +654,9 @@ def feature_table_products(spark, sf):
 def forecast_linear_products(spark, sf):
     """A linear model of yesterday over all products with enough days: test error and the next
     day of each, or the reason why it has none."""
-    series = ts.fill_prices(ts.daily_series(_products(spark, sf)))
-    run = demand.forecast_table(series, "linear", seq_length=1, horizon=1, reg_grid=(0.0,))
+    run = demand.forecast_table(ts.day_spans(_products(spark, sf)), "linear", seq_length=1, horizon=1, reg_grid=(0.0,))
     found = run.metrics.join(run.future, ts.KEY).select(ts.KEY, "mae", "rmse", "future_forecast", F.lit(None).cast("string").alias("reason"))
     missing = run.rejects.select(ts.KEY, *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse", "future_forecast")], "reason")
-    # The rejects read the persisted features, so the answer is stored before they are released.
     answer = stored(rounded(found.unionByName(missing), 4, "mae", "rmse", "future_forecast"), "product-forecasts")
     run.release()
     return answer

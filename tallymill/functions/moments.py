@@ -57,7 +57,7 @@ class LinearFit:
     validation_mse: float | None = None
 
 
-def _rows(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+def sums_batch(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
     held = [pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
     return pa.RecordBatch.from_arrays(held, ["part", "sums"])
 
@@ -77,7 +77,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, part in enumerate(parts.dictionary.to_pylist()):
             own = rows[at == k]
             sums[part] = sums.get(part, 0.0) + own.T @ own
-    yield _rows(sums)
+    yield sums_batch(sums)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, held in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
             sums[part] = sums.get(part, 0.0) + np.frombuffer(held)
-    yield _rows(sums)
+    yield sums_batch(sums)
 
 
 def moments(rows: DataFrame, vector: str, target: str, part: str) -> dict[str, Moments]:
@@ -95,7 +95,12 @@ def moments(rows: DataFrame, vector: str, target: str, part: str) -> dict[str, M
     Each task sends one matrix per part; ADDERS tasks add them up, and the driver adds theirs.
     """
     known = rows.select(F.col(part).alias("part"), F.col(vector).alias("vector"), F.col(target).cast("double").alias("target"))
-    sums = known.dropna().mapInArrow(_summed, SUMS).withColumn("adder", F.pmod(F.spark_partition_id(), F.lit(ADDERS)))
+    return added(known.dropna().mapInArrow(_summed, SUMS))
+
+
+def added(sums: DataFrame) -> dict[str, Moments]:
+    """The moments of each part, from the matrices (`SUMS`) that tasks have made."""
+    sums = sums.withColumn("adder", F.pmod(F.spark_partition_id(), F.lit(ADDERS)))
     out: dict[str, Moments] = {}
     for name, held in sums.repartition(ADDERS, "adder").mapInArrow(_added, SUMS).collect():
         flat = np.frombuffer(held)

@@ -17,7 +17,12 @@ def future(model: DemandModel, scaled: DataFrame, horizon: int = HORIZON) -> Dat
 
     One row per product goes through the model; it is not clamped at 0.
     """
-    paths = roll_forward(model, end_states(model, scaled), horizon)
+    return future_of(model, end_states(model, scaled), horizon)
+
+
+def future_of(model: DemandModel, states: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """`future`, from the end states of the series."""
+    paths = roll_forward(model, states, horizon)
     days = paths.select(KEY, DAY, "quantity_low", "quantity_span", F.posexplode("path").alias("_at", "_scaled"))
     return days.select(
         KEY,

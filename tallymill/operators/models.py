@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.functions.moments import LinearFit, choose, moments, ridge
+from tallymill.functions.moments import LinearFit, Moments, choose, moments, ridge
 from tallymill.operators import reservoir as rv
 from tallymill.operators.samples import BOUNDED, SEQ_LENGTH, samples, scaled_features
 from tallymill.operators.series import DAY, KEY, latest_days
@@ -80,11 +80,7 @@ def fit(
     known = parts.filter(F.col("part") != "test")
     if kind in (LINEAR, RESERVOIR):
         sums = moments(known.withColumn("_vector", F.concat("window", "last")), "_vector", "quantity", "part")
-        if "train" not in sums:
-            return DemandModel(kind, None, seq_length, list(features), reservoir=reservoir)
-        tried = ridge(sums["train"], reg_grid)
-        best = choose(tried, sums.get("validation"))
-        return DemandModel(kind, best, seq_length, list(features), best.validation_mse, tried, reservoir)
+        return fit_moments(sums, features, kind, seq_length, reg_grid, reservoir)
     if kind != GBT:
         raise ValueError(f"unknown model {kind!r}; use {LINEAR!r}, {RESERVOIR!r} or {GBT!r}")
     rows = _with_vector(known).select("vector", "quantity", "part").persist(StorageLevel.MEMORY_AND_DISK)
@@ -95,6 +91,22 @@ def fit(
     return DemandModel(kind, model, seq_length, list(features))
 
 
+def fit_moments(
+    sums: dict[str, Moments],
+    features: Sequence[str],
+    kind: str = LINEAR,
+    seq_length: int = SEQ_LENGTH,
+    reg_grid: Sequence[float] = REG_GRID,
+    reservoir: rv.Reservoir | None = None,
+) -> DemandModel:
+    """The linear model or readout that follows from the moments of the parts."""
+    if "train" not in sums:
+        return DemandModel(kind, None, seq_length, list(features), reservoir=reservoir)
+    tried = ridge(sums["train"], reg_grid)
+    best = choose(tried, sums.get("validation"))
+    return DemandModel(kind, best, seq_length, list(features), best.validation_mse, tried, reservoir)
+
+
 def _fit_gbt(rows: DataFrame, seed: int, max_iter: int, max_depth: int):
     boosted = GBTRegressor(
         featuresCol="vector",

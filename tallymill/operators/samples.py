@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.operators.series import DAY, KEY, by_day, feature_columns, whole_series
+from tallymill.operators.series import DAY, KEY, SPAN, by_day, feature_columns, whole_series
 
 SEQ_LENGTH = 90
 TRAIN_RATIO, VAL_RATIO = 0.7, 0.15
@@ -136,8 +136,10 @@ def usable(
     train_ratio: float = TRAIN_RATIO,
     val_ratio: float = VAL_RATIO,
 ) -> DataFrame:
-    """Per product: days, samples, and `reason` why it cannot be forecast, or null."""
-    days = table.groupBy(KEY).agg(F.count("*").cast("int").alias("days"))
+    """Per product: days, samples, and `reason` why it cannot be forecast, or null. `table` has a
+    row per day, or for several days (`series.day_spans`)."""
+    held = F.sum(SPAN) if SPAN in table.columns else F.count("*")
+    days = table.groupBy(KEY).agg(held.cast("int").alias("days"))
     counted = days.withColumn("samples", F.greatest(F.col("days") - seq_length, F.lit(0)))
     reason = (
         F.when(F.col("samples") < 1, "not enough days for one window")

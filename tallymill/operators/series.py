@@ -17,6 +17,8 @@ from tallymill.operators.temporal import asof_join
 from tallymill.session import checkpointed
 
 KEY, DAY = "stock_code", "day"
+# Of a row that stands for several days: how many.
+SPAN = "days"
 LAGS = (1, 7, 14, 30)
 WINDOWS = (7, 14, 30)
 # The years of Spark's dates.
@@ -79,6 +81,24 @@ def daily_series(df: DataFrame, products=None) -> DataFrame:
     )
 
 
+def day_spans(df: DataFrame, products=None) -> DataFrame:
+    """`fill_prices(daily_series(df))` with one row per sold day: `days` counts it and the days
+    without sales after it, which have its price and quantity 0. `every_day` makes the rest."""
+    sold = fill_prices(sold_days(df, products).filter(F.col(DAY).isNotNull()))
+    gap = F.datediff(F.lead(DAY).over(by_day()), DAY)
+    return sold.withColumn(SPAN, F.coalesce(gap, F.lit(1)))
+
+
+def every_day(spans: DataFrame) -> DataFrame:
+    """One row per product and day from `day_spans`."""
+    days = spans.withColumn("_after", F.explode(F.sequence(F.lit(0), F.col(SPAN) - 1)))
+    columns = {
+        DAY: F.date_add(DAY, F.col("_after")),
+        "quantity": F.when(F.col("_after") == 0, F.col("quantity")).otherwise(F.lit(0.0)),
+    }
+    return days.select([columns.get(c, F.col(c)).alias(c) for c in spans.columns if c != SPAN])
+
+
 def fill_prices(series: DataFrame) -> DataFrame:
     """A price of 0 counts as missing; gaps take the last price, leading gaps the first."""
     known = series.withColumn("our_price", F.when(F.col("our_price") != 0, F.col("our_price")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymill.operators import forecast as fc
 from tallymill.operators import models, pricing
 from tallymill.operators import samples as sm
+from tallymill.operators import series as ts
 from tallymill.plans import demand
 
 T0 = dt.datetime(2010, 1, 4)
@@ -206,3 +207,47 @@ def test_no_product_with_enough_history(spark, kind):
         assert demand.recommend_prices(run)["uplift"].count() == 0
         assert run.rejects.count() == sales.select("stock_code").distinct().count()
         run.release()
+
+
+def sparse_sales(spark, products=30, seed=3):
+    """Few sales per product, days apart, some of them free or without a price; `late` has one day."""
+    rng = np.random.default_rng(seed)
+    rows = [("late", T0, 1.0, 2.0)]
+    for i in range(products):
+        for d in sorted(rng.choice(300, size=int(rng.integers(1, 12)), replace=False).tolist()):
+            price = [None, 0.0, 1.5, 2.5, 4.0][int(rng.integers(5))]
+            rows.append((f"p{i}", T0 + dt.timedelta(days=d), float(rng.integers(1, 9)), price))
+    return spark.createDataFrame(rows, "stock_code string, invoice_ts timestamp, quantity double, price double")
+
+
+def test_spans_hold_every_day_once(spark):
+    sales = sparse_sales(spark)
+    daily = ts.fill_prices(ts.daily_series(sales))
+    spans = ts.day_spans(sales)
+    assert spans.count() == sales.count() < daily.count() / 5
+    assert sorted(map(tuple, ts.every_day(spans).collect())) == sorted(map(tuple, daily.collect()))
+
+
+@pytest.mark.parametrize("seq, fit_on", [(1, "all"), (1, "train"), (20, "all"), (20, "train")])
+def test_a_forecast_from_spans_is_that_of_their_days(spark, seq, fit_on):
+    spans = ts.day_spans(sparse_sales(spark))
+    options = {"seq_length": seq, "horizon": 3, "fit_on": fit_on, "reg_grid": (0.01,)}
+    slow = demand.forecast_table(ts.every_day(spans), "linear", **options)
+    fast = demand.forecast_table(spans, "linear", **options)
+    assert fast.model.validation_mse == pytest.approx(slow.model.validation_mse)
+    assert sorted(map(tuple, fast.rejects.collect())) == sorted(map(tuple, slow.rejects.collect()))
+    for name in ("features", "scaled", "predictions", "future", "metrics", "kpis"):
+        want, got = getattr(slow, name), getattr(fast, name)
+        assert got.columns == want.columns
+        want, got = (sorted(map(tuple, df.collect())) for df in (want, got))
+        assert len(got) == len(want) > 0
+        for a, b in zip(got, want, strict=True):
+            assert [x if not isinstance(x, float) else pytest.approx(x, abs=1e-9) for x in b] == list(a)
+    slow.release()
+
+
+def test_spans_without_enough_days(spark):
+    run = demand.forecast_table(ts.day_spans(sparse_sales(spark).filter("stock_code = 'late'")), "linear", seq_length=1)
+    assert run.rejects.count() == 1 and run.metrics.count() == run.future.count() == 0
+    with pytest.raises(ValueError, match="spans"):
+        demand.forecast_table(ts.day_spans(sparse_sales(spark)), "gbt", seq_length=1)
