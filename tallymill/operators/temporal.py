@@ -116,7 +116,9 @@ def overlap_join(one: DataFrame, two: DataFrame, periods: Sequence[tuple[str, st
     """
     (start_1, end_1), (start_2, end_2) = periods
     names = [*one.columns, *[c for c in two.columns if c not in by]]
-    good_1, good_2 = one.filter(F.col(start_1) <= F.col(end_1)), two.filter(F.col(start_2) <= F.col(end_2))
+    # Each serves as buckets, as moments and for the count of these, in one join or the other.
+    good_1 = stored(one.filter(F.col(start_1) <= F.col(end_1)), "periods")
+    good_2 = stored(two.filter(F.col(start_2) <= F.col(end_2)), "other-periods")
     inside = between_join(good_2, good_1, start_2, start_1, end_1, by).select(names)
     around = between_join(good_1, good_2, start_1, start_2, end_2, by).filter(F.col(start_1) > F.col(start_2))
     return inside.unionByName(around.select(names))

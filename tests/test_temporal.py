@@ -124,3 +124,20 @@ def test_overlap_join(spark):
     good = [[x for x in rows if x[0] is not None and None not in x and x[1] <= x[2]] for rows in (a, b)]
     want = [(*x, *y[1:]) for x in good[0] for y in good[1] if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2]]
     assert multiset(tuple(x) for x in found.collect()) == multiset(want)
+
+
+def test_overlap_join_reads_its_tables_once(spark):
+    """They may be joins of large tables themselves."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("k", n, n + n % 5) for n in range(100)]
+    one = spark.createDataFrame(rows, "k string, a long, b long").mapInArrow(counted, "k string, a long, b long")
+    two = spark.createDataFrame(rows, "k string, c long, d long").mapInArrow(counted, "k string, c long, d long")
+    found = temporal.overlap_join(one, two, [("a", "b"), ("c", "d")], ["k"]).count()
+    assert found == sum(x[1] <= y[2] and y[1] <= x[2] for x in rows for y in rows)
+    assert read.value == 200
