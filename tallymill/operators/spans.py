@@ -20,6 +20,8 @@ from tallymill.operators.models import DemandModel, linear_weights
 from tallymill.operators.samples import BOUNDED, SEQ_LENGTH, TRAIN_RATIO, VAL_RATIO
 from tallymill.operators.series import DAY, KEY, SPAN, feature_columns
 
+# Products whose test days a task holds at once.
+SLICE = 1000
 BOUNDS = [f"{c}_{end}" for c in BOUNDED for end in ("low", "span")]
 STATES = f"{KEY} string, {DAY} date, window array<double>, last array<double>, {', '.join(f'{c} double' for c in BOUNDS)}"
 TESTED = f"{KEY} string, days array<date>, actual array<double>, predicted array<double>"
@@ -108,7 +110,8 @@ class Windows:
         weights = np.array([*own, *other])
 
         def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            slices = (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE))
+            for batch in slices:
                 keys, sizes, days, actual, predicted = [], [0], [], [], []
                 for key, at, rows, low, span in self.series(batch):
                     first = self.ends(len(rows))[1]
@@ -117,12 +120,11 @@ class Windows:
                     sizes.append(len(days[-1]))
                     actual.append(rows[first + self.seq_length :, 0] * span[0] + low[0])
                     predicted.append((self.matrix(rows, first) @ weights + constant) * span[0] + low[0])
-                if keys:
-                    offsets = pa.array(np.cumsum(sizes), pa.int32())
-                    dates = pa.array(np.concatenate(days).astype(np.int32)).cast(pa.date32())
-                    values = [dates, *[pa.array(np.concatenate(x)) for x in (actual, predicted)]]
-                    lists = [pa.ListArray.from_arrays(offsets, x) for x in values]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *lists], [KEY, "days", "actual", "predicted"])
+                offsets = pa.array(np.cumsum(sizes), pa.int32())
+                dates = pa.array(np.concatenate(days).astype(np.int32)).cast(pa.date32())
+                values = [dates, *[pa.array(np.concatenate(x)) for x in (actual, predicted)]]
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in values]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *lists], [KEY, "days", "actual", "predicted"])
 
         found = products.mapInArrow(tested, TESTED)
         row: Column = F.explode(F.arrays_zip("days", "actual", "predicted")).alias("_row")
