@@ -21,16 +21,21 @@ COUNTERS = 1 << 18
 PART = 1 << 14
 # Bits of an order's key below the frequency class.
 KEY_BITS = 58
-# Least keys of a class by which its nearest ones are found first.
-NEAREST_KEYS = 32
-# Classes of a bucket that are compared with each other in one step; nearest ones met first.
+# Bits of a class's sketch: the power of two from this many a token, between two bounds.
+BITS_PER_TOKEN = 2
+SKETCH_BITS = 512, 8192
+# Classes of a bucket that are compared with each other in one step; nearest ones met first,
+# but all at once in a bucket of few.
 BLOCK = 1000
 BEST = 3
+FEW = 16
+# Pairs of sketches that are compared one by one; more of a block are compared together.
+PAIRS_ALONE = 500
 # Classes that a task remembers as sent.
 REMEMBERED = 200_000
 
 PROFILE = "id long, text_hash long, class binary, n_shingles long, part int, counts binary"
-PREFIXES = "class binary, size long, first array<long>, second array<int>, third array<int>, least array<int>"
+PREFIXES = "class binary, size long, first array<long>, second array<int>, third array<int>, sketch binary"
 _SEEDS = mixed(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -99,9 +104,39 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """Parity bitmap of a set: each token flips one bit. Tokens that two sets share flip the same
+    bits, so two sketches differ in no more bits than the sets have tokens of their own."""
+    low, high = SKETCH_BITS
+    bits = min(max(1 << (BITS_PER_TOKEN * len(tokens) - 1).bit_length(), low), high)
+    places = (mixed(tokens ^ _SEEDS[3]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch that the same set has in fewer bytes."""
+    held = np.frombuffer(sketch, dtype=np.uint8)
+    while len(held) > size:
+        held = held[: len(held) // 2] ^ held[len(held) // 2 :]
+    return held
+
+
+def bits_apart(one: bytes, two: bytes) -> int:
+    if len(one) != len(two):
+        size = min(len(one), len(two))
+        one, two = folded(one, size).tobytes(), folded(two, size).tobytes()
+    return (int.from_bytes(one) ^ int.from_bytes(two)).bit_count()
+
+
+def may_be_similar(apart, sizes, percent: int):
+    """Whether two sets with `sizes` tokens in all, of which `apart` at least are in one of them
+    only, may be similar enough."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
 def _prefixes(size: int, percent: int, frequent: np.ndarray):
     """The first tokens of each class under three orders: by frequency class, rare ones first,
-    and within it by hashes that differ between the orders; and its least hashes of a fourth.
+    and within it by hashes that differ between the orders; and its sketch.
     A task sends a class once, so a group of copies has a row per task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,16 +155,15 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray):
                 p = prefix_length(n, percent)
                 keys = [(rarity << np.uint64(KEY_BITS)) | (mixed(tokens ^ s) >> np.uint64(64 - KEY_BITS)) for s in _SEEDS[:3]]
                 keys = [np.partition(k, p - 1)[:p] for k in keys]
-                least = mixed(tokens ^ _SEEDS[3])
-                least = np.partition(least, NEAREST_KEYS - 1)[:NEAREST_KEYS] if n > NEAREST_KEYS else least
                 # The last bits are enough to tell that nothing is shared.
-                rows.append((name, n, keys[0].view(np.int64), *(k.astype(np.uint32).view(np.int32) for k in (*keys[1:], least))))
+                rows.append((name, n, keys[0].view(np.int64), *(k.astype(np.uint32).view(np.int32) for k in keys[1:]), sketch_of(tokens)))
             if len(seen) > REMEMBERED:
                 seen.clear()
             if rows:
-                names, sizes, *lists = zip(*rows, strict=True)
-                columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, [pa.int64()] + [pa.int32()] * 3, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, ["class", "size", "first", "second", "third", "least"])
+                names, sizes, *lists, sketches = zip(*rows, strict=True)
+                lists = [pa.array(x, pa.list_(t)) for x, t in zip(lists, [pa.int64()] + [pa.int32()] * 2, strict=True)]
+                columns = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), *lists, pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "size", "first", "second", "third", "sketch"])
 
     return run
 
@@ -154,35 +188,56 @@ def _common(one: list, two: list) -> np.ndarray:
     return out
 
 
+def _all_apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Bits in which each sketch in `one` differs from each in `two`."""
+    out = np.zeros((len(one), len(two)), dtype=np.int64)
+    lengths = [np.array([len(x) for x in side]) for side in (one, two)]
+    for m in np.unique(lengths[0]).tolist():
+        for n in np.unique(lengths[1]).tolist():
+            at = np.flatnonzero(lengths[0] == m), np.flatnonzero(lengths[1] == n)
+            odd = [[np.flatnonzero(np.unpackbits(folded(side[k], min(m, n)))) for k in i.tolist()] for side, i in zip((one, two), at, strict=True)]
+            held = [np.array([len(x) for x in side]) for side in odd]
+            out[np.ix_(*at)] = held[0][:, None] + held[1] - 2 * _common(*odd).astype(np.int64)
+    return out
+
+
 def _across(percent: int, best: int | None):
     """Of rows sorted by (bucket, one, two): pairs of different components, one from block
-    `one` and one from block `two`, whose sizes allow them to be similar. With `best`, for each
-    row outside the bucket's largest component only those that share most of their least keys."""
+    `one` and one from block `two`, whose sizes and sketches allow them to be similar. With
+    `best`, for each row outside the bucket's largest component only its nearest ones, but
+    all in a bucket of few."""
 
     def compare(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
+        # Rows of one block hold each pair once: a class meets those after it.
+        alone = rows[0][1] == rows[0][2]
+        one, two = [[r for r in rows if r[3] == block] for block in rows[0][1:3]]
+        if not one or not two:
+            return set()
         numbers = {root: k for k, root in enumerate(dict.fromkeys(r[5] for r in rows))}
-        main = numbers[Counter(r[5] for r in rows).most_common(1)[0][0]]
-        sides = []
-        for block in dict.fromkeys(rows[0][1:3]):
-            held = [r for r in rows if r[3] == block]
-            if not held:
-                return set()
-            sides.append((held, np.array([numbers[r[5]] for r in held]), np.array([r[6] for r in held])))
-        one, two = sides[0], sides[-1]
-        small, large = np.minimum.outer(one[2], two[2]), np.maximum.outer(one[2], two[2])
-        good = (100 * small >= percent * large) & (one[1][:, None] != two[1])
-        if best is None:
-            chosen = np.argwhere(good)
+        roots = [np.array([numbers[r[5]] for r in side]) for side in (one, two)]
+        sizes = [np.array([r[6] for r in side]) for side in (one, two)]
+        small, large = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+        good = (100 * small >= percent * large) & (roots[0][:, None] != roots[1])
+        if alone:
+            good = np.triu(good)
+        at = np.argwhere(good)
+        if not len(at):
+            return set()
+        if len(at) <= PAIRS_ALONE:
+            apart = np.array([bits_apart(one[i][7], two[j][7]) for i, j in at.tolist()])
         else:
-            near = np.where(good, _common([r[7] for r in one[0]], [r[7] for r in two[0]]), -1)
-            chosen = []
-            for likeness, own in ((near, one[1]), (near.T, two[1])):
-                order = np.argsort(-likeness, axis=1, kind="stable")[:, :best]
-                i, k = np.nonzero((np.take_along_axis(likeness, order, axis=1) > 0) & (own != main)[:, None])
-                chosen.append(np.stack((i, order[i, k]), axis=1))
-            chosen = np.concatenate((chosen[0], chosen[1][:, ::-1]))
-        names = [[r[4] for r in side[0]] for side in (one, two)]
-        return {(max(p, q), min(p, q)) for p, q in ((names[0][i], names[1][j]) for i, j in chosen.tolist())}
+            apart = _all_apart([r[7] for r in one], [r[7] for r in two])[good]
+        passed = may_be_similar(apart, sizes[0][at[:, 0]] + sizes[1][at[:, 1]], percent)
+        at, apart = at[passed], apart[passed]
+        if best is not None and not (alone and len(rows) <= FEW):
+            main = numbers[Counter(r[5] for r in rows).most_common(1)[0][0]]
+            # Both ends of each pair, the nearest first; a class of one block may be at either.
+            ends = np.concatenate((at[:, 0], at[:, 1] + (0 if alone else len(one))))
+            order = np.lexsort((np.concatenate((apart, apart)), ends))
+            place = np.arange(len(ends)) - np.searchsorted(ends[order], ends[order])
+            outside = np.concatenate((roots[0][at[:, 0]], roots[1][at[:, 1]]))[order] != main
+            at = at[np.unique(order[(place < best) & outside] % len(at))] if len(at) else at
+        return {(max(p, q), min(p, q)) for p, q in ((one[i][4], two[j][4]) for i, j in at.tolist())}
 
     def out(pairs: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
@@ -191,7 +246,7 @@ def _across(percent: int, best: int | None):
         group: list[tuple] = []
         found: set[tuple[bytes, bytes]] = set()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "block", "class", "root", "size", "least")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "one", "two", "block", "class", "root", "size", "sketch")]
             for row in zip(*columns, strict=True):
                 if group and row[:3] != group[0][:3]:
                     found |= compare(group)
@@ -208,34 +263,51 @@ def _across(percent: int, best: int | None):
 
 
 def _crossing(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Pairs (a, b) of classes in one bucket but not yet in one component."""
+    """Pairs (a, b) of classes in one bucket but not yet in one component. A bucket of few gives
+    all of them with `best`, so that it is left out without."""
     placed = shared.join(roots.withColumnRenamed("node", "class"), "class", "left")
     placed = stored(placed.select("class", "bucket", F.coalesce("root", "class").alias("root")), "placed")
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high")
-    split = stored(split.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("n").alias("held")), "split-buckets")
+    split = split.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.col("n").alias("held"))
+    if best is None:
+        split = split.filter((F.col("held") > FEW) | (F.col("blocks") > 1))
+    split = stored(split, "split-buckets")
     if not split.head(1):
         return shared.sparkSession.createDataFrame([], "a binary, b binary")
-    apart = hot_join(placed, split, "bucket", "held").join(classes.select("class", "size", "least"), "class")
+    apart = hot_join(placed, split, "bucket", "held").join(classes.select("class", "size", "sketch"), "class")
     blocks = apart.withColumn("block", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     one, two = F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
-    blocks = blocks.select("bucket", one, two, "block", "class", "root", "size", "least")
+    blocks = blocks.select("bucket", one, two, "block", "class", "root", "size", "sketch")
     blocks = blocks.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     return blocks.mapInArrow(tidy(_across(percent, best)), "a binary, b binary").distinct()
 
 
+def _near(percent: int):
+    """Of pairs with sizes and sketches, those (a, b) whose sketches allow them to be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(c).to_pylist() for c in ("a_sketch", "b_sketch"))
+            apart = np.array([bits_apart(p, q) for p, q in zip(one, two, strict=True)], dtype=np.int64)
+            yield batch.filter(pa.array(may_be_similar(apart, batch.column("sizes").to_numpy(), percent), pa.bool_())).select(["a", "b"])
+
+    return run
+
+
 def _allowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow them to be similar and that share a token of their
-    prefixes under the second and the third order too."""
+    """The pairs (a, b) whose sizes allow them to be similar, that share a token of their
+    prefixes under the second and the third order too, and whose sketches are near enough."""
     pairs, of_a = dealt(pairs, "a", "b")
     pairs, of_b = dealt(pairs, "b", "a")
     for end, counted in (("a", of_a), ("b", of_b)):
-        held = copies_of(classes.select("class", "size", "second", "third"), counted, end)
-        held = held.withColumnsRenamed({c: f"{end}_{c}" for c in ("size", "second", "third")})
+        held = copies_of(classes.select("class", "size", "second", "third", "sketch"), counted, end)
+        held = held.withColumnsRenamed({c: f"{end}_{c}" for c in ("size", "second", "third", "sketch")})
         pairs = pairs.join(held, [end, f"{end}_copy"])
     alike = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
     both = F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")
-    return pairs.filter(alike).filter(both).select("a", "b")
+    rest = pairs.filter(alike).filter(both).select("a", "b", "a_sketch", "b_sketch", (F.col("a_size") + F.col("b_size")).alias("sizes"))
+    return rest.mapInArrow(tidy(_near(percent)), "a binary, b binary")
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -247,10 +319,12 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     Documents with the same words form a class, and further work is on classes. A table of
     fixed size counts how often words occur; the orders put tokens with rare words first. Two
     similar sets share a token of their prefixes under every such order: classes that share one under
-    the first are candidates, those that do under the second and third as well are compared
-    in full. A bucket (a first-order token) does not give all pairs: each class meets the
-    smallest one in it, then in buckets with several components each class outside the largest
-    one its nearest ones, then all pairs of different components, in blocks.
+    the first are candidates, those that do under the second and third as well, and whose
+    sketches do not show that they have too many tokens of their own, are compared in full. A
+    bucket (a first-order token) does not give all pairs: each class meets the smallest one in
+    it, then in buckets with several components each class outside the largest one its nearest
+    ones, then all pairs of different components, in blocks. Only pairs with near sketches leave
+    a block, so that large groups which are just not similar enough give few.
 
     Tokens are 64-bit hashes; sets are compared by their words. n_shingles counts hashes.
 

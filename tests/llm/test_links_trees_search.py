@@ -82,6 +82,45 @@ def test_rarity_is_that_of_the_rarest_word():
     assert [x.tolist() for x in jaccard_join.tokens_of(words[:1], 2, frequent)][1] == [3]
 
 
+def test_sketches_never_tell_similar_sets_apart():
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (1, 5, 100, 300, 520, 3000):
+        base = r.integers(0, 1 << 62, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[k:], r.integers(0, 1 << 62, k // 2 + 1, dtype=np.uint64)))) for k in (0, 1, n // 20, n // 8, n)]
+    sketches = [jaccard_join.sketch_of(x) for x in sets]
+    apart = jaccard_join._all_apart(sketches, sketches)
+    for i, one in enumerate(sets):
+        for k, two in enumerate(sets):
+            assert apart[i, k] == jaccard_join.bits_apart(sketches[i], sketches[k]) <= len(np.setxor1d(one, two))
+            for percent in (50, 80, 90, 100):
+                if 100 * len(np.intersect1d(one, two)) >= percent * len(np.union1d(one, two)):
+                    assert jaccard_join.may_be_similar(apart[i, k], len(one) + len(two), percent)
+
+
+@pytest.mark.parametrize("alone", [0, 1000])
+def test_a_large_group_of_texts_just_not_similar_gives_few_pairs(spark, monkeypatch, alone):
+    """All share tokens under every order; comparing them all in full grows with the square of their number."""
+    r = random.Random(9)
+    base = prose(52, 200).split()
+    rows = []
+    for k in range(150):
+        changed = list(base)
+        for at in r.sample(range(0, 200, 4), 4):
+            changed[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(changed)))
+    pairs = []
+
+    def counted(texts, near, size, percent, own=verify.confirmed):
+        pairs.extend(near.collect())
+        return own(texts, near, size, percent)
+
+    monkeypatch.setattr(jaccard_join, "confirmed", counted)
+    monkeypatch.setattr(jaccard_join, "PAIRS_ALONE", alone, raising=False)
+    check_join(spark, rows)
+    assert len(pairs) < 10 * len(rows)
+
+
 def test_common_keys():
     r = random.Random(1)
     sides = [[np.array(r.sample(range(9000), r.randint(1, 300))) for _ in range(20)] for _ in range(2)]
