@@ -22,8 +22,8 @@ PART = 1 << 14
 # Bits of an order's key below the frequency class.
 KEY_BITS = 58
 # Bits of a class's sketch: the power of two from this many a token, between two bounds.
-BITS_PER_TOKEN = 2
-SKETCH_BITS = 512, 8192
+BITS_PER_TOKEN = 1
+SKETCH_BITS = 256, 8192
 # Classes of a bucket that are compared with each other in one step; nearest ones met first,
 # but all at once in a bucket of few.
 BLOCK = 1000
