@@ -95,15 +95,17 @@ def between_join(moments: DataFrame, periods: DataFrame, at: str, start: str, en
     if is_small(buckets):
         pairs = asked.join(F.broadcast(buckets), keys)
     else:
-        held = buckets.select(keys).distinct()
+        # Copies of a bucket without periods cost nothing, so the keys of these aren't joined.
         crowd = asked.groupBy(keys).agg(F.count("*").alias("_asked")).filter(F.col("_asked") > MOMENTS_PER_COPY)
-        crowd = stored(crowd.join(held, keys, "left_semi"), "asked-buckets")
+        crowd = stored(crowd, "asked-buckets")
         copies = F.ceil(F.coalesce("_asked", F.lit(1)) / MOMENTS_PER_COPY)
         # A crowded bucket has MOMENTS_PER_COPY moments at least, so there are few of them.
         crowded = if_small(crowd)
         asked = asked.join(crowded, keys, "left").withColumn("_copy", F.pmod(F.monotonically_increasing_id(), copies))
         copied = buckets.join(crowded, keys, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-        pairs = asked.drop("_asked").join(copied.drop("_asked"), [*keys, "_copy"])
+        # Else Spark may send a table to the driver for a broadcast: it goes by the size of the
+        # files, which rows take many times, and of moments without their copies for each width.
+        pairs = asked.drop("_asked").join(copied.drop("_asked").hint("merge"), [*keys, "_copy"])
     return pairs.filter((F.col("_first") <= F.col("_at")) & (F.col("_at") <= F.col("_last"))).select(names)
 
 

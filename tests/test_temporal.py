@@ -141,3 +141,14 @@ def test_overlap_join_reads_its_tables_once(spark):
     found = temporal.overlap_join(one, two, [("a", "b"), ("c", "d")], ["k"]).count()
     assert found == sum(x[1] <= y[2] and y[1] <= x[2] for x in rows for y in rows)
     assert read.value == 200
+
+
+def test_large_buckets_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Once there are no crowded buckets, Spark plans the join anew, by the size of files."""
+    monkeypatch.setattr(temporal, "is_small", lambda df: False)
+    spots = spark.range(2000).selectExpr("'k' AS k", "id AS t")
+    held = spark.range(2000).selectExpr("'k' AS k", "id AS first", "id + id % 50 AS last")
+    found = temporal.between_join(spots, held, "t", "first", "last", ["k"])
+    assert len(found.collect()) == sum(min(n + n % 50, 1999) - n + 1 for n in range(2000))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
