@@ -21,7 +21,7 @@ from tallymill.operators import series as ts
 from tallymill.plans import demand
 from tallymill.schema import COMPETITOR_COLUMNS, SALES_COLUMNS, half_even
 from tallymill.session import new_folder, stored
-from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table
+from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_in_batches, write_table
 from tallymill.sources.checked import read_sales_checked
 from tallymill.sources.incremental import add_load, read_loads
 from tallymill.sources.readers import column_check, preview
@@ -89,9 +89,17 @@ def competitor_csv(spark, sf):
     return as_text(rounded(rows, 4, "our_price", *ts.COMPETITORS), "day")
 
 
+def _exported(df: DataFrame, name: str) -> str:
+    """Sales with their customer's group written as compressed CSV, which takes several times the
+    bytes of the tables otherwise, and its path."""
+    path = new_folder(df.sparkSession, name)
+    write_in_batches(df, path, "customer_id", compression="gzip")
+    return path
+
+
 def _through_csv(df: DataFrame, name: str) -> DataFrame:
     """All columns written as CSV and read back under their types."""
-    path = _written(df, name)
+    path = _exported(df, name)
     spark = df.sparkSession
     return spark.read.option("header", True).option("escape", '"').schema(df.schema).csv(path)
 
@@ -337,7 +345,7 @@ def _sales_with_segments(spark, sf) -> DataFrame:
     """Sales without a customer are kept out of the groups, to show the default name."""
     rows = fx.retail_dirty(spark, sf)
     # Stored, since the groups, the hot customers and the join each read the sales.
-    rows = stored(cleaning.add_features(cleaning.fill_customers(cleaning.keep_positive(rows))), "sales")
+    rows = stored(cleaning.add_features(cleaning.fill_customers(cleaning.keep_positive(rows))), "sales", compression="zstd")
     known = rfm.segment_customers(rfm.rfm(rows, include_unknown=False))
     return rfm.attach_group(rows, known)
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Folders this process has made, by Spark application; `release` deletes them.
 _MADE: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+# Whether a query's shuffle files go when it ends, else when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -44,17 +48,35 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here delete their shuffle files when they end. For results that are
+    written down, since nothing reads these files again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with without_leftovers(df.sparkSession):
+        # As a new query, since the setting is read when a query is made.
+        return df.select("*").checkpoint()
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", **options) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: a narrow plan that
     survives lost executors, smaller than a checkpoint and with pushdown."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with without_leftovers(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallymill.session import without_leftovers
+
+# Parts of a table that is written part by part.
+BATCHES = 4
 
 
 def write_table(
@@ -18,3 +24,13 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def write_in_batches(df: DataFrame, path: str, key: str, batches: int = BATCHES, **options) -> None:
+    """`write_table` to a new place, in parts by the hash of `key`. Where `df` is a join on `key`
+    with rows that are stored, each part shuffles its rows only, and its shuffle files go before
+    the next one; the stored rows are read once for each part."""
+    for k in range(batches):
+        part = df.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
+        with without_leftovers(df.sparkSession):
+            write_table(part, path, mode="append" if k else "errorifexists", **options)

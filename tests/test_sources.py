@@ -1,9 +1,13 @@
 import datetime as dt
+import time
+from collections import Counter
 
 import pytest
 
+from tallymill import session
+from tallymill.catalog import queries
 from tallymill.operators import cleaning
-from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table
+from tallymill.sources import read_competitor_prices, read_sales, read_segment_sales, write_table, writers
 from tallymill.sources.readers import column_check, preview
 
 HEADER = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country"
@@ -122,3 +126,33 @@ def test_text_in_side_files_costs_the_value_only(spark, tmp_path):
     assert got == [("2020-01-01", 1.5, None, None), ("2020-01-02", None, 2.5, None)]
     units.write_text("InvoiceDate,Segment,Quantity\n2020-01-01,a,3\n2020-01-01,b,many\n")
     assert sorted((r.segment, r.quantity) for r in read_segment_sales(spark, str(units)).collect()) == [("a", 3.0), ("b", None)]
+
+
+def test_exports_are_compressed_and_written_in_parts(spark):
+    """All rows once, those without a customer too; no part is as large as the whole."""
+    rows = [(f"c{n % 40}" if n % 7 else None, "a \"b\", c", n) for n in range(400)]
+    df = spark.createDataFrame(rows, "customer_id string, description string, n int")
+    found = queries._through_csv(df, "export")
+    assert Counter(tuple(r) for r in found.collect()) == Counter(rows)
+    files = found.inputFiles()
+    assert all(f.endswith(".csv.gz") for f in files) and len(files) >= writers.BATCHES
+
+
+def test_stored_and_checkpointed_tables_leave_no_shuffle_files(spark):
+    """They would take disk beside each other until the driver collects its garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    setting = spark.conf.get(session.CLEANUP, None)
+    before = shuffled()
+    tables = [keep(spark.range(1000).repartition(4, "id").groupBy("id").count()) for keep in (session.stored, session.checkpointed)]
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert [t.count() for t in tables] == [1000, 1000]
+    assert spark.conf.get(session.CLEANUP, None) == setting
