@@ -107,7 +107,7 @@ def _through_csv(df: DataFrame, name: str) -> DataFrame:
 @query
 def segment_sales_csv(spark, sf):
     """The full sales with their segment exported; the file as a source of units per group and day."""
-    path = _written(_sales_with_segments(spark, sf), "segment-sales")
+    path = _exported(_sales_with_segments(spark, sf), "segment-sales")
     units = read_segment_sales(spark, path).groupBy("day", "segment").agg(F.sum("quantity").alias("quantity"))
     return as_text(units, "day")
 
