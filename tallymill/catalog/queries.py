@@ -133,7 +133,8 @@ def cluster_summary_csv(spark, sf):
 
 
 def _sales_with_clusters(spark, sf) -> DataFrame:
-    rows = fx.sales(spark, sf, *fx.COLUMNS)
+    # Stored, since the hot customers and the join each read the sales.
+    rows = stored(fx.sales(spark, sf, *fx.COLUMNS), "sales", compression="zstd")
     return with_time_text(rfm.attach_group(rows, _named(spark, sf), "cluster_name"))
 
 
